@@ -30,8 +30,12 @@ def float_text(value: Column) -> Column:
         F.when(F.length(fraction) > 0, fraction).otherwise(F.lit("0")),
     )
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - F.lit(1)), digits)
+    size = F.abs(value)
+    # The engine's own text agrees in this range, which nearly all values are in.
+    usual = (value == 0) | ((size >= 1e-3) & (size < 1e7))
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(usual, text)
         .when(F.isnan(value), F.lit("nan"))
         .when(text == "Infinity", F.lit("inf"))
         .when(text == "-Infinity", F.lit("-inf"))

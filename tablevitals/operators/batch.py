@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablevitals.config import HOT_GROUP_ROWS, rule_config
 from tablevitals.functions.columns import ROW_INDEX, col, text_columns
 from tablevitals.operators import roles
-from tablevitals.operators.profile import distinct_counts, is_measured, stats_row, value_counts
+from tablevitals.operators.profile import distinct_counts, is_measured, stats_table, value_counts
 
 
 @dataclass
@@ -49,8 +49,18 @@ class Batch:
 
     @cached_property
     def stats(self):
-        """The stats pass: one aggregate row."""
-        return stats_row(self.df, self.columns)
+        """The stats pass: one aggregate row on the driver."""
+        return self._stats_plan.first()
+
+    @cached_property
+    def _stats_plan(self) -> DataFrame:
+        return stats_table(self.df, self.columns)
+
+    def stats_table(self) -> DataFrame:
+        """The stats row as a table, without scanning again once it is known."""
+        if "stats" not in self.__dict__:
+            return self._stats_plan
+        return self.df.sparkSession.createDataFrame([self.stats], self._stats_plan.schema)
 
     @property
     def rows(self) -> int:

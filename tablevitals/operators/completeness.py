@@ -19,16 +19,14 @@ PERIODS_PER_CHUNK = 512
 def completeness(batch: Batch) -> DataFrame:
     """Columns with a share of missing cells strictly above the threshold.
 
-    One aggregation, reshaped to a row per column; nothing reaches the driver.
+    One aggregation, reshaped to a row per column.
     """
     df, spark = batch.df, batch.df.sparkSession
     if not batch.enabled("completeness") or not batch.columns:
         return no_issues(spark)
     threshold = batch.params("completeness").get("null_pct_threshold", 20.0)
-    counted = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(is_missing(df, c)).alias(f"missing_{i}") for i, c in enumerate(batch.columns)],
-    )
+    # Alone, the rule's plan keeps only the missing counts of the stats pass.
+    counted = batch.stats_table()
     cells = [
         F.struct(F.lit(c).alias("name"), F.lit(i).alias("ord"), F.col(f"missing_{i}").alias("missing"))
         for i, c in enumerate(batch.columns)
@@ -73,24 +71,15 @@ def group_completeness(batch: Batch, entity: str | None = None, period: str | No
     ).first()
     if shape["low"] == shape["high"] or not shape["periods"]:
         return no_issues(spark)
-    chunks = math.ceil(shape["periods"] / PERIODS_PER_CHUNK)
-    chunk = F.pmod(F.xxhash64("period"), F.lit(chunks)).cast("int") if chunks > 1 else F.lit(0)
     periods = cells.filter("period is not null").select("period").distinct()
-    expected = periods.groupBy(chunk.alias("chunk")).agg(F.collect_list("period").alias("expected"))
-    if shape["periods"] <= BROADCAST_MAX_ROWS:
-        expected = F.broadcast(expected)  # counted above
     pairs = cells.filter("entity is not null").distinct()
-    seen = pairs.groupBy("entity", F.when(F.col("period").isNull(), F.lit(0)).otherwise(chunk).alias("chunk")).agg(
-        F.collect_set("period").alias("seen")
-    )
-    if chunks > 1:
-        entities = pairs.select("entity").distinct()
-        grid = entities.select("entity", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-        seen = grid.join(seen, ["entity", "chunk"], "left")
-    absent = seen.join(expected, "chunk").select(
-        "entity",
-        F.explode(F.array_except("expected", F.coalesce("seen", F.array().cast("array<string>")))).alias("period"),
-    )
+    if shape["periods"] <= PERIODS_PER_CHUNK:
+        # Counted above: a list short enough to be part of the expression.
+        expected = F.array(*[F.lit(r["period"]) for r in periods.collect()])
+        seen = pairs.groupBy("entity").agg(F.collect_set("period").alias("seen"))
+        absent = seen.select("entity", F.explode(F.array_except(expected, "seen")).alias("period"))
+    else:
+        absent = _absent_by_chunk(pairs, periods, shape["periods"])
     return absent.select(
         *issue_row(
             "group_completeness",
@@ -103,3 +92,18 @@ def group_completeness(batch: Batch, entity: str | None = None, period: str | No
             severity=F.lit("high"),
         )
     )
+
+
+def _absent_by_chunk(pairs: DataFrame, periods: DataFrame, count: int) -> DataFrame:
+    """The same with the periods hashed into chunks, one array per entity and chunk."""
+    chunks = math.ceil(count / PERIODS_PER_CHUNK)
+    chunk = F.pmod(F.xxhash64("period"), F.lit(chunks)).cast("int").alias("chunk")
+    expected = periods.groupBy(chunk).agg(F.collect_list("period").alias("expected"))
+    if count <= BROADCAST_MAX_ROWS:
+        expected = F.broadcast(expected)  # counted by the caller
+    seen = pairs.filter("period is not null").groupBy("entity", chunk).agg(F.collect_set("period").alias("seen"))
+    entities = pairs.select("entity").distinct()
+    grid = entities.select("entity", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    both = grid.join(seen, ["entity", "chunk"], "left").join(expected, "chunk")
+    none = F.array().cast("array<string>")
+    return both.select("entity", F.explode(F.array_except("expected", F.coalesce("seen", none))).alias("period"))

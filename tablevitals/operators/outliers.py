@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tablevitals.functions.columns import as_text, is_missing, measure, numeric_
 from tablevitals.functions.pyformat import float_text
 from tablevitals.operators.batch import Batch
 from tablevitals.operators.issues import issue_row, no_issues
-from tablevitals.operators.quantiles import GroupSizes, group_sizes, quantile_table
+from tablevitals.operators.quantiles import GroupSizes, group_sizes, quantile_table, whole_table
 
 # Fixed value: scales a median absolute deviation to a standard deviation.
 MAD_SCALE = 0.6745
@@ -41,9 +43,9 @@ def outlier(batch: Batch, columns: list[str] | None = None, group_by: str | None
     if grouped:
         rows = rows.filter("g is not null")
     group = F.col("g") if grouped else None
-    sizes = group_sizes(rows, group, batch.hot_rows)
+    sizes = group_sizes(rows, group, batch.hot_rows) if grouped else whole_table(batch.rows, batch.hot_rows)
     judge = _iqr_bounds if method == "iqr" else _zscore_bounds
-    judged = judge(rows, keys, group, sizes, params, batch.hot_rows)
+    judged = judge(rows, keys, group, sizes, params, batch.hot_rows, None if grouped else _extent(batch, keys))
     cells = [
         F.struct(
             F.lit(name).alias("name"),
@@ -86,9 +88,22 @@ def _attach(rows: DataFrame, figures: DataFrame, group: Column | None, sizes: Gr
     return rows.join(F.broadcast(figures) if sizes.broadcastable else figures, "g")
 
 
-def _iqr_bounds(rows, keys, group, sizes, params, hot_rows) -> DataFrame:
+def _extent(batch: Batch, keys: dict[str, str]) -> dict | None:
+    """``(rows, low, high)`` per column from the stats pass; None if any end is infinite."""
+    extent = {}
+    for i, name in keys.items():
+        if name not in batch.columns:
+            return None
+        low, high = batch.stat("min", name), batch.stat("max", name)
+        if low is not None and (math.isinf(low) or math.isinf(high)):
+            return None
+        extent[i] = (batch.rows - batch.stat("missing", name), low, high)
+    return extent
+
+
+def _iqr_bounds(rows, keys, group, sizes, params, hot_rows, extent) -> DataFrame:
     factor, min_size = params.get("iqr_multiplier", 1.5), params.get("min_group_size", 3)
-    table = quantile_table(rows, {i: F.col(i) for i in keys}, [0.25, 0.75], group, sizes, hot_rows)
+    table = quantile_table(rows, {i: F.col(i) for i in keys}, [0.25, 0.75], group, sizes, hot_rows, extent)
     figures = []
     for i in keys:
         low, high = F.col(f"q_{i}")[0], F.col(f"q_{i}")[1]
@@ -106,16 +121,21 @@ def _iqr_bounds(rows, keys, group, sizes, params, hot_rows) -> DataFrame:
     return judged.select("key", "g", *keys, *out)
 
 
-def _zscore_bounds(rows, keys, group, sizes, params, hot_rows) -> DataFrame:
+def _zscore_bounds(rows, keys, group, sizes, params, hot_rows, extent) -> DataFrame:
     limit, min_size = params.get("zscore_threshold", 3.5), params.get("min_group_size", 3)
     keep_group = ["g"] if group is not None else []
-    table = quantile_table(rows, {i: F.col(i) for i in keys}, [0.5], group, sizes, hot_rows)
+    table = quantile_table(rows, {i: F.col(i) for i in keys}, [0.5], group, sizes, hot_rows, extent)
     middle = table.select(
         *keep_group, *[F.when(F.col(f"n_{i}") >= min_size, F.col(f"q_{i}")[0]).alias(f"med_{i}") for i in keys]
     )
+    if extent is not None and sizes.hot:
+        row = middle.first()
+        for i, (n, low, high) in extent.items():
+            med = row[f"med_{i}"]
+            extent[i] = (0, None, None) if med is None else (n, 0.0, max(med - low, high - med))
     centred = _attach(rows, middle, group, sizes)
     spread = {i: F.abs(F.col(i) - F.col(f"med_{i}")) for i in keys}
-    mads = quantile_table(centred, spread, [0.5], group, sizes, hot_rows)
+    mads = quantile_table(centred, spread, [0.5], group, sizes, hot_rows, extent)
     figures = mads.select(*keep_group, *[F.col(f"q_{i}")[0].alias(f"mad_{i}") for i in keys])
     both = middle.join(F.broadcast(figures) if sizes.broadcastable else figures, "g") if group is not None else figures
     # The medians are already on the rows without a group; with one, one join brings both.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablevitals.functions.columns import as_text, is_missing, is_numeric, long_form, measure
-from tablevitals.functions.pyformat import round_half_even
+from tablevitals.functions.pyformat import float_text, round_half_even
 
 
 def is_measured(dtype: T.DataType) -> bool:
@@ -38,10 +38,9 @@ def stats_aggregates(df: DataFrame, columns: list[str]) -> list[Column]:
     return out
 
 
-def stats_row(df: DataFrame, columns: list[str] | None = None):
-    """The stats pass; one row, a few figures per column, on the driver."""
-    columns = columns if columns is not None else df.columns
-    return df.agg(*stats_aggregates(df, columns)).first()
+def stats_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The stats pass: one row, a few figures per column."""
+    return df.agg(*stats_aggregates(df, columns if columns is not None else df.columns))
 
 
 def value_counts(df: DataFrame, columns: list[str], row_key: str | None = None) -> DataFrame:
@@ -54,17 +53,23 @@ def value_counts(df: DataFrame, columns: list[str], row_key: str | None = None)
     if not columns:
         extra = f", first_row {df.schema[row_key].dataType.simpleString()}" if row_key else ""
         return spark.createDataFrame([], f"column_ord int, column string, value string, value_count bigint{extra}")
-    cells = [F.struct(F.lit(i).alias("column_ord"), as_text(df, n).alias("value")) for i, n in enumerate(columns)]
+    # Floats are counted by the engine's own text and get their final form once per distinct value.
+    floats = [i for i, n in enumerate(columns) if isinstance(df.schema[n].dataType, (T.DoubleType, T.FloatType))]
+    text = lambda i, n: measure(df, n).cast("string") if i in floats else as_text(df, n)
+    cells = [F.struct(F.lit(i).alias("column_ord"), text(i, n).alias("value")) for i, n in enumerate(columns)]
     keep = [F.col(f"`{row_key}`").alias("row_key")] if row_key else []
     aggregates = [F.count(F.lit(1)).alias("value_count")]
     if row_key:
         aggregates.append(F.min("row_key").alias("first_row"))
     counted = long_form(df, cells, keep).filter("value is not null").groupBy("column_ord", "value").agg(*aggregates)
     names = F.array(*[F.lit(n) for n in columns])
+    value = F.col("value")
+    if floats:
+        value = F.when(F.col("column_ord").isin(floats), float_text(value.try_cast("double"))).otherwise(value)
     return counted.select(
         "column_ord",
         F.element_at(names, F.col("column_ord") + 1).alias("column"),
-        "value",
+        value.alias("value"),
         "value_count",
         *(["first_row"] if row_key else []),
     )
@@ -114,20 +119,26 @@ def _profile_cells(df: DataFrame, columns: list[str]) -> list[Column]:
     return cells
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Row count, null share and min/max/mean/std per column, without the text part."""
     columns = columns if columns is not None else df.columns
-    stats = df.agg(*stats_aggregates(df, columns))
+    stats = stats if stats is not None else stats_table(df, columns)
     return long_form(stats, _profile_cells(df, columns), [F.col("n").alias("row_count")])
 
 
 def profile_columns(
-    df: DataFrame, columns: list[str] | None = None, counts: DataFrame | None = None
+    df: DataFrame,
+    columns: list[str] | None = None,
+    counts: DataFrame | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per column: type, nulls, numeric figures or distinct count."""
+    """One row per column: type, nulls, numeric figures or distinct count.
+
+    ``counts`` and ``stats`` are the two passes where they have run already.
+    """
     columns = columns if columns is not None else df.columns
     texts = [n for n in columns if not is_measured(df.schema[n].dataType)]
-    base = numeric_summary(df, columns)
+    base = numeric_summary(df, columns, stats)
     if not texts:
         return base.withColumn("unique_count", F.lit(None).cast("bigint"))
     uniques = (counts if counts is not None else value_counts(df, texts)).filter(F.col("column").isin(texts))

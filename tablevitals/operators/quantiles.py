@@ -1,11 +1,10 @@
 """Exact quantiles of many columns, per group or over the whole table.
 
 Groups up to ``hot_rows`` rows use the built-in exact ``percentile``, whose
-buffer holds a group's distinct values. Larger groups (the whole table is one)
-are narrowed first: approximate percentiles bracket the wanted ranks, the rows
-below and inside the bracket are counted, and only the few distinct values
-inside a small enough bracket are ordered. Every step is a partial aggregation,
-so one group may hold any share of the rows.
+buffer holds a group's distinct values. Larger groups, and the whole table from
+a modest size on, find the values at the wanted ranks by counting values in ever
+smaller intervals. Every pass is a partial aggregation, so one group may hold
+any share of the rows.
 """
 
 from __future__ import annotations
@@ -18,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tablevitals.config import BROADCAST_MAX_ROWS, HOT_GROUP_ROWS
+from tablevitals.config import BROADCAST_MAX_ROWS, HOT_GROUP_ROWS, HOT_TABLE_ROWS
 
-ACCURACY = 10_000
+# Parts an interval is cut into; a billion different values take about three passes.
+BUCKETS = 4096
 
 
 @dataclass(frozen=True)
@@ -35,10 +35,15 @@ class GroupSizes:
         return self.groups <= BROADCAST_MAX_ROWS
 
 
+def whole_table(rows: int, hot_rows: int = HOT_GROUP_ROWS) -> GroupSizes:
+    """The table as one group; all of it meets in one buffer, so the limit is lower."""
+    return GroupSizes(1, [None] if rows > min(hot_rows, HOT_TABLE_ROWS) else [])
+
+
 def group_sizes(df: DataFrame, group: Column | None, hot_rows: int = HOT_GROUP_ROWS) -> GroupSizes:
     """Counts rows per group; one small aggregate row and the hot keys reach the driver."""
     if group is None:
-        return GroupSizes(1, [None] if df.count() > hot_rows else [])
+        return whole_table(df.count(), hot_rows)
     sizes = df.filter(group.isNotNull()).groupBy(group.alias("g")).count()
     hot_key = F.when(F.col("count") > hot_rows, F.col("g"))
     row = sizes.agg(F.count("*").alias("n"), F.collect_list(hot_key).alias("hot")).first()
@@ -52,8 +57,12 @@ def quantile_table(
     group: Column | None = None,
     sizes: GroupSizes | None = None,
     hot_rows: int = HOT_GROUP_ROWS,
+    extent: dict | None = None,
 ) -> DataFrame:
-    """Per group (``g``, or one row without it) ``n_<column>`` and the array ``q_<column>``."""
+    """Per group (``g``, or one row without it) ``n_<column>`` and the array ``q_<column>``.
+
+    Without a group, ``extent`` may give ``(rows, low, high)`` per column.
+    """
     sizes = sizes or group_sizes(df, group, hot_rows)
     aggregates = []
     for name, value in columns.items():
@@ -64,7 +73,7 @@ def quantile_table(
     if group is None:
         if not sizes.hot:
             return df.agg(*aggregates)
-        return _hot_table(df, columns, probs, None, sizes.hot)
+        return _hot_table(df, columns, probs, None, sizes.hot, extent)
     keyed = df.filter(group.isNotNull())
     if not sizes.hot:
         return keyed.groupBy(group.alias("g")).agg(*aggregates)
@@ -73,7 +82,7 @@ def quantile_table(
     return cold.unionByName(hot)
 
 
-def _hot_table(df, columns, probs, group, hot) -> DataFrame:
+def _hot_table(df, columns, probs, group, hot, extent=None) -> DataFrame:
     """The same table for the few hot groups, from ``select_ranks`` results."""
     key = F.lit(None).cast("string") if group is None else group
     names = list(columns)
@@ -81,7 +90,9 @@ def _hot_table(df, columns, probs, group, hot) -> DataFrame:
         key.alias("g"),
         F.inline(F.array(*[F.struct(F.lit(i).alias("c"), columns[n].alias("v")) for i, n in enumerate(names)])),
     ).filter("v is not null")
-    found = select_ranks(long, probs)
+    if extent is not None:
+        extent = {(None, i): extent[n] for i, n in enumerate(names) if extent[n][0]}
+    found = select_ranks(long, probs, extent)
     key_type = df.select(key.alias("g")).schema["g"].dataType
     fields = [T.StructField("g", key_type)]
     for name in names:
@@ -96,151 +107,83 @@ def _hot_table(df, columns, probs, group, hot) -> DataFrame:
     return table.drop("g") if group is None else table
 
 
-def select_ranks(long: DataFrame, probs: list[float], max_values: int = HOT_GROUP_ROWS) -> dict:
+def select_ranks(
+    long: DataFrame, probs: list[float], extent: dict | None = None, buckets: int = BUCKETS
+) -> dict:
     """``{(g, c): (rows, [quantile per prob])}`` of a ``(g, c, v)`` table with few ``(g, c)`` keys.
 
+    Every pass cuts the interval that holds a wanted rank into ``buckets`` equal
+    parts, counts the values per part, and keeps the part with the rank, down to
+    its smallest and largest value; a part with one value is the answer. The
+    counts are partial aggregations of at most ``buckets`` rows per interval.
     Quantiles interpolate linearly between the two neighbouring ranks.
+    ``extent`` is ``{(g, c): (rows, low, high)}`` where already known.
     """
     spark = long.sparkSession
-    key_type = long.schema["g"].dataType
-    margin = 2.0 / ACCURACY
-    asked = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)]
-    first = long.groupBy("g", "c").agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("low"),
-        F.max("v").alias("high"),
-        F.percentile_approx("v", asked, ACCURACY).alias("marks"),
-    )
-    rows_of, brackets, wanted = {}, {}, {}
-    for r in first.collect():
-        rows_of[r["g"], r["c"]] = r["n"]
-        for i, p in enumerate(probs):
-            key = (r["g"], r["c"], i)
-            position = (r["n"] - 1) * p
-            wanted[key] = (math.floor(position), math.ceil(position), position)
-            low, high = r["marks"][2 * i], r["marks"][2 * i + 1]
-            brackets[key] = (r["low"] if asked[2 * i] == 0 else low, r["high"] if asked[2 * i + 1] == 1 else high, r["low"], r["high"])
+    if extent is None:
+        infinite = F.abs("v") == F.lit(float("inf"))
+        finite = F.when(~infinite, F.col("v"))
+        sizes = long.groupBy("g", "c").agg(F.count("v").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+        extent = {(r["g"], r["c"]): (r["n"], r["lo"], r["hi"]) for r in sizes.collect()}
+    rows_of = {key: n for key, (n, _, _) in extent.items()}
+    position = {(key, p): (n - 1) * p for key, n in rows_of.items() for p in probs}
+    # Open intervals: (g, c, low, high) -> values below it; wanted ranks by interval.
+    below = {(*key, lo, hi): 0 for key, (_, lo, hi) in extent.items()}
+    ranks = {
+        i: sorted({f(position[i[:2], p]) for p in probs for f in (math.floor, math.ceil)}) for i in below
+    }
+    value_at: dict = {}
     schema = T.StructType(
-        [T.StructField("bg", key_type), T.StructField("bc", T.IntegerType()), T.StructField("b", T.IntegerType())]
-        + [T.StructField(name, T.DoubleType()) for name in ("low", "high")]
-        + [T.StructField(name, T.LongType()) for name in ("from_rank", "to_rank")]
+        [T.StructField("ig", long.schema["g"].dataType), T.StructField("ic", T.IntegerType()), T.StructField("i", T.IntegerType())]
+        + [T.StructField(name, T.DoubleType()) for name in ("lo", "hi")]
+        + [T.StructField("ranks", T.ArrayType(T.LongType())), T.StructField("below", T.LongType())]
+    )
+    # Halves keep the width of the widest interval finite.
+    share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    bucket = (
+        F.when(F.col("v") == float("-inf"), -1)
+        .when(F.col("v") == float("inf"), buckets)
+        .when(F.col("hi") > F.col("lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1)))
+        .otherwise(0)
     )
-    answers: dict = {}
-    while brackets:
+    while below:
+        intervals = list(below)
         table = spark.createDataFrame(
-            [(*key, low, high, *wanted[key][:2]) for key, (low, high, _, _) in brackets.items()], schema
+            [(*i[:2], nth, *i[2:], ranks[i], below[i]) for nth, i in enumerate(intervals)], schema
         )
-        # One row per open rank, so the broadcast has a handful of rows.
-        inside = long.join(F.broadcast(table), long["g"].eqNullSafe(table["bg"]) & (long["c"] == table["bc"]))
-        is_in = F.col("v").between(F.col("low"), F.col("high"))
-        asked_marks = []
-        for bound, shift in (("from_rank", -margin), ("to_rank", margin)):
-            asked_marks.append((bound, shift))
-        counted = (
-            inside.groupBy("g", "c", "b")
-            .agg(
-                F.count_if(F.col("v") < F.col("low")).alias("below"),
-                F.count_if(is_in).alias("within"),
-            )
+        first_pass = not value_at and all(b == 0 for b in below.values())
+        inside = F.col("v").between(F.col("lo"), F.col("hi"))
+        in_order = Window.partitionBy("i").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        parts = (
+            # One row per open interval: the few keys times the wanted ranks.
+            long.join(F.broadcast(table), long["g"].eqNullSafe(table["ig"]) & (long["c"] == table["ic"]))
+            .filter(F.lit(True) if first_pass else inside)
+            .groupBy("i", bucket.cast("int").alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+            .withColumn("upto", F.sum("n").over(in_order))
+            .join(F.broadcast(table.select("i", "ranks", "below")), "i")
+            .withColumn("last", F.col("below") + F.col("upto") - 1)
+            .withColumn("start", F.col("last") - F.col("n") + 1)
+            .withColumn("held", F.filter("ranks", lambda r: (r >= F.col("start")) & (r <= F.col("last"))))
+            .filter(F.size("held") > 0)
+            .select("i", "least", "most", "start", "held")
             .collect()
         )
-        distinct = {
-            (r["g"], r["c"], r["b"]): r["values"]
-            for r in inside.filter(is_in)
-            .groupBy("g", "c", "b", "v")
-            .count()
-            .groupBy("g", "c", "b")
-            .agg(F.count("*").alias("values"))
-            .collect()
-        }
-        ready, narrow = {}, {}
-        for r in counted:
-            key = (r["g"], r["c"], r["b"])
-            low, high, least, most = brackets[key]
-            first_rank, last_rank, _ = wanted[key]
-            if first_rank < r["below"] or last_rank >= r["below"] + r["within"]:
-                # The approximation missed: widen that side to the end.
-                brackets[key] = (
-                    least if first_rank < r["below"] else low,
-                    most if last_rank >= r["below"] + r["within"] else high,
-                    least,
-                    most,
-                )
-            elif distinct[key] <= max_values:
-                ready[key] = r["below"]
+        below, ranks, found = {}, {}, intervals
+        for part in parts:
+            g, c = found[part["i"]][:2]
+            if part["least"] == part["most"]:
+                value_at.update({(g, c, rank): part["least"] for rank in part["held"]})
             else:
-                narrow[key] = (r["below"], r["within"])
-        if ready:
-            answers.update(_pick(inside.filter(is_in), ready, wanted, schema))
-        if narrow:
-            brackets.update(_narrow(inside.filter(is_in), narrow, wanted, brackets, margin))
-        brackets = {key: b for key, b in brackets.items() if key not in ready}
+                interval = (g, c, part["least"], part["most"])
+                below[interval], ranks[interval] = part["start"], part["held"]
     result = {}
-    for (g, c), n in rows_of.items():
-        result[g, c] = (n, [answers[g, c, i] for i in range(len(probs))])
+    for key, n in rows_of.items():
+        values = []
+        for p in probs:
+            at = position[key, p]
+            low, high = math.floor(at), math.ceil(at)
+            left, right = value_at[(*key, low)], value_at[(*key, high)]
+            values.append(left if low == high else (high - at) * left + (at - low) * right)
+        result[key] = (n, values)
     return result
-
-
-def _pick(inside, ready, wanted, schema) -> dict:
-    """Values at the wanted ranks; the window runs over a bracket's distinct values only."""
-    spark = inside.sparkSession
-    offsets = spark.createDataFrame(
-        [(*key, None, None, below, 0) for key, below in ready.items()], schema
-    ).select(F.col("bg").alias("og"), F.col("bc").alias("oc"), F.col("b").alias("ob"), F.col("from_rank").alias("below"))
-    values = inside.groupBy("g", "c", "b", "from_rank", "to_rank", "v").count()
-    order = Window.partitionBy("g", "c", "b").orderBy("v")
-    ranked = (
-        values.withColumn("upto", F.sum("count").over(order))
-        .join(
-            F.broadcast(offsets),
-            F.col("g").eqNullSafe(F.col("og")) & (F.col("c") == F.col("oc")) & (F.col("b") == F.col("ob")),
-        )
-        .withColumn("last", F.col("below") + F.col("upto") - 1)
-        .withColumn("start", F.col("last") - F.col("count") + 1)
-    )
-    holds = lambda rank: (F.col("start") <= F.col(rank)) & (F.col("last") >= F.col(rank))
-    rows = (
-        ranked.groupBy("g", "c", "b")
-        .agg(
-            F.max(F.when(holds("from_rank"), F.col("v"))).alias("left"),
-            F.max(F.when(holds("to_rank"), F.col("v"))).alias("right"),
-        )
-        .collect()
-    )
-    picked = {}
-    for r in rows:
-        key = (r["g"], r["c"], r["b"])
-        first_rank, last_rank, position = wanted[key]
-        picked[key] = (
-            r["left"]
-            if first_rank == last_rank
-            else (last_rank - position) * r["left"] + (position - first_rank) * r["right"]
-        )
-    return picked
-
-
-def _narrow(inside, narrow, wanted, brackets, margin) -> dict:
-    """Smaller brackets from approximate percentiles of the values inside."""
-    smaller = {}
-    probs = sorted(
-        {
-            min(max(rank / within + d, 0.0), 1.0)
-            for key, (below, within) in narrow.items()
-            for rank, d in ((wanted[key][0] - below, -margin), (wanted[key][1] - below, margin))
-        }
-    )
-    marks = {
-        (r["g"], r["c"], r["b"]): dict(zip(probs, r["marks"]))
-        for r in inside.groupBy("g", "c", "b").agg(F.percentile_approx("v", probs, ACCURACY).alias("marks")).collect()
-    }
-    for key, (below, within) in narrow.items():
-        low_p = min(max((wanted[key][0] - below) / within - margin, 0.0), 1.0)
-        high_p = min(max((wanted[key][1] - below) / within + margin, 0.0), 1.0)
-        low, high, least, most = brackets[key]
-        smaller[key] = (
-            low if low_p == 0 else marks[key][low_p],
-            high if high_p == 1 else marks[key][high_p],
-            least,
-            most,
-        )
-    return smaller

@@ -46,6 +46,7 @@ def run_all_rules(batch: Batch, baseline: DataFrame | None = None) -> DataFrame:
 
     Entity and period columns are guessed unless the batch names them.
     """
+    batch.stats  # one scan for all rules  # noqa: B018
     return reduce(DataFrame.unionByName, [rule(batch, baseline) for rule in RULES.values()])
 
 
@@ -79,14 +80,19 @@ def run_batch(
     run_id: str | None = None,
     config: dict | None = None,
     timestamp: datetime | None = None,
+    stage: bool = False,
 ) -> RunResult:
     """Profiles, checks and scores a table; with a store, keeps everything by run.
 
     The baseline for schema drift is the dataset's newest stored profile unless
     one is given. Issues are materialised once: in the store's issue table, or
-    without a store on the executors (memory, then disk).
+    without a store on the executors (memory, then disk). ``stage`` first writes
+    the table as parquet to the store; the rules scan it several times, and then
+    read typed columns instead of parsing text again.
     """
     run_id = run_id or new_run_id()
+    if stage and store is not None:
+        df = store.stage(df, run_id)
     if baseline is None and store is not None:
         baseline = latest_profile(store.profiles(), dataset_name)
     if baseline is not None and baseline.isEmpty():
@@ -94,7 +100,7 @@ def run_batch(
     batch = Batch(df, row_key=row_key, config=config)
     try:
         issues = run_all_rules(batch, baseline)
-        profile = profile_columns(df, batch.columns, batch.counts)
+        profile = profile_columns(df, batch.columns, batch.counts, batch.stats_table())
         if store is not None:
             store.store_issues(issues, run_id)
             issues = store.stored_issues(run_id)
@@ -124,4 +130,6 @@ def run_batch(
             profile = spark.createDataFrame(profile.collect(), profile.schema)
     finally:
         batch.release()
+        if stage and store is not None:
+            store.drop_staged(run_id)
     return RunResult(run_id, run, issues, profile, summary)

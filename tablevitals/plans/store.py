@@ -97,9 +97,23 @@ class RunStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _file_system(self, path: str):
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
+
     def _exists(self, table: str) -> bool:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path)
+        system, path = self._file_system(self.path(table))
+        return system.exists(path)
+
+    def stage(self, df: DataFrame, run_id: str) -> DataFrame:
+        """The table written once as parquet, for the scans of one run."""
+        path = self.path(f"staging/{run_id}")
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_staged(self, run_id: str) -> None:
+        system, path = self._file_system(self.path(f"staging/{run_id}"))
+        system.delete(path, True)
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Writes the runs in ``rows``, replacing partitions of the same runs."""

@@ -21,8 +21,13 @@ MISSING_TOKENS = [
 # The numbers and booleans a text column may hold.
 NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)$"
 BOOLEANS = {"True": True, "TRUE": True, "true": True, "False": False, "FALSE": False, "false": False}
-# Characters a text is stripped of at both ends (Unicode white space).
-SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Characters a text is stripped of at both ends (Unicode white space), by code.
+SPACE_CODES = [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000
+]
+SPACE = "".join(map(chr, SPACE_CODES))
+# First characters of a number or of inf: a quick test before the pattern.
+NUMBER_STARTS = [ord(c) for c in "+-.0123456789iI"]
 
 
 def _texts(df: DataFrame) -> list[str]:
@@ -44,7 +49,7 @@ def standardize_columns(df: DataFrame) -> DataFrame:
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(value, F.lit(SPACE))
 
 
 def trim_strings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -55,7 +60,7 @@ def trim_strings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def parse_number(value: Column) -> Column:
     """The text as double where it is a plain number, else null."""
     text = strip(value)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(F.ascii(text).isin(NUMBER_STARTS) & text.rlike(NUMBER), text.try_cast("double"))
 
 
 @dataclass(frozen=True)

@@ -61,6 +61,7 @@ def process_file(spark: SparkSession, store: RunStore, file, config: dict | None
             run_id=run_id,
             row_key=ROW_INDEX,
             config=config,
+            stage=True,
         )
     except Exception as error:  # one bad file does not stop the others
         log.exception("failed to process %s", file["path"])

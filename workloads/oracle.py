@@ -442,7 +442,7 @@ ORACLE: dict[str, str] = {
     "outlier_hot_groups": outlier("events", "event_id", ["value"], "event_type"),
     "consistency_rule": using("maker_parts", select=consistency("maker_parts", "p_partkey", ["maker"])),
     "fuzzy_wratio": f"""WITH pairs AS (SELECT 'brand' AS pair, p_brand AS a, 'Brand#' || p_size::VARCHAR AS b FROM part
-            UNION ALL SELECT 'name', replace(p_name, ' ', '_'), substr(p_name, 3, 3) FROM part),
+            UNION ALL SELECT 'name', replace(p_name, ' ', '_'), substr(replace(p_name, ' ', '_'), 3, 3) FROM part),
         counted AS (SELECT pair, a, b, count(*) AS parts FROM pairs GROUP BY ALL),
         sized AS (SELECT *, greatest(length(a), length(b)) / least(length(a), length(b)) AS far,
                   {ratio("a", "b")} AS plain FROM counted),

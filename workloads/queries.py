@@ -319,7 +319,7 @@ def fuzzy_wratio(spark, sf_dir):
     pair = lambda name, a, b: F.struct(F.lit(name).alias("pair"), a.alias("a"), b.alias("b"))
     size_brand = F.concat(F.lit("Brand#"), F.col("p_size").cast("string"))
     name = F.regexp_replace("p_name", " ", "_")
-    cells = [pair("brand", F.col("p_brand"), size_brand), pair("name", name, F.substr("p_name", F.lit(3), F.lit(3)))]
+    cells = [pair("brand", F.col("p_brand"), size_brand), pair("name", name, F.substr(name, F.lit(3), F.lit(3)))]
     pairs = part.select(F.inline(F.array(*cells)))
     distinct = pairs.groupBy("pair", "a", "b").agg(F.count("*").alias("parts"))
     return distinct.select("pair", "a", "b", "parts", F.round(wratio_udf("a", "b").cast("double"), 3).alias("score"))
