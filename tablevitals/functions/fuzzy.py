@@ -307,7 +307,8 @@ def best_match_udf(groups, floor: float):
 
     ``groups`` is a Spark broadcast of ``{group: [candidate, …]}`` in preference
     order; of equal scores the earlier candidate wins. Scores under ``floor``
-    need not be exact.
+    need not be exact. Declared non-deterministic so that the optimizer runs it
+    once, where it stands, and not again inside filters on its result.
     """
 
     @F.pandas_udf(T.StructType([T.StructField("match_no", T.IntegerType()), T.StructField("score", T.FloatType())]))
@@ -323,7 +324,7 @@ def best_match_udf(groups, floor: float):
             score[row] = scores[match_no[row]]
         return pd.DataFrame({"match_no": match_no, "score": score})
 
-    return best_match
+    return best_match.asNondeterministic()
 
 
 @F.pandas_udf(T.FloatType())

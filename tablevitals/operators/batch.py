@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablevitals.config import HOT_GROUP_ROWS, rule_config
 from tablevitals.functions.columns import ROW_INDEX, col, text_columns
 from tablevitals.operators import roles
-from tablevitals.operators.profile import distinct_counts, is_measured, stats_table, value_counts
+from tablevitals.operators.profile import is_measured, stats_table, value_counts
 
 
 @dataclass
@@ -76,15 +76,29 @@ class Batch:
         return [c for c in self.columns if c in periods or not is_measured(self.df.schema[c].dataType)]
 
     @cached_property
-    def counts(self) -> DataFrame:
-        """The value-count pass, kept (memory, then disk) for roles, profile and consistency."""
-        counts = value_counts(self.df, self.counted_columns, self.row_key).persist()
-        self._persisted.append(counts)
-        return counts
+    def value_stats(self) -> dict[str, tuple[int, int]]:
+        """The value-count pass: distinct and rare values per column.
+
+        The counts themselves are not kept; a free-text column has about as
+        many as rows.
+        """
+        rare = self.params("consistency").get("min_value_count", 2)
+        figures = (
+            value_counts(self.df, self.counted_columns)
+            .groupBy("column")
+            .agg(F.count(F.lit(1)).alias("distinct"), F.count_if(F.col("value_count") < rare).alias("rare"))
+        )
+        return {r["column"]: (r["distinct"], r["rare"]) for r in figures.collect()}
 
-    @cached_property
+    @property
     def distinct(self) -> dict[str, int]:
-        return distinct_counts(self.counts)
+        return {c: n for c, (n, _) in self.value_stats.items()}
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """``df`` kept (memory, then disk) until ``release``."""
+        df = df.persist()
+        self._persisted.append(df)
+        return df
 
     @property
     def texts(self) -> list[str]:

@@ -14,6 +14,7 @@ from tablevitals.functions.fuzzy import best_match_udf
 from tablevitals.functions.pyformat import fixed_text
 from tablevitals.operators.batch import Batch
 from tablevitals.operators.issues import issue_row, no_issues
+from tablevitals.operators.profile import value_counts
 
 RARE_PER_TASK = 20_000
 # Candidate texts sent to the workers at once; more are scored in several passes.
@@ -87,7 +88,12 @@ def _pieces(frequent: list) -> list[list]:
 
 
 def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
-    """Needs the value counts only; rows are touched again just for ``min_value_count > 2``."""
+    """Judges text columns by their value counts.
+
+    Which columns are judged follows from the value-count pass; their counts,
+    with the row of every value that occurs once, are then all that is needed.
+    Rows are joined again only for ``min_value_count > 2``.
+    """
     df, spark = batch.df, batch.df.sparkSession
     if not batch.enabled("consistency"):
         return no_issues(spark)
@@ -99,27 +105,18 @@ def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
     limit = params.get("max_common_candidates", 300)
     texts = [c for c in (columns if columns is not None else batch.texts) if c in batch.columns]
     texts = [c for c in texts if is_text(df.schema[c].dataType)]
-    per_column = {
-        r["column"]: r
-        for r in batch.counts.filter(F.col("column").isin(texts) if texts else F.lit(False))
-        .groupBy("column")
-        .agg(
-            F.count("*").alias("distinct"),
-            F.count_if(F.col("value_count") < min_count).alias("rare"),
-        )
-        .collect()
-    }
     judged = []
-    for name, r in per_column.items():
-        free_text = batch.rows >= min_sample and r["distinct"] / batch.rows > max_unique
-        if not free_text and 0 < r["rare"] < r["distinct"]:
+    for name in texts:
+        distinct, rare_values = batch.value_stats.get(name, (0, 0))
+        free_text = batch.rows >= min_sample and distinct / batch.rows > max_unique
+        if not free_text and 0 < rare_values < distinct:
             judged.append(name)
     if not judged:
         return no_issues(spark)
-    counts = batch.counts.filter(F.col("column").isin(judged))
+    counts = batch.kept(value_counts(df, judged, batch.row_key))
     frequent = frequent_values(counts, min_count, limit).orderBy("column", "preference").collect()
     rare = counts.filter(F.col("value_count") < min_count)
-    matched = best_matches(rare, frequent, threshold, sum(per_column[c]["rare"] for c in judged))
+    matched = best_matches(rare, frequent, threshold, sum(batch.value_stats[c][1] for c in judged))
     if min_count <= 2:
         rows = matched.withColumn("key", F.col("first_row"))  # a rare value has one row
     else:

@@ -35,13 +35,11 @@ def outlier(batch: Batch, columns: list[str] | None = None, group_by: str | None
     grouped = bool(group_by) and group_by in df.columns
     method = params.get("method", "zscore")
     keys = {str(i): name for i, name in enumerate(names)}
-    rows = df.select(
+    rows = (df.filter(~is_missing(df, group_by)) if grouped else df).select(
         batch.key.alias("key"),
-        (F.when(~is_missing(df, group_by), as_text(df, group_by)) if grouped else F.lit(None).cast("string")).alias("g"),
+        (as_text(df, group_by) if grouped else F.lit(None).cast("string")).alias("g"),
         *[measure(df, name).alias(i) for i, name in keys.items()],
     )
-    if grouped:
-        rows = rows.filter("g is not null")
     group = F.col("g") if grouped else None
     sizes = group_sizes(rows, group, batch.hot_rows) if grouped else whole_table(batch.rows, batch.hot_rows)
     judge = _iqr_bounds if method == "iqr" else _zscore_bounds

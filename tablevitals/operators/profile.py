@@ -129,20 +129,23 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, stats: Data
 def profile_columns(
     df: DataFrame,
     columns: list[str] | None = None,
-    counts: DataFrame | None = None,
+    distinct: dict[str, int] | None = None,
     stats: DataFrame | None = None,
 ) -> DataFrame:
     """One row per column: type, nulls, numeric figures or distinct count.
 
-    ``counts`` and ``stats`` are the two passes where they have run already.
+    ``distinct`` and ``stats`` are the results of the two passes where they have run already.
     """
     columns = columns if columns is not None else df.columns
     texts = [n for n in columns if not is_measured(df.schema[n].dataType)]
     base = numeric_summary(df, columns, stats)
     if not texts:
         return base.withColumn("unique_count", F.lit(None).cast("bigint"))
-    uniques = (counts if counts is not None else value_counts(df, texts)).filter(F.col("column").isin(texts))
-    uniques = uniques.groupBy("column").agg(F.count("*").alias("unique_count"))
+    if distinct is None:
+        uniques = value_counts(df, texts).groupBy("column").agg(F.count("*").alias("unique_count"))
+    else:
+        known = [(c, distinct[c]) for c in texts if c in distinct]
+        uniques = df.sparkSession.createDataFrame(known, "column string, unique_count bigint")
     # One row per column on both sides.
     joined = base.join(F.broadcast(uniques), "column", "left")
     unique_count = F.when(F.col("column").isin(texts), F.coalesce("unique_count", F.lit(0)))

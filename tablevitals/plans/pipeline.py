@@ -100,7 +100,7 @@ def run_batch(
     batch = Batch(df, row_key=row_key, config=config)
     try:
         issues = run_all_rules(batch, baseline)
-        profile = profile_columns(df, batch.columns, batch.counts, batch.stats_table())
+        profile = profile_columns(df, batch.columns, batch.distinct, batch.stats_table())
         if store is not None:
             store.store_issues(issues, run_id)
             issues = store.stored_issues(run_id)

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablevitals.functions.columns import ROW_INDEX, col
+from tablevitals.functions.columns import col
 from tablevitals.functions.names import standardize_names
 from tablevitals.sources.row_index import with_file_row_index
-from tablevitals.sources.tables import auto_coerce_numeric, normalize_na_tokens, trim_strings
+from tablevitals.sources.tables import auto_coerce_numeric, infer_types, normalize_na_tokens, trim_strings
 
 # What the bytes 0x80 to 0x9F mean in Windows-1252, in byte order.
 # Five of them (81 8D 8F 90 9D) mean nothing there.
@@ -37,13 +37,17 @@ def detect_formats(spark: SparkSession, paths: list[str]) -> dict[str, FileForma
     quotes; only such files are read unsplit.
     """
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
-    raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    value = F.col("value")
+    valid = F.is_valid_utf8(value)
+    ascii_only = valid & (F.length(value) == F.octet_length(value))
+    latin = F.decode(value.cast("binary"), "ISO-8859-1")
+    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
     found = (
         lines.groupBy("path")
         .agg(
-            F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-            F.bool_or(raw.rlike(UNDEFINED_1252)).alias("undefined"),
-            F.bool_or(F.pmod(F.length(F.regexp_replace(raw, '[^"]', "")), F.lit(2)) == 1).alias("open_quote"),
+            F.bool_and(valid).alias("utf8"),
+            F.bool_or(F.when(ascii_only, False).otherwise(latin.rlike(UNDEFINED_1252))).alias("undefined"),
+            F.bool_or(value.contains('"') & (F.pmod(quotes, F.lit(2)) == 1)).alias("open_quote"),
         )
         .collect()
     )
@@ -79,22 +83,31 @@ def header_names(spark: SparkSession, path: str, form: FileFormat) -> list[str]:
     return standardize_names(raw)
 
 
+def common_format(spark: SparkSession, paths: list[str]) -> FileFormat:
+    """The format of files that are to be read together."""
+    formats = list(detect_formats(spark, paths).values())
+    if not formats:
+        raise ValueError("no columns to read")
+    if len({f.encoding for f in formats}) > 1:
+        raise ValueError("files of different encodings; scan them in groups by detect_formats")
+    return FileFormat(formats[0].encoding, any(f.multi_line for f in formats))
+
+
 def scan_csv(
-    spark: SparkSession, paths: str | list[str], form: FileFormat | None = None, with_position: bool = False
+    spark: SparkSession,
+    paths: str | list[str],
+    form: FileFormat | None = None,
+    names: list[str] | None = None,
+    with_position: bool = False,
 ) -> DataFrame:
     """Rows of CSV files that share a header, all columns text, missing tokens null.
 
-    ``with_position`` adds each row's position in its file.
+    ``form`` and ``names`` are found out unless given; ``with_position`` adds
+    each row's position, files in the order of their paths.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if form is None:
-        formats = list(detect_formats(spark, paths).values())
-        if not formats:
-            raise ValueError("no columns to read")
-        if len({f.encoding for f in formats}) > 1:
-            raise ValueError("files of different encodings; scan them in groups by detect_formats")
-        form = FileFormat(formats[0].encoding, any(f.multi_line for f in formats))
-    names = header_names(spark, paths[0], form)
+    form = form or common_format(spark, paths)
+    names = names or header_names(spark, paths[0], form)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     raw = _reader(spark, form).schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
     cells = [col(f"c{i}") for i in range(len(names))]
@@ -108,8 +121,13 @@ def scan_csv(
     return with_file_row_index(clean) if with_position else clean
 
 
-def load_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The whole ingest path for one file: scan, missing tokens, names, trim, types, position."""
-    rows = scan_csv(spark, path, with_position=True)
-    names = [c for c in rows.columns if c != ROW_INDEX]
-    return auto_coerce_numeric(trim_strings(rows, names), from_file=True)
+def load_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The whole ingest path for one file, or files of one table: scan, missing
+    tokens, names, trim, types, position."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    form = common_format(spark, paths)
+    names = header_names(spark, paths[0], form)
+    # Types come from the cells alone, so that scan needs no positions.
+    types = infer_types(trim_strings(scan_csv(spark, paths, form, names)))
+    rows = scan_csv(spark, paths, form, names, with_position=True)
+    return auto_coerce_numeric(trim_strings(rows, names), types, from_file=True)

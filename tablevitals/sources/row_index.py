@@ -13,6 +13,8 @@ from tablevitals.functions.columns import ROW_INDEX
 
 # monotonically_increasing_id: partition number above, row in partition below this bit.
 ROW_BITS = 33
+# File blocks (of about 128 MB) whose positions are broadcast.
+BLOCKS_BROADCAST = 1_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -65,7 +67,9 @@ def with_row_index(df: DataFrame, order_by: list[Column | str], partitions: int
 
 
 def with_file_row_index(df: DataFrame, path: str = "_path", block: str = "_block") -> DataFrame:
-    """Adds the row's position in its file to rows read with their file path and block start.
+    """Adds the row's position to rows read with their file path and block start.
+
+    Files follow each other by path, rows as they stand in their file.
 
     A task reads a file block from front to back, so a row's place in its block
     is its distance from the block's first row. Block sizes are added up per
@@ -75,8 +79,28 @@ def with_file_row_index(df: DataFrame, path: str = "_path", block: str = "_block
     blocks = numbered.groupBy(path, block).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
     before = Window.partitionBy(path).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    files = len(df.inputFiles())
+    if files > 1:
+        starts = _after_earlier_files(starts, blocks, path)
+    # A task reads one block of a large file or several small files.
+    most_blocks = df.rdd.getNumPartitions() + files
+    if most_blocks <= BLOCKS_BROADCAST:
+        starts = F.broadcast(starts)
     return (
         numbered.join(starts, [path, block])
         .withColumn(ROW_INDEX, F.col("_start") + F.col("_at") - F.col("_first"))
         .drop("_at", "_first", "_start", path, block)
     )
+
+
+def _after_earlier_files(starts: DataFrame, blocks: DataFrame, path: str) -> DataFrame:
+    """Block positions moved behind the rows of all earlier files; one number per file."""
+    sizes = blocks.groupBy(path).agg(F.sum("_rows").alias("rows")).orderBy(path).collect()
+    offsets, total = [], 0
+    for r in sizes:
+        offsets.append((r[path], total))
+        total += r["rows"]
+    table = starts.sparkSession.createDataFrame(offsets, f"{path} string, _offset bigint")
+    if len(offsets) <= BLOCKS_BROADCAST:
+        table = F.broadcast(table)
+    return starts.join(table, path).withColumn("_start", F.col("_start") + F.col("_offset")).drop("_offset")

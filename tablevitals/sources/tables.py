@@ -49,7 +49,11 @@ def standardize_columns(df: DataFrame) -> DataFrame:
 
 
 def strip(value: Column) -> Column:
-    return F.btrim(value, F.lit(SPACE))
+    text = F.trim(value)
+    # Nearly all cells begin and end with a visible ASCII character by now.
+    visible = lambda c: F.ascii(c).between(0x21, 0x7E)
+    clean = (text == "") | (visible(text) & visible(F.substring(text, -1, 1)))
+    return F.when(clean, text).otherwise(F.btrim(value, F.lit(SPACE)))
 
 
 def trim_strings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -118,6 +118,14 @@ def test_positions_of_a_split_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_positions_across_files(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for n in range(3):
+        write(tmp_path / "t", f"{n}.csv", b"k\n" + b"".join(b"%d\n" % (100 * n + i) for i in range(100)))
+    df = load_csv(spark, str(tmp_path / "t"))
+    assert [(r["k"], r["_row_index"]) for r in df.orderBy("_row_index").collect()] == [(float(i), i) for i in range(300)]
+
+
 def test_with_row_index(spark):
     """Ties make up a third of the rows; every position is given once, in order."""
     df = spark.range(5000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 11)).alias("k")).repartition(5)

@@ -343,7 +343,7 @@ SCORED = """SELECT r.run_id, greatest(0, 100 - coalesce(lost, 0))::INT AS score,
     coalesce(lost, 0) AS total_deducted, coalesce(found, 0) AS total_issues
     FROM runs r LEFT JOIN totals t USING (run_id)"""
 PLACED = """SELECT run_id, issue_type, issue_count, penalty_weight, penalty_weight * issue_count AS points_deducted,
-    row_number() OVER (PARTITION BY run_id ORDER BY penalty_weight * issue_count DESC, first_rule, issue_type) AS place
+    (row_number() OVER (PARTITION BY run_id ORDER BY penalty_weight * issue_count DESC, first_rule, issue_type))::INT AS place
     FROM weighted"""
 BAND = "CASE WHEN health_score >= 85 THEN 'green' WHEN health_score >= 60 THEN 'amber' ELSE 'red' END"
 CUSTOMER_JSON = "to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_acctbal': c_acctbal, 'c_mktsegment': c_mktsegment})::VARCHAR"
