@@ -54,7 +54,7 @@ ENTITY_MIN_DISTINCT = 10
 # A group with more rows than this is not handed to one percentile buffer.
 HOT_GROUP_ROWS = 1_000_000
 # The same for a whole table, which is a single group.
-HOT_TABLE_ROWS = 50_000
+HOT_TABLE_ROWS = 500_000
 # A per-group table is broadcast only when it has at most this many rows.
 BROADCAST_MAX_ROWS = 200_000
 

@@ -77,9 +77,16 @@ def quantile_table(
     keyed = df.filter(group.isNotNull())
     if not sizes.hot:
         return keyed.groupBy(group.alias("g")).agg(*aggregates)
-    cold = keyed.filter(~group.isin(sizes.hot)).groupBy(group.alias("g")).agg(*aggregates)
-    hot = _hot_table(keyed.filter(group.isin(sizes.hot)), columns, probs, group, sizes.hot)
-    return cold.unionByName(hot)
+    # Hot keys are at most one per ``hot_rows`` rows of the table.
+    keys = F.broadcast(_key_table(df, group, sizes.hot))
+    cold = keyed.join(keys, group == keys["hot_key"], "left_anti").groupBy(group.alias("g")).agg(*aggregates)
+    hot_rows_only = keyed.join(keys, group == keys["hot_key"], "left_semi")
+    return cold.unionByName(_hot_table(hot_rows_only, columns, probs, group, sizes.hot))
+
+
+def _key_table(df: DataFrame, group: Column, hot: list) -> DataFrame:
+    key_type = df.select(group.alias("g")).schema["g"].dataType
+    return df.sparkSession.createDataFrame([(k,) for k in hot], T.StructType([T.StructField("hot_key", key_type)]))
 
 
 def _hot_table(df, columns, probs, group, hot, extent=None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,22 +35,25 @@ def with_row_index(df: DataFrame, order_by: list[Column | str], partitions: int
     """Adds the row's position in the given order.
 
     Rows are range-partitioned and sorted per partition, with the input
-    position as the last sort column so that equal keys spread over tasks. A
-    checkpoint fixes the partitions; their sizes, one number each, then turn
-    positions within a partition into positions in the table.
+    position as the last sort column so that equal keys spread over tasks. The
+    sorted rows are written once to the shared checkpoint folder, which fixes
+    the partitions; their sizes, one number each, then turn positions within a
+    partition into positions in the table.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ordered = (
+    path = f"{spark.sparkContext.getCheckpointDir()}/ordered-{uuid.uuid4().hex}"
+    (
         df.withColumn("_input", F.monotonically_increasing_id())
         .repartitionByRange(partitions, *order, "_input")
         .sortWithinPartitions(*order, "_input")
         .drop("_input")
         .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
+        .write.parquet(path)
     )
+    ordered = spark.read.parquet(path)
     part = F.shiftright("_at", ROW_BITS).cast("int")
     sizes = {r["p"]: r["n"] for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     offsets, total = [], 0
