@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -21,7 +22,7 @@ from tablevitals.operators.consistency import consistency
 from tablevitals.operators.drift import schema_drift
 from tablevitals.operators.duplicates import duplicate
 from tablevitals.operators.outliers import outlier
-from tablevitals.operators.profile import profile_columns
+from tablevitals.operators.profile import profile_columns, unique_values
 from tablevitals.operators.score import run_totals
 from tablevitals.operators.validity import validity
 from tablevitals.plans.reports import latest_profile
@@ -81,6 +82,7 @@ def run_batch(
     config: dict | None = None,
     timestamp: datetime | None = None,
     stage: bool = False,
+    keep_values: bool = False,
 ) -> RunResult:
     """Profiles, checks and scores a table; with a store, keeps everything by run.
 
@@ -88,9 +90,13 @@ def run_batch(
     one is given. Issues are materialised once: in the store's issue table, or
     without a store on the executors (memory, then disk). ``stage`` first writes
     the table as parquet to the store; the rules scan it several times, and then
-    read typed columns instead of parsing text again.
+    read typed columns instead of parsing text again. ``keep_values`` also
+    stores the full list of distinct texts per column, which for free text is
+    about as large as the table.
     """
     run_id = run_id or new_run_id()
+    if not re.fullmatch(r"[\w-]+", run_id):
+        raise ValueError(f"run id {run_id!r} is not a plain name")
     if stage and store is not None:
         df = store.stage(df, run_id)
     if baseline is None and store is not None:
@@ -122,6 +128,8 @@ def run_batch(
         if store is not None:
             store.store_rows(df, run_id, row_key, batch.columns)
             store.store_profile(profile, run)
+            if keep_values:
+                store.store_values(unique_values(df, batch.columns), run_id)
             store.store_lineage(run)
             store.store_run(run)  # the commit marker
             profile = store.profiles().filter(F.col("run_id") == run_id)

@@ -143,6 +143,12 @@ def run_profile(runs: DataFrame, profiles: DataFrame, run_id: str) -> DataFrame:
     return profiles.filter(F.col("run_id") == run_id).orderBy("ordinal")
 
 
+def run_values(runs: DataFrame, values: DataFrame, run_id: str) -> DataFrame:
+    """The distinct texts per column of a run's profile, in order."""
+    require_run(runs, run_id)
+    return values.filter(F.col("run_id") == run_id).orderBy("column", "value").select("column", "value")
+
+
 def run_preview(runs: DataFrame, rows: DataFrame, run_id: str, limit: int = PREVIEW_LIMIT) -> DataFrame:
     """The first rows of a run in their original order (a top-k)."""
     require_run(runs, run_id)
@@ -157,23 +163,19 @@ def latest_profile(profiles: DataFrame, dataset_name: str) -> DataFrame:
 
 
 def run_report(runs: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row per issue with the run's figures; a run without issues keeps one row."""
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    found = issues.select("run_id", "severity", "issue_type", "row_reference", "column", "description")
-    return (
-        runs.withColumnRenamed("timestamp", "run_timestamp")
-        .join(found, "run_id", "left")
-        .select(
-            "dataset_name",
-            "run_id",
-            "run_timestamp",
-            "health_score",
-            "rows_processed",
-            "rows_flagged",
-            *[blank(c) for c in ("severity", "issue_type", "row_reference", "column")],
-            F.coalesce("description", F.lit("no issues flagged")).alias("description"),
-        )
+    """One row per issue with the run's figures; a run without issues keeps one row.
+
+    Written as an inner join and the runs it leaves out: unlike one outer join,
+    the inner join can split a run that holds most of the issues.
+    """
+    texts = ["severity", "issue_type", "row_reference", "column"]
+    heads = runs.withColumnRenamed("timestamp", "run_timestamp")
+    found = issues.select("run_id", *texts, "description").join(heads, "run_id").select(*REPORT_COLUMNS)
+    with_issues = issues.select("run_id").distinct()
+    clean = heads.join(with_issues, "run_id", "left_anti").withColumns(
+        {**{c: F.lit("") for c in texts}, "description": F.lit("no issues flagged")}
     )
+    return found.unionByName(clean.select(*REPORT_COLUMNS))
 
 
 def printable_report(run: DataFrame, deductions: DataFrame, issues: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The run store: five parquet tables under one folder, partitioned by run.
+"""The run store: parquet tables under one folder, partitioned by run.
 
 ``quality_runs`` is written last and marks a run as finished; readers of the
 other tables only see rows of finished runs. Writing a run again replaces its
@@ -28,6 +28,7 @@ SCHEMAS = {
     "quality_issues": "run_id string, " + ISSUE_SCHEMA,
     "dataset_rows": "run_id string, row_index bigint, data string",
     "dataset_profiles": PROFILE_SCHEMA,
+    "profile_values": "run_id string, column string, value string",
     "data_lineage": (
         "run_id string, source_file string, ingested_at timestamp, "
         "transformations_applied array<string>, destination_table string"
@@ -90,6 +91,8 @@ def profile_table(profile: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 class RunStore:
+    """Run ids are plain names (letters, digits, ``-`` and ``_``): they name folders."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
@@ -126,11 +129,14 @@ class RunStore:
             .parquet(self.path(table))
         )
 
-    def _read(self, table: str) -> DataFrame:
+    def _read(self, table: str, run_id: str | None = None) -> DataFrame:
+        """The table, or one run's partition without listing the others."""
         schema = T.StructType.fromDDL(SCHEMAS[table])
-        if not self._exists(table):
+        part = f"{table}/run_id={run_id}" if run_id is not None else table
+        if not self._exists(part):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
+        reader = self.spark.read.schema(schema).option("basePath", self.path(table))
+        return reader.parquet(self.path(part)).select(*schema.names)
 
     def runs(self) -> DataFrame:
         return self._read("quality_runs")
@@ -147,6 +153,9 @@ class RunStore:
     def profiles(self) -> DataFrame:
         return self._finished("dataset_profiles")
 
+    def values(self) -> DataFrame:
+        return self._finished("profile_values")
+
     def lineage(self) -> DataFrame:
         return self._finished("data_lineage")
 
@@ -159,6 +168,9 @@ class RunStore:
     def store_profile(self, profile: DataFrame, run: DataFrame) -> None:
         self.append("dataset_profiles", profile_table(profile, run))
 
+    def store_values(self, values: DataFrame, run_id: str) -> None:
+        self.append("profile_values", values.withColumn("run_id", F.lit(run_id)))
+
     def store_lineage(self, run: DataFrame) -> None:
         self.append("data_lineage", lineage_table(run))
 
@@ -167,4 +179,4 @@ class RunStore:
 
     def stored_issues(self, run_id: str) -> DataFrame:
         """A run's issues before it is marked finished (read back by its own writer)."""
-        return self._read("quality_issues").filter(F.col("run_id") == run_id)
+        return self._read("quality_issues", run_id)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablevitals.operators.score import deductions
 from tablevitals.plans.pipeline import run_batch
+from tablevitals.plans.reports import run_values
 from tablevitals.plans.store import RunStore
 from tablevitals.sources.csv import load_csv
 
@@ -40,7 +41,7 @@ def test_planted_faults_and_store(spark, tmp_path):
     assert df.count() == 62
     assert [r[0] for r in df.select("_row_index").orderBy("_row_index").collect()] == list(range(62))
     store = RunStore(spark, str(tmp_path / "store"))
-    result = run_batch(spark, df, dataset_name="power", source_file=str(path), store=store)
+    result = run_batch(spark, df, dataset_name="power", source_file=str(path), store=store, stage=True, keep_values=True)
     by_type = {r["issue_type"]: r["count"] for r in result.issues.groupBy("issue_type").count().collect()}
     assert by_type == {"completeness": 4, "validity": 1, "outlier": 2, "consistency": 1}
     assert result.summary["health_score"] == 57
@@ -50,6 +51,8 @@ def test_planted_faults_and_store(spark, tmp_path):
     assert store.issues().count() == 8
     assert store.lineage().count() == 1
     assert store.profiles().count() == 4
+    months = run_values(store.runs(), store.values(), result.run_id).filter("column = 'month'").collect()
+    assert [r["value"] for r in months] == ["2026-01", "2026-02", "2026-03"]
     points = {r["issue_type"]: r["points_deducted"] for r in deductions(result.issues).collect()}
     assert points == {"completeness": 16, "outlier": 12, "validity": 10, "consistency": 5}
     texts = [r[0] for r in result.issues.select("description").collect()]
@@ -60,11 +63,11 @@ def test_planted_faults_and_store(spark, tmp_path):
     )
     assert "'Bihar' is missing from month=2026-02 despite reporting in other periods" in texts
     # The second run has a baseline and no drift; storing it again changes nothing.
-    again = run_batch(spark, df, dataset_name="power", store=store)
+    again = run_batch(spark, df, dataset_name="power", store=store, stage=True)
     assert again.issues.filter(F.col("issue_type") == "schema_drift").count() == 0
-    run_batch(spark, df, dataset_name="power", store=store, run_id=again.run_id)
+    run_batch(spark, df, dataset_name="power", store=store, run_id=again.run_id, stage=True)
     assert store.runs().count() == 2
     assert store.issues().count() == 16
-    other = run_batch(spark, df.drop("month"), dataset_name="power", store=store)
+    other = run_batch(spark, df.drop("month"), dataset_name="power", store=store, stage=True)
     drift = other.issues.filter(F.col("issue_type") == "schema_drift").collect()
     assert [(r["column"], r["severity"]) for r in drift] == [("month", "high")]

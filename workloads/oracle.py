@@ -415,6 +415,9 @@ ORACLE: dict[str, str] = {
     "text_summary_parts": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count FROM part" for c in ("p_name", "p_brand", "p_type")
     ),
+    "unique_values_parts": " UNION ALL ".join(
+        f"SELECT DISTINCT '{c}' AS \"column\", {c} AS value FROM part" for c in ("p_name", "p_brand", "p_type")
+    ),
     "value_counts_lines": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", {v} AS value, count(*) AS value_count FROM lineitem GROUP BY ALL"
         for c, v in (

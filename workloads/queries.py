@@ -23,6 +23,7 @@ from tablevitals.operators.profile import (
     numeric_summary,
     profile_columns,
     text_summary,
+    unique_values,
     value_counts,
 )
 from tablevitals.operators.validity import validity
@@ -224,6 +225,11 @@ def text_summary_parts(spark, sf_dir):
     return text_summary(inputs.table(spark, sf_dir, "part"))
 
 
+@query
+def unique_values_parts(spark, sf_dir):
+    return unique_values(inputs.table(spark, sf_dir, "part"))
+
+
 @query
 def value_counts_lines(spark, sf_dir):
     lines = inputs.table(spark, sf_dir, "lineitem")
