@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 from typing import Callable
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +43,26 @@ RULES: dict[str, Callable[[Batch, DataFrame | None], DataFrame]] = {
 }
 
 
+def side_by_side(*tasks: Callable) -> list:
+    """Runs tasks that submit Spark jobs at the same time; results in order."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(task)) for task in tasks]]
+
+
 def run_all_rules(batch: Batch, baseline: DataFrame | None = None) -> DataFrame:
     """Issues of all enabled rules; ``rule_ord`` keeps the listing order.
 
-    Entity and period columns are guessed unless the batch names them.
+    Entity and period columns are guessed unless the batch names them. The two
+    shared passes come first; what the rules then ask the cluster before their
+    plans are complete (group counts, quantiles, frequent values) runs at the
+    same time.
     """
-    batch.stats  # one scan for all rules  # noqa: B018
-    return reduce(DataFrame.unionByName, [rule(batch, baseline) for rule in RULES.values()])
+    uses_values = any(batch.enabled(rule) for rule in ("completeness", "outlier", "consistency"))
+    side_by_side(lambda: batch.stats, lambda: batch.value_stats if uses_values else None)
+    if uses_values:
+        batch.entity_column, batch.period_column  # noqa: B018
+    rules = [lambda rule=rule: rule(batch, baseline) for rule in RULES.values()]
+    return reduce(DataFrame.unionByName, side_by_side(*rules))
 
 
 @dataclass
@@ -126,11 +140,14 @@ def run_batch(
         }
         run = runs_table(spark, **summary)
         if store is not None:
-            store.store_rows(df, run_id, row_key, batch.columns)
-            store.store_profile(profile, run)
+            writes = [
+                lambda: store.store_rows(df, run_id, row_key, batch.columns),
+                lambda: store.store_profile(profile, run),
+                lambda: store.store_lineage(run),
+            ]
             if keep_values:
-                store.store_values(unique_values(df, batch.columns), run_id)
-            store.store_lineage(run)
+                writes.append(lambda: store.store_values(unique_values(df, batch.columns), run_id))
+            side_by_side(*writes)
             store.store_run(run)  # the commit marker
             profile = store.profiles().filter(F.col("run_id") == run_id)
         else:

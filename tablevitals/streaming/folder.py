@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -87,9 +88,9 @@ def batch_writer(
         for file in routed:
             by_dataset.setdefault(file["dataset_name"], []).append(file)
         with ThreadPoolExecutor(parallel) as pool:
-            done = pool.map(
-                lambda group: [process_file(spark, local, file, config) for file in group], by_dataset.values()
-            )
+            # Each thread passes the stream's job properties on.
+            one_dataset = lambda group: [process_file(spark, local, file, config) for file in group]
+            done = pool.map(inheritable_thread_target(one_dataset), by_dataset.values())
             aside = [row for group in done for row in group if row is not None]
         if aside:
             rows = spark.createDataFrame(aside, QUARANTINE_SCHEMA)
