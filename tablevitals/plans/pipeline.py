@@ -43,10 +43,10 @@ RULES: dict[str, Callable[[Batch, DataFrame | None], DataFrame]] = {
 }
 
 
-def side_by_side(*tasks: Callable) -> list:
+def side_by_side(spark: SparkSession, *tasks: Callable) -> list:
     """Runs tasks that submit Spark jobs at the same time; results in order."""
     with ThreadPoolExecutor(len(tasks)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(task)) for task in tasks]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]]
 
 
 def run_all_rules(batch: Batch, baseline: DataFrame | None = None) -> DataFrame:
@@ -58,11 +58,12 @@ def run_all_rules(batch: Batch, baseline: DataFrame | None = None) -> DataFrame:
     same time.
     """
     uses_values = any(batch.enabled(rule) for rule in ("completeness", "outlier", "consistency"))
-    side_by_side(lambda: batch.stats, lambda: batch.value_stats if uses_values else None)
+    spark = batch.df.sparkSession
+    side_by_side(spark, lambda: batch.stats, lambda: batch.value_stats if uses_values else None)
     if uses_values:
         batch.entity_column, batch.period_column  # noqa: B018
     rules = [lambda rule=rule: rule(batch, baseline) for rule in RULES.values()]
-    return reduce(DataFrame.unionByName, side_by_side(*rules))
+    return reduce(DataFrame.unionByName, side_by_side(spark, *rules))
 
 
 @dataclass
@@ -147,7 +148,7 @@ def run_batch(
             ]
             if keep_values:
                 writes.append(lambda: store.store_values(unique_values(df, batch.columns), run_id))
-            side_by_side(*writes)
+            side_by_side(spark, *writes)
             store.store_run(run)  # the commit marker
             profile = store.profiles().filter(F.col("run_id") == run_id)
         else:

@@ -90,7 +90,7 @@ def batch_writer(
         with ThreadPoolExecutor(parallel) as pool:
             # Each thread passes the stream's job properties on.
             one_dataset = lambda group: [process_file(spark, local, file, config) for file in group]
-            done = pool.map(inheritable_thread_target(one_dataset), by_dataset.values())
+            done = pool.map(inheritable_thread_target(spark)(one_dataset), by_dataset.values())
             aside = [row for group in done for row in group if row is not None]
         if aside:
             rows = spark.createDataFrame(aside, QUARANTINE_SCHEMA)
