@@ -15,13 +15,18 @@ the bit-parallel recurrence, over all candidates in one numpy operation.
 
 from __future__ import annotations
 
+import sys
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The UDFs carry this module's code to the executors, which need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WORD = 64  # texts up to this length use the numpy form, longer ones Python integers
 
 # Fixed values of the score's definition.
