@@ -28,8 +28,7 @@ def token_count(text: Column | str) -> Column:
 def weights_for(shares: Column, exponent: Column) -> Column:
     """Normalised powers of an array of shares."""
     powers = F.transform(shares, lambda p: F.pow(p, exponent))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(powers, lambda w: w / total)
+    return F.aggregate(powers, F.lit(0.0), lambda a, b: a + b, lambda total: F.transform(powers, lambda w: w / total))
 
 
 def entropy(weights: Column) -> Column:
@@ -80,15 +79,16 @@ def source_weights(totals: DataFrame, source: str, target_entropy: float | None,
         exponent = F.when(entropy(F.col("shares")) >= wanted, F.lit(1.0)).otherwise(reached)
     elif max_repeats is not None:
         exponent = F.lit(0.0)
-    table = table.withColumn("exponent", exponent)
+    # One row; written so that later expressions use the number found and don't search again inside their own steps.
+    table = written(table.withColumn("exponent", exponent))
     if max_repeats is not None:
         limit = F.lit(float(max_repeats))
         raised = bisect(F.col("exponent"), F.lit(1.0), lambda a: repeats(F.col("shares"), a, budget) > limit)
         within = repeats(F.col("shares"), F.col("exponent"), budget) <= limit
-        table = table.withColumn("exponent", F.when(within, F.col("exponent")).otherwise(raised))
+        table = written(table.withColumn("exponent", F.when(within, F.col("exponent")).otherwise(raised)))
     weights = weights_for(F.col("shares"), F.col("exponent"))
     spread = F.arrays_zip(F.col("rows").alias("r"), weights.alias("w"), F.col("shares").alias("p"))
-    table = table.withColumn("spread", spread)
+    table = written(table.withColumn("spread", spread))
     fewest = F.array_min(F.transform("spread", lambda s: s["w"] / s["p"]))
     passes = (1.0 / fewest) if budget_tokens is None else budget
     return table.select("exponent", (passes * F.col("all_tokens")).alias("budget"), F.explode("spread").alias("s")).select(
