@@ -28,6 +28,7 @@ from tablevitals.llm.common import carries_its_code, fresh, map_column, written
 carries_its_code(__name__)
 
 COORDINATES = 64
+WANTED_BROADCAST = 500_000
 # Odd multipliers of 64-bit polynomial and mixing hashes.
 BASE = 0x9E3779B97F4A7C15
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -351,7 +352,10 @@ def text_classes(df: DataFrame, text: str, p: JoinParameters, key: str) -> tuple
     about = tasks.join(shared.join(texts, "u"), "u")
     schema = "path long, i int, j int, block int, u binary"
     members = written(compared(about, "sketch", like_sketches(least), emit_members, schema))
-    wanted = members.select("u").distinct()
+    wanted = written(members.select("u").distinct())
+    # Hashes of 16 bytes: few enough go to all tasks, so that other texts stay where they are; more are joined by shuffle.
+    if wanted.count() <= WANTED_BROADCAST:
+        wanted = F.broadcast(wanted)
     shingles = Shingler(p.words)
 
     def start_sets() -> Callable[[list], list]:
