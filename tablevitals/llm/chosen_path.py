@@ -42,8 +42,8 @@ class JoinParameters:
     words: int = 5
     recall: float = 0.9999  # of pairs at the threshold whose paths are split this often:
     depth: int = 3
-    deepest: int = 6  # levels after which a bucket is compared in blocks
-    bucket: int = 512  # texts that are compared pair by pair
+    deepest: int = 3  # levels after which a bucket is compared in blocks; near copies don't part on further ones
+    bucket: int = 1024  # texts that are compared pair by pair
     seed: int = 10
 
     @property
