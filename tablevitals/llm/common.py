@@ -57,8 +57,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return result
 
 
-def map_column(df: DataFrame, column: str, schema: str, start: Callable[[], Callable[[list], list]]) -> DataFrame:
-    """``df`` with columns computed in Python from one column, batch by batch.
+def map_column(
+    df: DataFrame, column: str, schema: str, start: Callable[[], Callable[[list], list]], rows: int = 2_000
+) -> DataFrame:
+    """``df`` with columns computed in Python from one column, at most ``rows`` rows at a time.
 
     ``start`` runs once per task and returns a function from a list of values
     (None for null) to one list or array for each column of ``schema``. A new
@@ -75,9 +77,11 @@ def map_column(df: DataFrame, column: str, schema: str, start: Callable[[], Call
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
         for batch in batches:
-            values = batch.column(batch.num_columns - 1).to_pylist()
-            arrays = [pa.array(x, type=f.type) for x, f in zip(compute(values), added)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + arrays, names=kept + added.names)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                values = part.column(part.num_columns - 1).to_pylist()
+                arrays = [pa.array(x, type=f.type) for x, f in zip(compute(values), added)]
+                yield pa.RecordBatch.from_arrays(part.columns[:-1] + arrays, names=kept + added.names)
 
     read = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{column}`"].alias(source))
     return read.mapInArrow(run, StructType([df.schema[c] for c in kept] + new.fields))
