@@ -131,8 +131,8 @@ def whole_numbers(vector: Column, scale: int = 256) -> Column:
 def _searched(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(left) or not len(right):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-    tree = BallTree(np.array(left["v"].tolist(), dtype=np.int64), left["vec_id"].to_numpy(np.int64))
-    queries = np.array(right["v"].tolist(), dtype=np.int64)
+    tree = BallTree(np.array(left["c_v"].tolist(), dtype=np.int64), left["vec_id"].to_numpy(np.int64))
+    queries = np.array(right["q_v"].tolist(), dtype=np.int64)
     query_ids = right["query_id"].to_numpy(np.int64)
     place, ids, score = tree.search(queries, query_ids, k, right["bound"].to_numpy(np.float64))
     return pd.DataFrame({"query_id": query_ids[place], "vec_id": ids, "score": score})
@@ -140,9 +140,12 @@ def _searched(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     keys = ["dim", "shard", "query_block"]
+    # Both sides come from one table; aliases keep their columns apart.
+    left = candidates.select(*[F.col(c).alias(f"c_{c}") for c in keys], "vec_id", F.col("v").alias("c_v"))
+    right = queries.select(*[F.col(c).alias(f"q_{c}") for c in keys], "query_id", F.col("v").alias("q_v"), "bound")
     return (
-        candidates.groupBy(*keys)
-        .cogroup(queries.groupBy(*keys))
+        left.groupBy(*[f"c_{c}" for c in keys])
+        .cogroup(right.groupBy(*[f"q_{c}" for c in keys]))
         .applyInPandas(lambda a, b: _searched(a, b, k), "query_id long, vec_id long, score long")
     )
 

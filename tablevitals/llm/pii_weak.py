@@ -227,12 +227,12 @@ def train_spans(codes: list[str], counts: list[int]) -> SpanModel:
     """
     chosen = [i for i, code in enumerate(codes) if int(code[0]) >= len(BASE_KINDS)]
     codes, counts = [codes[i] for i in chosen], [counts[i] for i in chosen]
-    digits = np.array([[int(c) for c in code] for code in codes], dtype=np.int64).reshape(len(codes), -1)
     count = np.array(counts, dtype=float)
-    votes = digits[:, 1 : 1 + LABELERS] if len(codes) else np.zeros((0, LABELERS), np.int64)
-    p, hit, false, prior = expectation_maximisation(votes, count)
-    if not len(codes):
+    if not codes:
+        _, hit, false, prior = expectation_maximisation(np.zeros((0, LABELERS), np.int64), count)
         return SpanModel({}, hit, false, prior)
+    digits = np.array([[int(c) for c in code] for code in codes], dtype=np.int64)
+    p, hit, false, prior = expectation_maximisation(digits[:, 1 : 1 + LABELERS], count)
     x = one_hot(digits)
     # Damped weights: a combination seen a million times is not a million times as telling.
     fitted = x @ logistic(x, p, np.sqrt(count))

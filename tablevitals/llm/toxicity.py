@@ -126,12 +126,16 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
 def term_counts(df: DataFrame, text: str, label: str) -> DataFrame:
     """Number of toxic and other texts with each word or word beginning; like texts count once.
 
-    Texts with the same smallest word hash are taken as copies of one another,
+    Texts with the same smallest hash of five words are taken as copies of one another,
     so that what a copied text happens to contain doesn't look like a sign.
     """
 
+    def smallest(text: str) -> int:
+        words = text.lower().split()
+        return min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
+
     def signature(texts: list) -> list:
-        return [[min((zlib.crc32(w.encode()) for w in set((t or "").lower().split())), default=0) for t in texts]]
+        return [[smallest(t or "") for t in texts]]
 
     (key,) = fresh(df, "signature")
     signed = map_column(df.select(text, label).withColumn("original", F.col(text)), text, f"{key} long", lambda: signature)
