@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablevitals.config import BROADCAST_MAX_ROWS
-from tablevitals.functions.columns import ROW_INDEX, groupable
+from tablevitals.functions.columns import ROW_INDEX, groupable, is_missing
 from tablevitals.operators.batch import Batch
 from tablevitals.operators.issues import issue_row, no_issues
 
 
 def hashed_rows(df: DataFrame, columns: list[str], row_key: str) -> DataFrame:
-    """``key``, the values ``v0``, ``v1``, … and their ``hash``."""
-    values = [groupable(df, c).alias(f"v{i}") for i, c in enumerate(columns)]
+    """``key``, the values ``v0``, ``v1``, … and their ``hash``; whatever counts as missing is null and equal."""
+    values = [F.when(~is_missing(df, c), groupable(df, c)).alias(f"v{i}") for i, c in enumerate(columns)]
     rows = df.select(F.col(f"`{row_key}`").alias("key"), *values)
     return rows.withColumn("hash", F.xxhash64(*[f"v{i}" for i in range(len(columns))]))
 

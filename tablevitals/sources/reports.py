@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 # A line is a label followed by two numbers.
 REPORT_LINE = r"([A-Za-z][A-Za-z .&]+?)[\s,]+(-?[\d,]+(?:\.\d+)?)[\s,]+(-?[\d,]+(?:\.\d+)?)"
+# White space of any script, inside a character class; digits beyond ASCII don't occur in the reports' numbers.
+WIDE_SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 # A label is tried once per run of label characters, from the run's first letter:
 # any later start in the run would end at the same numbers. Long lines of plain
 # words then take linear time.
-LINE_PATTERN = r"(?<![A-Za-z .&])[ .&]*+" + REPORT_LINE
+LINE_PATTERN = r"(?<![A-Za-z .&])[ .&]*+" + REPORT_LINE.replace(r"\s", WIDE_SPACE)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 REPORT_COLUMNS = ["month", "state_name", "energy_requirement_mu", "energy_availability_mu", "extraction_confidence"]
 
@@ -33,7 +35,7 @@ def extract_report_rows(
         *kept, month.alias("month"), F.posexplode(F.split(text, LINE_BREAK)).alias("line_no", "line")
     ).filter(F.col("line").rlike(LINE_PATTERN))
     part = lambda n: F.regexp_extract("line", LINE_PATTERN, n)
-    label = F.regexp_replace(F.regexp_replace(part(1), r"\s+", " "), r"^[ .,-]+|[ .,-]+$", "")
+    label = F.regexp_replace(F.regexp_replace(part(1), f"[{WIDE_SPACE}]+", " "), r"^[ .,-]+|[ .,-]+$", "")
     rows = lines.select(
         *kept,
         "line_no",

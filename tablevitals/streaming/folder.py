@@ -66,7 +66,7 @@ def process_file(spark: SparkSession, store: RunStore, file, config: dict | None
         )
     except Exception as error:  # one bad file does not stop the others
         log.exception("failed to process %s", file["path"])
-        return run_id, file["path"], f"failed: {str(error)[:500]}"
+        return run_id, file["path"], f"failed: {error}"
     return None
 
 

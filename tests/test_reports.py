@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tablevitals.sources.reports import extract_report_rows
 from tablevitals.operators import alerts, score
 from tablevitals.plans import reports
 from tablevitals.plans.store import RunStore, json_safe_record, runs_table
@@ -115,3 +116,9 @@ def test_folder_stream(spark, tmp_path):
     assert store.runs().filter("dataset_name = 'sales'").count() == 2
     drift = store.issues().filter("issue_type = 'schema_drift'").collect()
     assert {(r["column"], r["severity"]) for r in drift} == {("amount", "high"), ("total", "low")}
+
+
+def test_report_lines_with_unicode_spaces(spark):
+    df = spark.createDataFrame([("Odisha 4560 4490\nTamil Nadu 10 20",)], "text string")
+    rows = extract_report_rows(df).collect()
+    assert [(r["state_name"], r["energy_requirement_mu"]) for r in rows][0] == ("Odisha", 4560.0)

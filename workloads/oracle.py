@@ -473,10 +473,11 @@ ORACLE: dict[str, str] = {
     "rows_flagged": using("issues", select="SELECT run_id, count(DISTINCT row_reference) AS rows_flagged FROM issues GROUP BY run_id"),
     "run_summary": using(
         "runs", "totals", "high",
-        select="""SELECT r.run_id, dataset_name, source_file, rows_processed, lost AS total_deducted, found AS total_issues,
-        coalesce(n, 0) AS high_issues, f.rows_flagged, greatest(0, 100 - lost)::INT AS health_score
-        FROM runs r JOIN totals t USING (run_id) LEFT JOIN high USING (run_id)
-        JOIN (SELECT run_id, count(DISTINCT row_reference) AS rows_flagged FROM issues GROUP BY run_id) f USING (run_id)""",
+        select="""SELECT r.run_id, dataset_name, source_file, rows_processed, coalesce(lost, 0) AS total_deducted,
+        coalesce(found, 0) AS total_issues, coalesce(n, 0) AS high_issues, coalesce(f.rows_flagged, 0) AS rows_flagged,
+        greatest(0, 100 - coalesce(lost, 0))::INT AS health_score
+        FROM runs r LEFT JOIN totals t USING (run_id) LEFT JOIN high USING (run_id)
+        LEFT JOIN (SELECT run_id, count(DISTINCT row_reference) AS rows_flagged FROM issues GROUP BY run_id) f USING (run_id)""",
     ),
     "run_report": using(
         "runs", "weighted",

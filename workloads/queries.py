@@ -398,7 +398,10 @@ def rows_flagged(spark, sf_dir):
 @query
 def run_summary(spark, sf_dir):
     runs = inputs.runs(spark, sf_dir).select("run_id", "dataset_name", "source_file", "rows_processed")
-    return runs.join(score.run_totals(inputs.issues(spark, sf_dir)), "run_id")
+    summary = runs.join(score.run_totals(inputs.issues(spark, sf_dir)), "run_id", "left")
+    # A run without issues has lost nothing.
+    counts = ["total_deducted", "total_issues", "high_issues", "rows_flagged"]
+    return summary.fillna(0, counts).fillna(100, ["health_score"])
 
 
 @query
