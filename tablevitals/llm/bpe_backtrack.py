@@ -21,14 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from tablevitals.llm.bpe_heap import byte_letters
-from tablevitals.llm.common import carries_its_code, map_column
+from tablevitals.llm.common import carries_its_code, kept_by_worker, map_column
 
 carries_its_code(__name__)
 
 # Fixed value: how the word-end vocabulary cuts normalised text into pieces; what lies between is dropped.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 WORD_END = "</w>"
-REMEMBERED_WORDS = 100_000
+REMEMBERED_WORDS = 120_000  # twice: those met lately, and those of the turn before
 REMEMBERED_CHARS = 64
 REMEMBERED_PAIRS = 200_000
 
@@ -117,7 +117,7 @@ class BacktrackingBpe:
         data = word.encode()
         inner = self.inner
         symbols = "".join([inner[b] for b in data[:-1]]) + self.last[data[-1]]
-        n, length, shorter, fits = len(symbols), self.length, self.shorter, self.fits
+        n, length, shorter, known_fits = len(symbols), self.length, self.shorter, self.pair_fits.get
         longest = [-1] * n
         for end, token in self.matches(symbols):
             longest[end - length[token] + 1] = token  # later ends are longer
@@ -127,7 +127,13 @@ class BacktrackingBpe:
         tokens: list[int] = []
         at, token = 0, longest[0]
         while at < n:
-            while token >= 0 and (failed[at + length[token]] or (tokens and not fits(tokens[-1], token))):
+            while token >= 0:
+                if not failed[at + length[token]]:
+                    if not tokens:
+                        break
+                    ok = known_fits(tokens[-1] << 20 | token)
+                    if ok or (ok is None and self.fits(tokens[-1], token)):
+                        break
                 token = shorter[token]
             if token >= 0:
                 tokens.append(token)
@@ -156,26 +162,33 @@ def text_encoder(path: str) -> tuple[BacktrackingBpe, Callable[[str], list[tuple
     bpe = BacktrackingBpe(path)
     words = regex.compile(WORDS).findall
     special = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")") if bpe.special else None
+    names = list(map(str, range(len(bpe.offsets))))
     seen: dict[str, tuple[int, str, str]] = {}
+    before: dict[str, tuple[int, str, str]] = {}
 
     def described(ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), bpe.decode(ids)
+        return len(ids), " ".join([names[i] for i in ids]), bpe.decode(ids)
+
+    def missed(word: str) -> tuple[int, str, str]:
+        piece = before.get(word) or described(bpe.encode_word(word))
+        if len(word) <= REMEMBERED_CHARS:
+            if len(seen) >= REMEMBERED_WORDS:
+                before.clear()
+                before.update(seen)
+                seen.clear()
+            seen[word] = piece
+        return piece
+
+    known = seen.get
 
     def encode(text: str) -> list[tuple[int, str, str]]:
         result = []
         for i, part in enumerate(special.split(text) if special else [text]):
             if i % 2:
                 result.append(described([bpe.special[part]]))
-                continue
-            for word in words(lowered(unicodedata.normalize("NFC", part))):
-                piece = seen.get(word)
-                if piece is None:
-                    piece = described(bpe.encode_word(word))
-                    if len(word) <= REMEMBERED_CHARS:
-                        if len(seen) >= REMEMBERED_WORDS:
-                            seen.clear()
-                        seen[word] = piece
-                result.append(piece)
+            else:
+                pieces = words(lowered(unicodedata.normalize("NFC", part)))
+                result.extend([known(word) or missed(word) for word in pieces])
         return result
 
     return bpe, encode
@@ -190,7 +203,7 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text") -> DataF
     """
 
     def start() -> Callable[[list], list]:
-        _, encode = text_encoder(tokenizer)
+        _, encode = kept_by_worker(("backtracking", tokenizer), lambda: text_encoder(tokenizer))
         return lambda texts: [
             [[int(i) for piece in encode(t) for i in piece[1].split(" ")] if t else [] for t in texts]
         ]
@@ -217,7 +230,7 @@ def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text") -> Data
     """
 
     def start() -> Callable[[list], list]:
-        _, encode = text_encoder(tokenizer)
+        _, encode = kept_by_worker(("backtracking", tokenizer), lambda: text_encoder(tokenizer))
 
         def digest(texts: list[str]) -> str:
             return hashlib.sha256(" ".join(texts).encode()).hexdigest()

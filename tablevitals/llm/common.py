@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -57,6 +58,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return result
 
 
+def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` returned for ``key``, reused by later tasks of the same Python worker; one at a time is held.
+
+    Functions that travel by value have no module on the worker, so a module
+    made there holds it.
+    """
+    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
+    if getattr(held, "key", None) != key:
+        held.key = held.value = None
+        held.value = make()
+        held.key = key
+    return held.value
+
+
 def map_column(
     df: DataFrame, column: str, schema: str, start: Callable[[], Callable[[list], list]], rows: int = 2_000
 ) -> DataFrame:
