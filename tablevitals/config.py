@@ -12,7 +12,7 @@ from typing import Any
 # Thresholds and weights that decide which rows are flagged and
 # what a flag costs.
 RULE_DEFAULTS: dict[str, dict[str, Any]] = {
-    "completeness": {"enabled": True, "penalty_weight": 4, "null_pct_threshold": 20.0},
+    "completeness": {"enabled": True, "penalty_weight": 4, "null_pct_threshold": 20.0, "period_max_distinct": 60},
     "duplicate": {"enabled": True, "penalty_weight": 3},
     "validity": {
         "enabled": True,

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.config import HOT_GROUP_ROWS, rule_config
+from tablevitals.config import HOT_GROUP_ROWS, PERIOD_MAX_DISTINCT, rule_config
 from tablevitals.functions.columns import ROW_INDEX, col, text_columns
 from tablevitals.operators import roles
 from tablevitals.operators.profile import is_measured, stats_table, value_counts
@@ -30,6 +30,7 @@ class Batch:
     hot_rows: int = HOT_GROUP_ROWS
     group_by: str | None = None
     period_by: str | None = None
+    id_columns: list[str] | None = None  # not measures; guessed by name where not given
     _persisted: list[DataFrame] = field(default_factory=list, repr=False)
 
     def __post_init__(self):
@@ -106,7 +107,9 @@ class Batch:
 
     @cached_property
     def period_column(self) -> str | None:
-        return self.period_by or roles.guess_period_column(self.df, self.columns, self.distinct)
+        return self.period_by or roles.guess_period_column(
+            self.df, self.columns, self.distinct, self.params("completeness").get("period_max_distinct", PERIOD_MAX_DISTINCT)
+        )
 
     @cached_property
     def entity_column(self) -> str | None:

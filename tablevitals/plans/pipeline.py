@@ -36,7 +36,7 @@ RULES: dict[str, Callable[[Batch, DataFrame | None], DataFrame]] = {
     "duplicate": lambda batch, _: duplicate(batch),
     "validity": lambda batch, _: validity(batch),
     "outlier": lambda batch, _: outlier(
-        batch, roles.outlier_columns(batch.df, batch.columns), batch.entity_column
+        batch, roles.outlier_columns(batch.df, batch.columns, batch.id_columns), batch.entity_column
     ),
     "consistency": lambda batch, _: consistency(batch),
     "schema_drift": schema_drift,
@@ -97,7 +97,10 @@ def run_batch(
     config: dict | None = None,
     timestamp: datetime | None = None,
     stage: bool = False,
-    keep_values: bool = False,
+    keep_values: bool = True,
+    group_by: str | None = None,
+    period_by: str | None = None,
+    id_columns: list[str] | None = None,
 ) -> RunResult:
     """Profiles, checks and scores a table; with a store, keeps everything by run.
 
@@ -105,20 +108,22 @@ def run_batch(
     one is given. Issues are materialised once: in the store's issue table, or
     without a store on the executors (memory, then disk). ``stage`` first writes
     the table as parquet to the store; the rules scan it several times, and then
-    read typed columns instead of parsing text again. ``keep_values`` also
-    stores the full list of distinct texts per column, which for free text is
-    about as large as the table.
+    read typed columns instead of parsing text again. ``keep_values``
+    stores the full list of distinct texts per column as part of the profile.
+    ``group_by``, ``period_by`` and ``id_columns`` name the entity, the period and
+    the identifiers; they are guessed where not given.
     """
     run_id = run_id or new_run_id()
     if not re.fullmatch(r"[\w-]+", run_id):
         raise ValueError(f"run id {run_id!r} is not a plain name")
-    if stage and store is not None:
-        df = store.stage(df, run_id)
+    if store is not None:
+        store.clear(run_id)
+        df = store.stage(df, run_id) if stage else df
     if baseline is None and store is not None:
         baseline = latest_profile(store.profiles(), dataset_name)
     if baseline is not None and baseline.isEmpty():
         baseline = None
-    batch = Batch(df, row_key=row_key, config=config)
+    batch = Batch(df, row_key, config=config, group_by=group_by, period_by=period_by, id_columns=id_columns)
     try:
         issues = run_all_rules(batch, baseline)
         profile = profile_columns(df, batch.columns, batch.distinct, batch.stats_table())

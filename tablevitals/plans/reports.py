@@ -6,6 +6,8 @@ reach the scan; a filter is only added when it is asked for.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,9 +119,18 @@ def issue_history(runs: DataFrame, issues: DataFrame, dataset_name: str) -> Data
     )
 
 
-def list_runs(runs: DataFrame, dataset_name: str | None = None, limit: int = RUN_LIST_LIMIT) -> DataFrame:
-    """The newest runs first (a top-k, no full sort)."""
-    return _scoped(runs, dataset_name).orderBy(F.desc("timestamp"), F.desc("run_id")).limit(limit)
+def list_runs(
+    runs: DataFrame,
+    dataset_name: str | None = None,
+    limit: int = RUN_LIST_LIMIT,
+    before: tuple[datetime, str] | None = None,
+) -> DataFrame:
+    """The newest runs first (a top-k, no full sort); ``before`` is the timestamp and id of the last run already seen."""
+    found = _scoped(runs, dataset_name)
+    if before is not None:
+        at, run_id = F.lit(before[0]), F.lit(before[1])
+        found = found.filter((F.col("timestamp") < at) | ((F.col("timestamp") == at) & (F.col("run_id") < run_id)))
+    return found.orderBy(F.desc("timestamp"), F.desc("run_id")).limit(limit)
 
 
 class UnknownRun(LookupError):
@@ -152,7 +163,7 @@ def run_values(runs: DataFrame, values: DataFrame, run_id: str) -> DataFrame:
 def run_preview(runs: DataFrame, rows: DataFrame, run_id: str, limit: int = PREVIEW_LIMIT) -> DataFrame:
     """The first rows of a run in their original order (a top-k)."""
     require_run(runs, run_id)
-    return rows.filter(F.col("run_id") == run_id).orderBy("row_index").limit(limit).select("row_index", "data")
+    return rows.filter(F.col("run_id") == run_id).orderBy("row_index", "row_reference").limit(limit).select("row_index", "data")
 
 
 def latest_profile(profiles: DataFrame, dataset_name: str) -> DataFrame:

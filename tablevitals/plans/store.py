@@ -1,8 +1,8 @@
 """The run store: parquet tables under one folder, partitioned by run.
 
 ``quality_runs`` is written last and marks a run as finished; readers of the
-other tables only see rows of finished runs. Writing a run again replaces its
-partitions, so a repeated attempt leaves no rows twice.
+other tables only see rows of finished runs. Writing a run again clears it
+first, so a repeated attempt leaves no rows twice and none of the earlier ones.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ PROFILE_SCHEMA = (
 SCHEMAS = {
     "quality_runs": RUN_SCHEMA,
     "quality_issues": "run_id string, " + ISSUE_SCHEMA,
-    "dataset_rows": "run_id string, row_index bigint, data string",
+    "dataset_rows": "run_id string, row_index bigint, row_reference string, data string",
     "dataset_profiles": PROFILE_SCHEMA,
     "profile_values": "run_id string, column string, value string",
     "data_lineage": (
@@ -55,8 +55,12 @@ def json_safe_record(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 def rows_table(df: DataFrame, run_id: str | Column, row_key: str = ROW_INDEX, columns: list[str] | None = None):
     run = F.lit(run_id) if isinstance(run_id, str) else run_id
+    key = col(row_key).cast("string")
     return df.select(
-        run.alias("run_id"), col(row_key).cast("bigint").alias("row_index"), json_safe_record(df, columns).alias("data")
+        run.alias("run_id"),
+        key.try_cast("bigint").alias("row_index"),  # null for keys that are not numbers
+        key.alias("row_reference"),
+        json_safe_record(df, columns).alias("data"),
     )
 
 
@@ -118,6 +122,12 @@ class RunStore:
         system, path = self._file_system(self.path(f"staging/{run_id}"))
         system.delete(path, True)
 
+    def clear(self, run_id: str) -> None:
+        """Takes back an earlier attempt at a run: its mark first, so that nobody reads a mixture, then its rows."""
+        for table in ["quality_runs", *[t for t in SCHEMAS if t != "quality_runs"]]:
+            system, path = self._file_system(self.path(f"{table}/run_id={run_id}"))
+            system.delete(path, True)
+
     def append(self, table: str, rows: DataFrame) -> None:
         """Writes the runs in ``rows``, replacing partitions of the same runs."""
         schema = T.StructType.fromDDL(SCHEMAS[table])

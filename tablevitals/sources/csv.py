@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ class FileFormat:
 
     encoding: str  # utf-8, windows-1252 or latin-1
     multi_line: bool
+    header: str | None = None  # the first line as it stands
 
 
 def detect_formats(spark: SparkSession, paths: list[str]) -> dict[str, FileFormat]:
@@ -36,7 +38,8 @@ def detect_formats(spark: SparkSession, paths: list[str]) -> dict[str, FileForma
     no meaning there. Quoted line breaks show as lines with an odd number of
     quotes; only such files are read unsplit.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    at_start = F.col("_metadata.file_block_start") == 0
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value", at_start.alias("at_start"))
     value = F.col("value")
     valid = F.is_valid_utf8(value)
     ascii_only = valid & (F.length(value) == F.octet_length(value))
@@ -48,13 +51,15 @@ def detect_formats(spark: SparkSession, paths: list[str]) -> dict[str, FileForma
             F.bool_and(valid).alias("utf8"),
             F.bool_or(F.when(ascii_only, False).otherwise(latin.rlike(UNDEFINED_1252))).alias("undefined"),
             F.bool_or(value.contains('"') & (F.pmod(quotes, F.lit(2)) == 1)).alias("open_quote"),
+            # One task reads a file's first block from front to back.
+            F.first(F.when(F.col("at_start"), value), ignorenulls=True).alias("header"),
         )
         .collect()
     )
     formats = {}
     for r in found:
         encoding = "utf-8" if r["utf8"] else "latin-1" if r["undefined"] else "windows-1252"
-        formats[r["path"]] = FileFormat(encoding, r["open_quote"])
+        formats[r["path"]] = FileFormat(encoding, r["open_quote"], r["header"])
     return formats
 
 
@@ -83,51 +88,75 @@ def header_names(spark: SparkSession, path: str, form: FileFormat) -> list[str]:
     return standardize_names(raw)
 
 
-def common_format(spark: SparkSession, paths: list[str]) -> FileFormat:
-    """The format of files that are to be read together."""
-    formats = list(detect_formats(spark, paths).values())
-    if not formats:
+@dataclass(frozen=True)
+class FileGroup:
+    """Files that are read together: one format, one header line."""
+
+    paths: list[str]
+    form: FileFormat
+    names: list[str]
+
+
+def file_groups(spark: SparkSession, paths: str | list[str]) -> list[FileGroup]:
+    """The files of one table by encoding, quoting and header line.
+
+    The order of columns may differ from file to file; the set may not.
+    """
+    by_form: dict[FileFormat, list[str]] = {}
+    for path, form in sorted(detect_formats(spark, [paths] if isinstance(paths, str) else list(paths)).items()):
+        by_form.setdefault(form, []).append(path)
+    if not by_form:
         raise ValueError("no columns to read")
-    if len({f.encoding for f in formats}) > 1:
-        raise ValueError("files of different encodings; scan them in groups by detect_formats")
-    return FileFormat(formats[0].encoding, any(f.multi_line for f in formats))
+    groups = [FileGroup(files, form, header_names(spark, files[0], form)) for form, files in by_form.items()]
+    groups.sort(key=lambda g: g.paths[0])
+    for g in groups[1:]:
+        if set(g.names) != set(groups[0].names):
+            raise ValueError(f"{g.paths[0]} has other columns than {groups[0].paths[0]}")
+    return groups
+
+
+def _cells(spark: SparkSession, group: FileGroup) -> DataFrame:
+    """All cells as text under their names, with file and block; a line with more cells than the header is refused."""
+    names, form = group.names, group.form
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+    raw = _reader(spark, form).schema(schema).option("header", True).option("enforceSchema", True).csv(group.paths)
+    cells = [col(f"c{i}") for i in range(len(names))]
+    if form.encoding == "windows-1252":
+        cells = [_from_1252(c) for c in cells]
+    place = F.col("_metadata.file_path")
+    refused = F.raise_error(F.concat(F.lit("more cells than columns in "), place, F.lit(" after "), cells[0]))
+    cells[0] = F.when(col(f"c{len(names)}").isNotNull(), refused).otherwise(cells[0])
+    return raw.select(
+        *[c.alias(n) for c, n in zip(cells, names)],
+        place.alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
 
 
 def scan_csv(
     spark: SparkSession,
     paths: str | list[str],
-    form: FileFormat | None = None,
-    names: list[str] | None = None,
+    groups: list[FileGroup] | None = None,
     with_position: bool = False,
 ) -> DataFrame:
-    """Rows of CSV files that share a header, all columns text, missing tokens null.
+    """Rows of the CSV files of one table, all columns text, missing tokens null.
 
-    ``form`` and ``names`` are found out unless given; ``with_position`` adds
-    each row's position, files in the order of their paths.
+    Encoding, quoting and column order are those of each file; columns meet by
+    name and stand as in the first file. ``groups`` are found out unless given;
+    ``with_position`` adds each row's position, files in the order of their paths.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    form = form or common_format(spark, paths)
-    names = names or header_names(spark, paths[0], form)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    raw = _reader(spark, form).schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
-    cells = [col(f"c{i}") for i in range(len(names))]
-    if form.encoding == "windows-1252":
-        cells = [_from_1252(c) for c in cells]
-    place = []
-    if with_position:
-        place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")]
-    named = raw.select(*[c.alias(n) for c, n in zip(cells, names)], *place)
-    clean = normalize_na_tokens(named, names)
-    return with_file_row_index(clean) if with_position else clean
+    groups = groups or file_groups(spark, paths)
+    names = groups[0].names
+    rows = reduce(DataFrame.unionByName, [_cells(spark, g) for g in groups])
+    clean = normalize_na_tokens(rows, names)
+    return with_file_row_index(clean) if with_position else clean.select(*[col(n) for n in names])
 
 
 def load_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The whole ingest path for one file, or files of one table: scan, missing
     tokens, names, trim, types, position."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    form = common_format(spark, paths)
-    names = header_names(spark, paths[0], form)
+    groups = file_groups(spark, paths)
     # Types come from the cells alone, so that scan needs no positions.
-    types = infer_types(trim_strings(scan_csv(spark, paths, form, names)))
-    rows = scan_csv(spark, paths, form, names, with_position=True)
-    return auto_coerce_numeric(trim_strings(rows, names), types, from_file=True)
+    types = infer_types(trim_strings(scan_csv(spark, paths, groups)))
+    rows = scan_csv(spark, paths, groups, with_position=True)
+    return auto_coerce_numeric(trim_strings(rows, groups[0].names), types, from_file=True)

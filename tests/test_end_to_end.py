@@ -71,3 +71,24 @@ def test_planted_faults_and_store(spark, tmp_path):
     other = run_batch(spark, df.drop("month"), dataset_name="power", store=store, stage=True)
     drift = other.issues.filter(F.col("issue_type") == "schema_drift").collect()
     assert [(r["column"], r["severity"]) for r in drift] == [("month", "high")]
+
+
+def test_run_written_again(spark, tmp_path):
+    """The second attempt replaces the first, also where it finds nothing; keys may be texts."""
+    store = RunStore(spark, str(tmp_path / "store"))
+    df = spark.createDataFrame([(f"k{i}", "x", -5.0 if i == 3 else 10.0 + i) for i in range(20)] + [("k20", "x", 10.0)], "k string, s string, v double")
+    first = run_batch(spark, df, dataset_name="d", store=store, row_key="k", run_id="r")
+    assert first.summary["health_score"] < 100 and store.issues().count() == first.summary["total_issues"] > 0
+    off = {rule: {"enabled": False} for rule in ("completeness", "duplicate", "validity", "outlier", "consistency", "schema_drift")}
+    again = run_batch(spark, df, dataset_name="d", store=store, row_key="k", run_id="r", config=off)
+    assert again.summary["health_score"] == 100 and again.summary["total_issues"] == 0
+    assert store.issues().count() == 0 and store.runs().count() == 1
+    assert {r["row_reference"] for r in store.rows().collect()} == {f"k{i}" for i in range(21)}
+    assert store.values().filter("column = 'k'").count() == 21
+
+
+def test_given_roles(spark):
+    """Columns named as identifiers are not judged as measures."""
+    df = spark.createDataFrame([(i, float(i) if i < 29 else 1e9, float(i)) for i in range(30)], "_row_index bigint, orderkey double, v double")
+    assert run_batch(spark, df, dataset_name="d").issues.filter("issue_type = 'outlier'").count() == 1
+    assert run_batch(spark, df, dataset_name="d", id_columns=["orderkey"]).issues.filter("issue_type = 'outlier'").count() == 0

@@ -104,6 +104,27 @@ def test_csv_files(spark, tmp_path):
         load_csv(spark, write(tmp_path, "e.csv", b""))
 
 
+def test_files_of_one_table(spark, tmp_path):
+    """Columns meet by name, each file in its own encoding."""
+    paths = [
+        write(tmp_path, "a.csv", b"id,name,v\n1,x,10\n2,y\n"),
+        write(tmp_path, "b.csv", b"v,id,name\n99,7,caf\xe9\n"),
+        write(tmp_path, "c.csv", "id,name,v\n8,é,3\n".encode()),
+    ]
+    df = load_csv(spark, paths)
+    rows = df.select("id", "name", "v").orderBy("_row_index").collect()
+    assert [tuple(r) for r in rows] == [(1.0, "x", 10.0), (2.0, "y", None), (7.0, "café", 99.0), (8.0, "é", 3.0)]
+    assert [r[0] for r in df.select("_row_index").orderBy("_row_index").collect()] == [0, 1, 2, 3]
+    with pytest.raises(ValueError, match="other columns"):
+        load_csv(spark, [paths[0], write(tmp_path, "d.csv", b"id,other,v\n1,x,10\n")])
+
+
+def test_surplus_cells_are_refused(spark, tmp_path):
+    path = write(tmp_path, "r.csv", b"id,name,v\n1,x,10\n2,y,20,EXTRA\n")
+    with pytest.raises(Exception, match="more cells than columns in .*r.csv after 2"):
+        load_csv(spark, path).collect()
+
+
 def test_positions_of_a_split_file(spark, tmp_path):
     """A file read in many blocks keeps its line order."""
     path = write(tmp_path, "big.csv", b"k\n" + b"".join(b"%d\n" % i for i in range(30000)))

@@ -461,11 +461,13 @@ ORACLE: dict[str, str] = {
     "all_rules": using("intake", select=ALL_RULES),
     "batch_health": using(
         "intake",
-        select=f"""SELECT *, greatest(0, 100 - sum(points_deducted) OVER ())::INT AS score FROM (
+        select=f"""SELECT * FROM (WITH lost AS (
         SELECT issue_type, count(*) AS issue_count,
         CASE issue_type WHEN 'completeness' THEN 4 WHEN 'duplicate' THEN 3 WHEN 'validity' THEN 10 WHEN 'outlier' THEN 6
              WHEN 'schema_drift' THEN 15 ELSE 5 END AS penalty_weight, penalty_weight * count(*) AS points_deducted
-        FROM ({ALL_RULES}) GROUP BY issue_type)""",
+        FROM ({ALL_RULES}) GROUP BY issue_type)
+        SELECT *, greatest(0, 100 - sum(points_deducted) OVER ())::INT AS score FROM lost
+        UNION ALL SELECT NULL, 0, 0, 0, 100 WHERE NOT EXISTS (FROM lost))""",
     ),
     "issue_counts": using("counts", select="SELECT run_id, issue_type, issue_count FROM counts"),
     "deductions": using("weighted", select=PLACED),
@@ -526,7 +528,7 @@ ORACLE: dict[str, str] = {
         select="""SELECT doc_id, to_json({'source': source, 'n_chars': n_chars, 'quality': quality,
         'share': CASE WHEN quality IS NOT NULL THEN 0.5::DOUBLE END})::VARCHAR AS data FROM labeled""",
     ),
-    "store_rows": f"SELECT 'r1' AS run_id, c_custkey AS row_index, {CUSTOMER_JSON} AS data FROM customer",
+    "store_rows": f"SELECT 'r1' AS run_id, c_custkey AS row_index, c_custkey::VARCHAR AS row_reference, {CUSTOMER_JSON} AS data FROM customer",
     "store_issues": CUSTOMER_VALIDITY,
     "store_profile": f"""SELECT 'r1' AS run_id, 'orders' AS dataset_name, "column", dtype, null_count, "min", "max", unique_count
         FROM ({figures("part", PART, "unique")})""",

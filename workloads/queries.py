@@ -364,12 +364,13 @@ def all_rules(spark, sf_dir):
 
 @query
 def batch_health(spark, sf_dir):
-    """Deductions of one checked batch with its score."""
+    """Deductions of one checked batch with its score; a clean batch has one row without an issue type and scores 100."""
     found = _all_issues(spark, sf_dir).withColumn("run_id", F.lit("intake"))
     lost = score.deductions(found)
-    total = lost.groupBy("run_id").agg(F.sum("points_deducted").alias("lost"))
+    total = lost.agg(F.coalesce(F.sum("points_deducted"), F.lit(0)).alias("lost")).withColumn("run_id", F.lit("intake"))
     scored = total.select("run_id", F.greatest(F.lit(0).cast("bigint"), 100 - F.col("lost")).cast("int").alias("score"))
-    return lost.join(scored, "run_id").select("issue_type", "issue_count", "penalty_weight", "points_deducted", "score")
+    health = scored.join(lost, "run_id", "left").fillna(0, ["issue_count", "penalty_weight", "points_deducted"])
+    return health.select("issue_type", "issue_count", "penalty_weight", "points_deducted", "score")
 
 
 # Scores and alerts
