@@ -149,9 +149,9 @@ def estimate(rows: DataFrame, p: McdParameters) -> DataFrame:
     of the distances is a mergeable sketch; no group is sorted or gathered.
     """
     x = F.col("x")
-    middle = rows.groupBy("group").agg(
-        F.array(*[F.percentile_approx(x[i], 0.5, 10_000) for i in range(WIDTH)]).alias("middle")
-    )
+    # Figures of a group are written before rows meet them: their known size then decides how, and no group is dealt to one task.
+    medians = F.array(*[F.percentile_approx(x[i], 0.5, 10_000) for i in range(WIDTH)])
+    middle = written(rows.groupBy("group").agg(medians.alias("middle")))
     apart = rows.join(middle, "group").withColumn("apart", F.array(*[F.abs(x[i] - F.col("middle")[i]) for i in range(WIDTH)]))
     spread = apart.groupBy("group").agg(
         F.first("middle").alias("middle"),
@@ -174,7 +174,7 @@ def estimate(rows: DataFrame, p: McdParameters) -> DataFrame:
     now = written(moments(two, F.col("w")).mapInArrow(solved, ESTIMATE))
     for _ in range(p.steps):
         far_rows = rows.join(now, "group").withColumn("d2", squared_distance(x, F.col("centre"), F.col("inverse")))
-        bound = far_rows.groupBy("group", "start").agg(F.percentile_approx("d2", p.share, 10_000).alias("bound"))
+        bound = written(far_rows.groupBy("group", "start").agg(F.percentile_approx("d2", p.share, 10_000).alias("bound")))
         kept = far_rows.join(bound, ["group", "start"]).withColumn("w", (F.col("d2") <= F.col("bound")).cast("double"))
         now = written(moments(kept, F.col("w")).mapInArrow(solved, ESTIMATE))
     best = now.groupBy("group").agg(F.min_by(F.struct("centre", "inverse"), F.struct("log_size", "start")).alias("b"))
