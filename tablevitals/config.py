@@ -35,7 +35,7 @@ RULE_DEFAULTS: dict[str, dict[str, Any]] = {
         "fuzzy_match_threshold": 60,
         "max_unique_ratio": 0.5,
         "min_value_count": 2,
-        "max_common_candidates": 300,
+        "max_common_candidates": None,  # a number leaves rarer candidates out
         "min_sample_size_for_ratio_filter": 10,
     },
     "schema_drift": {"enabled": True, "penalty_weight": 15},

@@ -8,7 +8,7 @@ The score is the published "WRatio" of the fuzzy-matching libraries:
 * otherwise: the larger of ``ratio``, the best window of the longer text times
   a scale, and the same over sorted words times 0.95 and the scale.
 
-``best_match_udf`` scores a column of values against a short list of candidates
+``best_match_udf`` scores lists of values against lists of candidates
 and ``wratio_udf`` two columns; both run in Arrow batches. LCS lengths come from
 the bit-parallel recurrence, over all candidates in one numpy operation.
 """
@@ -307,27 +307,32 @@ class CandidateScorer:
         return best.astype(np.float32)
 
 
-def best_match_udf(groups, floor: float):
-    """UDF ``(group, value) -> (match_no, score)`` over candidate lists per group.
+MATCH_TYPE = T.ArrayType(T.StructType([T.StructField("match_no", T.IntegerType()), T.StructField("score", T.FloatType())]))
 
-    ``groups`` is a Spark broadcast of ``{group: [candidate, …]}`` in preference
-    order; of equal scores the earlier candidate wins. Scores under ``floor``
-    need not be exact. Declared non-deterministic so that the optimizer runs it
-    once, where it stands, and not again inside filters on its result.
+
+def best_match_udf(floor: float):
+    """UDF ``(values, candidates) -> [(match_no, score), …]``: for every value of a list its best candidate.
+
+    Candidates are in preference order; of equal scores the earlier one wins.
+    Scores under ``floor`` need not be exact. Declared non-deterministic so that
+    the optimizer runs it once, where it stands, and not again inside filters on
+    its result.
     """
 
-    @F.pandas_udf(T.StructType([T.StructField("match_no", T.IntegerType()), T.StructField("score", T.FloatType())]))
-    def best_match(group: pd.Series, value: pd.Series) -> pd.DataFrame:
-        match_no = np.zeros(len(value), dtype=np.int32)
-        score = np.zeros(len(value), dtype=np.float32)
-        scorers: dict = {}
-        for row, (g, text) in enumerate(zip(group, value)):
-            if g not in scorers:
-                scorers[g] = CandidateScorer(groups.value[g])
-            scores = scorers[g].scores(text, floor)
-            match_no[row] = scores.argmax()
-            score[row] = scores[match_no[row]]
-        return pd.DataFrame({"match_no": match_no, "score": score})
+    @F.pandas_udf(MATCH_TYPE)
+    def best_match(values: pd.Series, candidates: pd.Series) -> pd.Series:
+        known, scorer, result = None, None, []
+        for texts, names in zip(values, candidates):
+            names = list(names)
+            if names != known:
+                known, scorer = names, CandidateScorer(names)
+            found = []
+            for text in texts:
+                scores = scorer.scores(text, floor)
+                at = int(scores.argmax())
+                found.append({"match_no": at, "score": float(scores[at])})
+            result.append(found)
+        return pd.Series(result)
 
     return best_match.asNondeterministic()
 

@@ -2,89 +2,80 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablevitals.functions.columns import as_text, is_text, long_form
 from tablevitals.functions.fuzzy import best_match_udf
 from tablevitals.functions.pyformat import fixed_text
-from tablevitals.operators.batch import Batch
+from tablevitals.operators.batch import Batch, literal_map
 from tablevitals.operators.issues import issue_row, no_issues
 from tablevitals.operators.profile import value_counts
 
-RARE_PER_TASK = 20_000
-# Candidate texts sent to the workers at once; more are scored in several passes.
-CANDIDATE_BYTES = 64 * 1024 * 1024
+# Frequent values scored at once, rare values per row and such rows per block of frequent values.
+FREQUENT_PER_BLOCK = 512
+RARE_PER_LIST = 512
+LISTS_PER_PART = 32
 
 
-def frequent_values(counts: DataFrame, min_count: int, limit: int) -> DataFrame:
+def most_frequent(frequent: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` most frequent values per column, ties in value order.
 
     ``row_number`` under a limit keeps the top rows of every task before the
     shuffle, so a column's values never meet in one place.
     """
     order = Window.partitionBy("column").orderBy(F.desc("value_count"), "value")
-    return (
-        counts.filter(F.col("value_count") >= min_count)
-        .withColumn("preference", F.row_number().over(order))
-        .filter(F.col("preference") <= limit)
-    )
+    place = F.row_number().over(order)
+    return frequent.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
 
 
-def best_matches(rare: DataFrame, frequent: list, threshold: float, rare_rows: int) -> DataFrame:
-    """``rare`` rows with the best candidate at or above the threshold.
+def best_matches(rare: DataFrame, frequent: DataFrame, threshold: float, sizes: dict[str, tuple[int, int]]) -> DataFrame:
+    """``rare`` rows with their best frequent value at or above the threshold: score, then count, then value decide.
 
-    ``frequent`` are ``(column, value, value_count)`` rows, at most a few
-    hundred per column, in preference order. They travel as a broadcast in
-    pieces of bounded size; the best match over all pieces wins.
+    ``sizes`` holds the number of frequent and rare values per column. Both
+    sides are dealt by hash into lists of bounded length, and every list of rare
+    values meets every list of frequent ones of its column. Lists are sent once
+    per block of the other side, so that no column meets in one task, and
+    candidates that cannot win are ruled out inside a list by an upper bound.
     """
-    spark = rare.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(rare_rows / RARE_PER_TASK))
-    # Scoring is CPU work on few bytes, so it gets its own even spread.
-    spread = rare.repartition(min(tasks, 100_000), "column", "value")
-    scored = None
-    for piece in _pieces(frequent):
-        lists: dict[str, list[str]] = {}
-        for r in piece:
-            lists.setdefault(r["column"], []).append(r["value"])
-        candidates = spark.sparkContext.broadcast(lists)
-        match = best_match_udf(candidates, threshold)
-        part = spread.filter(F.col("column").isin(list(lists))).withColumn("m", match("column", "value"))
-        names = spark.createDataFrame(
-            [(c, i, v, r) for c, values in lists.items() for i, (v, r) in enumerate(zip(values, _ranks(piece, c)))],
-            "column string, match_no int, match string, preference int",
-        )
-        part = (
-            part.filter(F.col("m.score") >= threshold)
-            .withColumns({"match_no": F.col("m.match_no"), "score": F.col("m.score")})
-            .drop("m")
-            .join(F.broadcast(names), ["column", "match_no"])  # the same bounded piece
-        )
-        scored = part if scored is None else scored.unionByName(part)
-    pieces_used = len(_pieces(frequent))
-    if pieces_used == 1:
-        return scored
-    best = Window.partitionBy("column", "value").orderBy(F.desc("score"), "preference")
-    return scored.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place")
-
-
-def _ranks(piece: list, column: str) -> list[int]:
-    return [r["preference"] for r in piece if r["column"] == column]
+    count = lambda column, n, per: literal_map({c: -(-v[n] // per) for c, v in sizes.items()}, column).cast("bigint")
+    column, spread, zero = F.col("column"), F.xxhash64("value"), F.lit(0).cast("bigint")
+    blocks, lists = count(column, 0, FREQUENT_PER_BLOCK), count(column, 1, RARE_PER_LIST)
+    parts = count(column, 1, RARE_PER_LIST * LISTS_PER_PART)
+    candidates = (
+        frequent.groupBy("column", F.pmod(spread, blocks).alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("value_count")).alias("order"), "value"))).alias("candidates"))
+        .withColumn("part", F.explode(F.sequence(zero, parts - 1)))
+    )
+    rare_lists = (
+        rare.groupBy("column", F.pmod(spread, lists).alias("list"))
+        .agg(F.collect_list(F.struct("value", "first_row")).alias("rare"))
+        .withColumn("block", F.explode(F.sequence(zero, blocks - 1)))
+        .withColumn("part", F.pmod("list", parts))
+    )
+    match = best_match_udf(threshold)
+    scored = (
+        rare_lists.join(candidates, ["column", "block", "part"])
+        # Scoring is CPU work on few bytes, so it gets its own even spread.
+        .repartition(_tasks(rare.sparkSession, sizes), "column", "block", "list")
+        .withColumn("m", match(F.col("rare.value"), F.col("candidates.value")))
+        .select("column", "candidates", F.inline(F.arrays_zip("rare", "m")))
+        .filter(F.col("m.score") >= threshold)
+        .withColumn("found", F.col("candidates")[F.col("m.match_no")])
+    )
+    best = F.min(F.struct((-F.col("m.score")).alias("score"), "found.order", "found.value"))
+    return (
+        scored.groupBy("column", "rare.value", "rare.first_row")
+        .agg(best.alias("best"))
+        .select("column", "value", "first_row", F.col("best.value").alias("match"), (-F.col("best.score")).alias("score"))
+    )
 
 
-def _pieces(frequent: list) -> list[list]:
-    pieces, size = [[]], 0
-    for r in frequent:
-        size += len(r["value"])
-        if size > CANDIDATE_BYTES and pieces[-1]:
-            pieces.append([])
-            size = len(r["value"])
-        pieces[-1].append(r)
-    return pieces
+def _tasks(spark: SparkSession, sizes: dict[str, tuple[int, int]]) -> int:
+    """One task per ``LISTS_PER_PART`` pairs of lists, at least one per core."""
+    pairs = sum(-(-a // FREQUENT_PER_BLOCK) * -(-b // RARE_PER_LIST) for a, b in sizes.values())
+    return min(max(spark.sparkContext.defaultParallelism, pairs // LISTS_PER_PART), 100_000)
 
 
 def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
@@ -92,7 +83,9 @@ def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
 
     Which columns are judged follows from the value-count pass; their counts,
     with the row of every value that occurs once, are then all that is needed.
-    Rows are joined again only for ``min_value_count > 2``.
+    Rows are joined again only for ``min_value_count > 2``. Every frequent value
+    is a candidate unless the caller sets ``max_common_candidates``, which leaves
+    out all but that many of the most frequent ones.
     """
     df, spark = batch.df, batch.df.sparkSession
     if not batch.enabled("consistency"):
@@ -102,7 +95,7 @@ def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
     max_unique = params.get("max_unique_ratio", 0.5)
     min_count = params.get("min_value_count", 2)
     min_sample = params.get("min_sample_size_for_ratio_filter", 10)
-    limit = params.get("max_common_candidates", 300)
+    limit = params.get("max_common_candidates")
     texts = [c for c in (columns if columns is not None else batch.texts) if c in batch.columns]
     texts = [c for c in texts if is_text(df.schema[c].dataType)]
     judged = []
@@ -114,9 +107,13 @@ def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
     if not judged:
         return no_issues(spark)
     counts = batch.kept(value_counts(df, judged, batch.row_key))
-    frequent = frequent_values(counts, min_count, limit).orderBy("column", "preference").collect()
+    frequent = counts.filter(F.col("value_count") >= min_count)
     rare = counts.filter(F.col("value_count") < min_count)
-    matched = best_matches(rare, frequent, threshold, sum(batch.value_stats[c][1] for c in judged))
+    sizes = {c: (batch.value_stats[c][0] - batch.value_stats[c][1], batch.value_stats[c][1]) for c in judged}
+    if limit is not None:
+        frequent = most_frequent(frequent, limit)
+        sizes = {c: (min(n, limit), m) for c, (n, m) in sizes.items()}
+    matched = best_matches(rare, frequent, threshold, sizes)
     if min_count <= 2:
         rows = matched.withColumn("key", F.col("first_row"))  # a rare value has one row
     else:

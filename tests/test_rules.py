@@ -125,6 +125,18 @@ def test_consistency(spark):
     assert flagged(consistency(rare_twice)) == [4, 5]
 
 
+def test_consistency_has_no_cap(spark):
+    """The right spelling is found however many values are more frequent, unless the caller sets a limit."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(9))
+    names = sorted({word("abcdefgh") for _ in range(1300)})
+    rows = [(n,) for n in names for _ in range(3)] + [("zyxwvutsr",)] * 2 + [("zyxwvutsq",)]
+    hit = consistency(batch(spark, "s string", rows)).collect()
+    assert [(int(r["row_reference"]), "'zyxwvutsr' (89% similarity)" in r["description"]) for r in hit] == [(len(rows) - 1, True)]
+    limited = batch(spark, "s string", rows, config={"consistency": {"max_common_candidates": 300}})
+    assert consistency(limited).count() == 0
+
+
 def test_consistency_scale(spark):
     rng = random.Random(7)
     names = [f"Customer {rng.choice('ABCDEFGH')}{rng.randrange(10**5)} {rng.choice(['Stores', 'Retail', 'Shop'])}" for _ in range(2000)]

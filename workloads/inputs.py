@@ -63,6 +63,14 @@ def maker_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", "p_type", F.when(F.col("p_size") == 7, own).otherwise(usual).alias("maker"))
 
 
+def client_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the name of their client, of whom there are many; the dearest orders spell it with a letter more."""
+    client = F.concat(F.lit("Client_"), F.substring(F.md5(F.col("o_custkey").cast("string").cast("binary")), 1, 10))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_totalprice") > 498000, F.concat(client, F.lit("x"))).otherwise(client).alias("client")
+    )
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(

@@ -23,6 +23,8 @@ VIEWS = {
     "maker_parts": """SELECT p_partkey, p_type,
         CASE WHEN p_size = 7 THEN 'Maker_' || p_partkey::VARCHAR || '_' || p_brand
              ELSE 'Maker_of_' || p_brand END AS maker FROM part""",
+    "client_orders": """SELECT o_orderkey, 'Client_' || substr(md5(o_custkey::VARCHAR), 1, 10)
+        || CASE WHEN o_totalprice > 498000 THEN 'x' ELSE '' END AS client FROM orders""",
     "shipments": """SELECT o_custkey AS customer_id, l_partkey AS part_id, l_quantity AS quantity,
         l_shipdate AS ship_date, o_orderdate AS order_date, year(o_orderdate) AS order_year, l_returnflag AS return_flag
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
@@ -197,7 +199,7 @@ def consistency(source: str, key: str, columns: list[str]) -> str:
                   row_number() OVER (PARTITION BY r.value ORDER BY {ratio("r.value", "f.value")}::FLOAT DESC, f.n DESC,
                                      f.value) AS place
                   FROM (SELECT * FROM ({counts}) WHERE n < 2) r,
-                       (SELECT * FROM ({counts}) WHERE n >= 2 ORDER BY n DESC, value LIMIT 300) f
+                       (SELECT * FROM ({counts}) WHERE n >= 2) f
                   WHERE (SELECT count(DISTINCT {c}) / count(*) <= 0.5 OR count(*) < 10 FROM {source}))
             WHERE place = 1 AND score >= 60"""
         )
@@ -444,6 +446,7 @@ ORACLE: dict[str, str] = {
     "outlier_iqr_grouped": outlier("documents", "doc_id", ["n_chars"], "source", "iqr"),
     "outlier_hot_groups": outlier("events", "event_id", ["value"], "event_type"),
     "consistency_rule": using("maker_parts", select=consistency("maker_parts", "p_partkey", ["maker"])),
+    "consistency_many_candidates": using("client_orders", select=consistency("client_orders", "o_orderkey", ["client"])),
     "fuzzy_wratio": f"""WITH pairs AS (SELECT 'brand' AS pair, p_brand AS a, 'Brand#' || p_size::VARCHAR AS b FROM part
             UNION ALL SELECT 'name', replace(p_name, ' ', '_'), substr(replace(p_name, ' ', '_'), 3, 3) FROM part),
         counted AS (SELECT pair, a, b, count(*) AS parts FROM pairs GROUP BY ALL),

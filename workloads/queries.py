@@ -318,6 +318,12 @@ def consistency_rule(spark, sf_dir):
     return findings(consistency(Batch(inputs.maker_parts(spark, sf_dir), "p_partkey")))
 
 
+@query
+def consistency_many_candidates(spark, sf_dir):
+    """Far more frequent values than one list of candidates holds."""
+    return findings(consistency(Batch(inputs.client_orders(spark, sf_dir), "o_orderkey")))
+
+
 @query
 def fuzzy_wratio(spark, sf_dir):
     """Scores of one-word pairs, of similar and of different lengths."""
