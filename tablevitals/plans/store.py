@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablevitals.functions.columns import ROW_INDEX, col
+from tablevitals.operators.alerts import alert_batch
 from tablevitals.operators.issues import ISSUE_SCHEMA
 
 RUN_SCHEMA = (
@@ -33,6 +34,7 @@ SCHEMAS = {
         "run_id string, source_file string, ingested_at timestamp, "
         "transformations_applied array<string>, destination_table string"
     ),
+    "alerts": "run_id string, message string",
 }
 # The steps every stored batch went through.
 LINEAGE_STEPS = ["load_structured", "profile_dataframe", "run_all_rules", "compute_health_score"]
@@ -169,6 +171,17 @@ class RunStore:
     def lineage(self) -> DataFrame:
         return self._finished("data_lineage")
 
+    def alerts(self) -> DataFrame:
+        return self._finished("alerts")
+
+    def store_alerts(self, run_ids: list[str]) -> None:
+        """Alert rows of these runs, of which at most one batch's are given; a run without need of one has none."""
+        if not run_ids:
+            return
+        among = F.col("run_id").isin(run_ids)  # reads these runs' partitions only
+        runs, issues = self._read("quality_runs").filter(among), self._read("quality_issues").filter(among)
+        self.append("alerts", alert_batch(runs, issues))
+
     def store_rows(self, df: DataFrame, run_id: str, row_key: str = ROW_INDEX, columns=None) -> None:
         self.append("dataset_rows", rows_table(df, run_id, row_key, columns))
 

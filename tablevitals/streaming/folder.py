@@ -77,7 +77,8 @@ def batch_writer(
 
     At most ``maxFilesPerTrigger`` names reach the driver. Files of one dataset
     run one after the other in name order, because each is the next one's
-    baseline; datasets run side by side.
+    baseline; datasets run side by side. The batch's alerts are written once all
+    its runs are.
     """
 
     def write(files: DataFrame, batch_id: int) -> None:
@@ -91,7 +92,10 @@ def batch_writer(
             # Each thread passes the stream's job properties on.
             one_dataset = lambda group: [process_file(spark, local, file, config) for file in group]
             done = pool.map(inheritable_thread_target(spark)(one_dataset), by_dataset.values())
-            aside = [row for group in done for row in group if row is not None]
+            results = [row for group in done for row in group]
+        stored = [f for group in by_dataset.values() for f in group]
+        aside = [row for row in results if row is not None]
+        local.store_alerts([file_run_id(f["path"], f["length"], f["modified"]) for f, row in zip(stored, results) if row is None])
         if aside:
             rows = spark.createDataFrame(aside, QUARANTINE_SCHEMA)
             (

@@ -109,6 +109,8 @@ def test_folder_stream(spark, tmp_path):
     aside = {r["path"].rsplit("/", 1)[-1]: r["reason"] for r in spark.read.parquet(store.path("quarantine")).collect()}
     assert aside == {"notes.doc": "unsupported file type", "empty_2026-01.txt": "no rows"}
     assert store.rows().count() == 23
+    (alert,) = store.alerts().collect()
+    assert alert["run_id"] == done["sales"]["run_id"] and "*Source:* sales" in alert["message"]
     start()  # nothing new
     assert store.runs().count() == 2
     (folder / "0a1b2c3d_sales.csv").write_text("store,total\ns1,5\n")
@@ -116,6 +118,9 @@ def test_folder_stream(spark, tmp_path):
     assert store.runs().filter("dataset_name = 'sales'").count() == 2
     drift = store.issues().filter("issue_type = 'schema_drift'").collect()
     assert {(r["column"], r["severity"]) for r in drift} == {("amount", "high"), ("total", "low")}
+    messages = {r["run_id"]: r["message"] for r in store.alerts().collect()}
+    assert set(messages) == {done["sales"]["run_id"], drift[0]["run_id"]}
+    assert "Column 'amount' present in the previous run" in messages[drift[0]["run_id"]]
 
 
 def test_report_lines_with_unicode_spaces(spark):
