@@ -68,11 +68,13 @@ def _from_1252(value: Column) -> Column:
     return F.translate(value, "".join(map(chr, WINDOWS_1252)), "".join(WINDOWS_1252.values()))
 
 
+QUOTING = {"quote": '"', "escape": '"'}
+
+
 def _reader(spark: SparkSession, form: FileFormat):
     return (
         spark.read.option("encoding", "UTF-8" if form.encoding == "utf-8" else "ISO-8859-1")
-        .option("quote", '"')
-        .option("escape", '"')
+        .options(**QUOTING)
         .option("multiLine", form.multi_line)
     )
 
@@ -115,17 +117,41 @@ def file_groups(spark: SparkSession, paths: str | list[str]) -> list[FileGroup]:
     return groups
 
 
+def _too_many(line: Column, schema: T.StructType) -> Column:
+    """If a line that hasn't as many cells as the schema has more of them.
+
+    Empty cells are null like absent ones, so a last cell is added: it shows up
+    among the schema's cells only behind a line with fewer. It is made of the
+    line's hash, which no cell of the line holds.
+    """
+    end = F.md5(line)
+    ended = F.concat(F.regexp_replace(line, "[\\r\\n]+$", ""), F.lit(","), end)
+    marked = F.from_csv(ended, ", ".join(f"{c} string" for c in schema.names), QUOTING)
+
+    def shows(cells: Column) -> Column:
+        return F.exists(F.array(*[cells[c] for c in schema.names]), lambda c: F.coalesce(F.endswith(c, end), F.lit(False)))
+
+    return ~F.transform(F.array(marked), shows)[0]
+
+
 def _cells(spark: SparkSession, group: FileGroup) -> DataFrame:
     """All cells as text under their names, with file and block; a line with more cells than the header is refused."""
     names, form = group.names, group.form
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
-    raw = _reader(spark, form).schema(schema).option("header", True).option("enforceSchema", True).csv(group.paths)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    # The reader fills "line" where the number of cells is not the schema's; fewer are allowed.
+    whole = T.StructType([*schema.fields, T.StructField("line", T.StringType())])
+    reader = _reader(spark, form).schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line")
+    reader = reader.option("columnPruning", False)  # cells are counted only where all are read
+    raw = reader.option("header", True).option("enforceSchema", True).csv(group.paths)
+    place = F.col("_metadata.file_path")
+    first = F.coalesce(col("c0"), F.lit(""))
+    refused = F.raise_error(F.concat(F.lit("more cells than columns in "), place, F.lit(" after "), first))
+    # A filter holds whatever columns are asked for.
+    surplus = F.when(col("line").isNull(), False).otherwise(_too_many(col("line"), schema))
+    raw = raw.filter(F.when(surplus, refused.cast("boolean")).otherwise(True))
     cells = [col(f"c{i}") for i in range(len(names))]
     if form.encoding == "windows-1252":
         cells = [_from_1252(c) for c in cells]
-    place = F.col("_metadata.file_path")
-    refused = F.raise_error(F.concat(F.lit("more cells than columns in "), place, F.lit(" after "), cells[0]))
-    cells[0] = F.when(col(f"c{len(names)}").isNotNull(), refused).otherwise(cells[0])
     return raw.select(
         *[c.alias(n) for c, n in zip(cells, names)],
         place.alias("_path"),

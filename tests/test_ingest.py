@@ -12,7 +12,7 @@ from tablevitals.operators.batch import Batch
 from tablevitals.operators.consistency import consistency
 from tablevitals.operators.validity import validity
 from tablevitals.sources import tables
-from tablevitals.sources.csv import detect_formats, load_csv
+from tablevitals.sources.csv import detect_formats, load_csv, scan_csv
 from tablevitals.sources.files import route_files
 from tablevitals.sources.reports import REPORT_COLUMNS, drop_confidence, extract_report_rows
 from tablevitals.sources.row_index import with_row_index
@@ -125,6 +125,26 @@ def test_surplus_cells_are_refused(spark, tmp_path):
         load_csv(spark, path).collect()
 
 
+@pytest.mark.parametrize(
+    "line",
+    [b"2,y,20,,EXTRA", b"2,y,20,", b"2,y,,", b'2,"y,z",20,,', b"2,,,,,,", b'2,"y\nz",20,,EXTRA', b'2,"y\nz",,', "2,é,20,,X".encode("latin-1")],
+)
+def test_empty_surplus_cells_are_refused(spark, tmp_path, line):
+    path = write(tmp_path, "s.csv", b"id,name,v\n1,x,10\n" + line + b"\n3,z,30\n")
+    with pytest.raises(Exception, match="more cells than columns in .*s.csv after 2"):
+        load_csv(spark, path).collect()
+    with pytest.raises(Exception, match="more cells than columns"):
+        scan_csv(spark, path).select("v").collect()
+
+
+def test_lines_with_fewer_cells_stay(spark, tmp_path):
+    path = write(tmp_path, "f.csv", b'id,name,v\n1,x,\n2\n3,"y, z"\n4,,\n5,"a\n""b"""\n,,\n')
+    rows = scan_csv(spark, path, with_position=True).orderBy("_row_index").collect()
+    assert [tuple(r)[:3] for r in rows] == [
+        ("1", "x", None), ("2", None, None), ("3", "y, z", None), ("4", None, None), ("5", 'a\n"b"', None), (None, None, None),
+    ]
+
+
 def test_positions_of_a_split_file(spark, tmp_path):
     """A file read in many blocks keeps its line order."""
     path = write(tmp_path, "big.csv", b"k\n" + b"".join(b"%d\n" % i for i in range(30000)))
