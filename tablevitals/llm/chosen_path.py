@@ -47,15 +47,38 @@ class JoinParameters:
     seed: int = 10
 
     @property
-    def level_survival(self) -> float:
-        """Chance that a pair stays together on a level: one coordinate is chosen, and with 1/similarity - 1 another."""
-        apart = 1 - self.similarity
-        second = 1 / self.similarity - 1
-        return 1 - (1 - second) * apart - second * apart * apart
+    def least(self) -> int:
+        """Equal coordinates from which a pair is verified.
+
+        Estimates from 64 coordinates are off by more than five standard deviations once in millions.
+        """
+        spread = math.sqrt(self.similarity * (1 - self.similarity) / COORDINATES)
+        return max(1, math.floor(COORDINATES * (self.similarity - 5 * spread)))
+
+    def missed(self, runs: int) -> float:
+        """Share of pairs at the threshold that no run finds.
+
+        All runs choose from the same coordinates, so they are independent only
+        given how many of them are equal; that number is binomial.
+        """
+        total = 0.0
+        for equal in range(COORDINATES + 1):
+            share = math.comb(COORDINATES, equal) * self.similarity**equal * (1 - self.similarity) ** (COORDINATES - equal)
+            # A level chooses one coordinate, and with 1/similarity - 1 another.
+            apart, second = 1 - equal / COORDINATES, 1 / self.similarity - 1
+            together = 1 - (1 - second) * apart - second * apart * apart
+            total += share * ((1 - together**self.depth) ** runs if equal >= self.least else 1.0)
+        return total
 
     @property
     def runs(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.level_survival**self.depth))
+        most = 1 - self.recall
+        if self.missed(1_000_000) > most:
+            raise ValueError(f"a recall of {self.recall} needs more than {COORDINATES} coordinates")
+        runs = 1
+        while self.missed(runs) > most:
+            runs += 1
+        return runs
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -143,8 +166,11 @@ def split(rows: DataFrame, p: JoinParameters) -> DataFrame:
             path = batch.column(2).to_numpy().view(np.uint64)
             choice = mixed(path + np.uint64(p.seed))
             u = batch.column(0)
-            for number, take in ((0, np.arange(n)), (1, np.flatnonzero((choice >> np.uint64(48)) < second))):
-                at = ((choice >> np.uint64(16 * number)) % np.uint64(COORDINATES)).astype(np.int64)[take]
+            one, two = (((choice >> np.uint64(shift)) % np.uint64(COORDINATES)).astype(np.int64) for shift in (0, 16))
+            # The same coordinate twice would put every text into the same bucket twice.
+            again = np.flatnonzero(((choice >> np.uint64(48)) < second) & (two != one))
+            for at, take in ((one, np.arange(n)), (two, again)):
+                at = at[take]
                 value = sketch[take, at].astype(np.uint64)
                 key = mixed(mixed(path[take] * np.uint64(BASE) + at.astype(np.uint64) + np.uint64(1)) ^ value)
                 yield pa.RecordBatch.from_arrays([u.take(pa.array(take)), pa.array(key.view(np.int64))], names=["u", "path"])
@@ -169,7 +195,7 @@ def leaves(sketches: DataFrame, p: JoinParameters) -> DataFrame:
         level = split(large.join(sketches, "u"), p)
     marks = [F.bit_xor(F.xxhash64(F.lit(i), "u")) for i in (0, 1)]
     buckets = found.groupBy("path").agg(F.count("*").alias("n"), marks[0].alias("a"), marks[1].alias("b"))
-    # Two choices on a level can lead to the same bucket; then "u" is in it once for each.
+    # Marks tell sets of texts apart as no text is in a bucket twice.
     single = buckets.groupBy("n", "a", "b").agg(F.min("path").alias("path")).select("path")
     return written(found.join(single, "path"))
 
@@ -346,12 +372,9 @@ def text_classes(df: DataFrame, text: str, p: JoinParameters, key: str) -> tuple
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = blocked.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "u")
     shared = written(shared)
-    # Estimates from 64 coordinates are off by more than five standard deviations once in millions.
-    spread = math.sqrt(p.similarity * (1 - p.similarity) / COORDINATES)
-    least = max(1, math.floor(COORDINATES * (p.similarity - 5 * spread)))
     about = tasks.join(shared.join(texts, "u"), "u")
     schema = "path long, i int, j int, block int, u binary"
-    members = written(compared(about, "sketch", like_sketches(least), emit_members, schema))
+    members = written(compared(about, "sketch", like_sketches(p.least), emit_members, schema))
     wanted = written(members.select("u").distinct())
     # Hashes of 16 bytes: few enough go to all tasks, so that other texts stay where they are; more are joined by shuffle.
     if wanted.count() <= WANTED_BROADCAST:

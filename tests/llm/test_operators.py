@@ -287,6 +287,26 @@ def test_join(spark, docs, none, corpus):
     assert jaccard_join(none).count() == 0 and one_of_each_class(none).count() == 0
 
 
+def test_recall_over_shared_coordinates():
+    """The runs miss no more than stated where all of them see the same equal coordinates."""
+    p = JoinParameters()
+    rng = np.random.default_rng(1)
+    q = rng.binomial(chosen_path.COORDINATES, p.similarity, 400_000) / chosen_path.COORDINATES
+    second = 1 / p.similarity - 1
+    apart = (1 - second) * (1 - q) + second * (1 - q) ** 2
+    missed = ((1 - (1 - apart) ** p.depth) ** p.runs).mean()
+    assert missed < 1.1 * (1 - p.recall)
+    with pytest.raises(ValueError):
+        JoinParameters(recall=1 - 1e-12).runs
+
+
+def test_a_text_is_in_a_bucket_once(spark):
+    sketch = bytearray(np.arange(chosen_path.COORDINATES, dtype=np.uint32).tobytes())
+    rows = spark.range(5000).select(F.lit(bytearray(b"a")).alias("u"), F.lit(sketch).alias("sketch"), F.col("id").alias("path"))
+    got = chosen_path.split(rows, JoinParameters()).collect()
+    assert len(got) > 6000 and len({r["path"] for r in got}) == len(got)
+
+
 def test_components(spark):
     edges = [(f"n{i:03d}".encode(), f"n{i + 1:03d}".encode()) for i in range(30) if i != 14]
     df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges], "a binary, b binary")
