@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.llm.common import carries_its_code, fresh, map_column, text_crc32
+from tablevitals.llm.common import carries_its_code, fresh, map_column, text_crc32, written
 
 carries_its_code(__name__)
 
@@ -278,13 +278,11 @@ class ToxicityModel:
     trees: BoostedTrees
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, lexicon_size: int = 400,
-                   rounds: int = 60, depth: int = 3, rate: float = 0.15) -> ToxicityModel:
-    """Learns from at most ``max_labels`` labelled rows outside the held-out remainder, those with the smallest hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
+    """``text, label, fold``: at most ``max_labels`` different (doc_id, text) outside the held-out remainder.
 
-    Two thirds of them train the trees, a third the calibration. A doc_id with
-    several labels counts as toxic if one says so; null and other labels are
-    ignored. Without usable labels every score is the base rate of 0.001.
+    Every chosen doc_id gives one text before any gives a second, so that a
+    repeated doc_id neither crowds out others nor counts more than once a text.
     """
     usable = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -294,9 +292,27 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labels)
     )
-    # The sample is bounded by its parameter: 16 bytes a row.
+    # The sample is bounded by its parameter: 16 bytes a row, and the text's hash.
     chosen = usable.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(3)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "fold")
+    mark = F.coalesce(F.md5("text"), F.lit(""))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("mark", mark)
+    keys = written(found.select("doc_id", "mark").distinct().withColumn("place", F.xxhash64("doc_id", "mark")))
+    first = keys.groupBy("doc_id").agg(F.min("place").alias("first"))
+    ranked = keys.join(F.broadcast(first), "doc_id").orderBy(F.col("place") > F.col("first"), "place", "doc_id", "mark")
+    picked = ranked.limit(max_labels).select("doc_id", "mark")
+    rows = found.join(F.broadcast(picked), ["doc_id", "mark"]).distinct()
+    return written(rows.select("text", "label", "fold"))
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, lexicon_size: int = 400,
+                   rounds: int = 60, depth: int = 3, rate: float = 0.15) -> ToxicityModel:
+    """Learns from at most ``max_labels`` different labelled rows outside the held-out remainder, those with the smallest hash.
+
+    Two thirds of them train the trees, a third the calibration. A doc_id with
+    several labels counts as toxic if one says so; null and other labels are
+    ignored. Without usable labels every score is the base rate of 0.001.
+    """
+    sample = labelled_sample(docs, labels, max_labels)
     weights = learn_lexicon(sample.filter("fold > 0").select("text", "label"), "text", "label", lexicon_size, 5)
 
     def start() -> Callable[[list], list]:

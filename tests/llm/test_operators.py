@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablevitals.llm import chosen_path, gru_lm, pii_weak
+from tablevitals.llm import chosen_path, gru_lm, pii_weak, toxicity
 from tablevitals.llm.balltree import BallTree, top_inner_products
 from tablevitals.llm.bpe_backtrack import BacktrackingBpe, decode_documents, encode_and_decode, encode_documents, text_encoder
 from tablevitals.llm.bpe_heap import count_tokens, token_counter
@@ -98,6 +98,27 @@ def test_toxicity(spark, none):
     assert score_toxicity(none, empty).count() == 0
 
 
+def test_repeated_labelled_rows(spark, monkeypatch):
+    """Repeats of a labelled row are learned from once, and rows with many texts don't exceed the sample."""
+    learned = []
+    for name, at in (("boost", 1), ("isotonic", 1)):
+        plain = getattr(toxicity, name)
+        monkeypatch.setattr(toxicity, name, lambda *a, plain=plain, at=at: (learned.append(len(a[at])), plain(*a))[1])
+    rows = [(i, f"text {i}") for i in range(60)] + [(0, "text 0")] * 200 + [(1, f"other {i}") for i in range(200)] + [(3, None)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    usable = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    different = {r for r in rows if r[0] in usable}
+    assert {0, 1, 3} & set(usable)
+    train_toxicity(docs, truth)
+    assert sum(learned) == len(different)
+    learned.clear()
+    train_toxicity(docs, truth, max_labels=len(usable))
+    assert sum(learned) == len(usable)
+    texts = [r["text"] for r in toxicity.labelled_sample(docs, truth, len(usable)).collect()]
+    assert len(texts) == len(usable) and sum((t or "").startswith("other") for t in texts) <= 1
+
+
 def test_isotonic():
     knots, heights = isotonic(np.array([0.0, 1, 2, 3, 3]), np.array([0.0, 1, 0, 1, 1]))
     assert np.all(np.diff(heights) >= 0) and heights[0] == 0 and heights[-1] == 1 and len(knots) == len(heights)
