@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A line is a label followed by two numbers.
 REPORT_LINE = r"([A-Za-z][A-Za-z .&]+?)[\s,]+(-?[\d,]+(?:\.\d+)?)[\s,]+(-?[\d,]+(?:\.\d+)?)"
-# White space of any script, inside a character class; digits beyond ASCII don't occur in the reports' numbers.
+# White space and decimal digits of any script, inside a character class; two scripts' digits are younger than Java's tables.
 WIDE_SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+WIDE_DIGIT = r"\p{Nd}\x{11f50}-\x{11f59}\x{1e4f0}-\x{1e4f9}"
+DIGITS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isdecimal())
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
 # A label is tried once per run of label characters, from the run's first letter:
 # any later start in the run would end at the same numbers. Long lines of plain
 # words then take linear time.
-LINE_PATTERN = r"(?<![A-Za-z .&])[ .&]*+" + REPORT_LINE.replace(r"\s", WIDE_SPACE)
+LINE_PATTERN = r"(?<![A-Za-z .&])[ .&]*+" + REPORT_LINE.replace(r"\d+)?", rf"[{WIDE_DIGIT}]+)?").replace(r"\d", WIDE_DIGIT).replace(r"\s", WIDE_SPACE)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 REPORT_COLUMNS = ["month", "state_name", "energy_requirement_mu", "energy_availability_mu", "extraction_confidence"]
 
 
 def _number(text: Column) -> Column:
-    return F.regexp_replace(text, ",", "").try_cast("double")
+    return F.translate(F.regexp_replace(text, ",", ""), DIGITS, ASCII_DIGITS).try_cast("double")
 
 
 def extract_report_rows(

@@ -177,6 +177,13 @@ def test_with_row_index(spark):
     assert with_row_index(df.filter("k > 99"), ["k"]).count() == 0
 
 
+def test_report_digits_of_other_scripts(spark):
+    rows = report(spark, "Assam १,६००.५ -१५८०\nBihar ٤٣٠٠ 4100.٢٥\nGoa １２ \U0001d7d7\nKerala \U00011f51 2\nSikkim 3 x४").collect()
+    assert [tuple(r)[1:4] for r in rows] == [
+        ("Assam", 1600.5, -1580.0), ("Bihar", 4300.0, 4100.25), ("Goa", 12.0, 9.0), ("Kerala", 1.0, 2.0),
+    ]
+
+
 def test_roles(spark):
     modes, regions = ["air", "road", "sea"], ["n", "s", "e", "w"]
     rows = [(modes[i % 3], regions[i % 4], f"cat{i % 15}", f"2024-{i % 12 + 1:02}", f"d{i % 250}") for i in range(300)]
