@@ -111,7 +111,10 @@ class Shingler:
 
     def hashes(self, text: str) -> np.ndarray:
         """One hash for each place of a gram, in the order of the text."""
-        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        return self.hashes_of(text.encode())
+
+    def hashes_of(self, utf8: bytes) -> np.ndarray:
+        data = np.frombuffer(utf8, dtype=np.uint8)
         inside = ~SPACES[data]
         if not inside.any():
             return np.zeros(0, dtype=np.uint64)

@@ -13,6 +13,7 @@ from tablevitals.llm.bpe_heap import count_tokens
 from tablevitals.llm.chosen_path import jaccard_join
 from tablevitals.llm.common import documents, text_crc32
 from tablevitals.llm.gru_lm import score_documents
+from tablevitals.llm.minwise_trees import near_duplicates
 from tablevitals.llm.mixing import temperature_mix
 from tablevitals.llm.pii_weak import digests, find_personal_data
 from tablevitals.llm.quality_mcd import quality_rules
@@ -81,6 +82,10 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op13_minwise_tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_weak_supervision_pii,
         op9_gru_log_likelihood,
         op10_chosen_path_join,
+        op13_minwise_tree_duplicates,
         pipeline,
     )
 }
