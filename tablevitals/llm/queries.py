@@ -16,9 +16,11 @@ from tablevitals.llm.gru_lm import score_documents
 from tablevitals.llm.minwise_trees import near_duplicates
 from tablevitals.llm.mixing import temperature_mix
 from tablevitals.llm.pii_weak import digests, find_personal_data
+from tablevitals.llm.polarisation import whiten
 from tablevitals.llm.quality_mcd import quality_rules
 from tablevitals.llm.sharding import shard_uniformly
 from tablevitals.llm.toxicity import HELD_OUT, score_toxicity, train_toxicity
+from tablevitals.llm.turn_grammar import damaged, repair_conversations
 
 SHARDS = 24
 MIX = {"target_entropy": 0.97, "max_repeats": 2.0, "blocks": 64, "seed": 5}
@@ -82,6 +84,16 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_turn_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_conversations(damaged(turns), turns.select("conv_id"))
+
+
+def op12_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op13_minwise_tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -105,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_weak_supervision_pii,
         op9_gru_log_likelihood,
         op10_chosen_path_join,
+        op11_turn_grammar_repair,
+        op12_polarisation_whitening,
         op13_minwise_tree_duplicates,
         pipeline,
     )
@@ -175,4 +189,67 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
-ORACLE: dict[str, str] = {"op5_temperature_mix": OP5_SQL, "op7_ball_tree_search": OP7_SQL}
+# One row of candidates a state and turn; the key of cost and audit finds the best of each. Said is the repaired text's lines.
+OP11_SQL = """
+WITH RECURSIVE named AS (
+  SELECT conv_id, coalesce('=' || conv_id, '-') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                        lambda x: ord(x)::BIGINT),
+                         lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0],
+                                                    lambda b, z: xor(b >> 1, 3988292384 * (b & 1))), 4294967295::BIGINT),
+             4294967295) % 20 AS code
+  FROM conversations),
+damaged AS (
+  SELECT c, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM named, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+ordered AS (
+  SELECT *, substr(role, 1, 1) AS initial, regexp_extract(text, '([^ \\x09-\\x0D])[ \\x09-\\x0D]*\\z', 1) AS last,
+         row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(strlen(role) || ':' || role || text)) AS k
+  FROM damaged),
+judged AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY k) AS copy, last = '' AS blank,
+         last <> '' AND copy > 1 AS duplicate, last <> '' AND copy = 1 AND last NOT IN ('.', '!', '?') AS truncated,
+         coalesce(lag(initial) OVER (PARTITION BY c ORDER BY k) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM ordered),
+inserted(before, state, price, letters, new) AS (
+  VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+         (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (3, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']),
+         (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+steps(state, letter, who, after, price) AS (
+  VALUES (0, 'D', '', 0, 4), (1, 'D', '', 1, 4), (2, 'D', '', 2, 4), (3, 'D', '', 3, 4),
+         (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0),
+         (0, 'R', 'user', 2, 3), (1, 'R', 'user', 2, 3), (3, 'R', 'user', 2, 3), (2, 'R', 'assistant', 3, 3)),
+walk AS (
+  SELECT DISTINCT c, 0::BIGINT AS k, 0 AS state, '000000000000' AS best, []::VARCHAR[] AS said FROM named
+  UNION ALL
+  SELECT c, k, after, min(best), arg_min(said, best) FROM (
+    SELECT w.c, j.k, s.after,
+           lpad((w.best[:12]::BIGINT + i.price + s.price + CASE WHEN s.letter <> 'D' AND j.truncated THEN 3 ELSE 0 END)::VARCHAR, 12, '0')
+             || w.best[13:] || i.letters || s.letter AS best,
+           list_concat(w.said, i.new, CASE s.letter WHEN 'D' THEN [] WHEN 'K' THEN [j.role || ':' || j.text] ELSE [s.who || ':' || j.text] END) AS said
+    FROM walk w JOIN judged j ON j.c = w.c AND j.k = w.k + 1
+         JOIN inserted i ON i.before = w.state JOIN steps s ON s.state = i.state
+    WHERE s.letter = 'D' OR (NOT j.blank AND NOT j.duplicate AND (s.letter = 'R' OR s.who = j.initial)))
+  GROUP BY c, k, after),
+ended AS (
+  SELECT c, min(best) AS best, arg_min(said, best) AS said FROM (
+    SELECT w.c, lpad((w.best[:12]::BIGINT + i.price)::VARCHAR, 12, '0') || w.best[13:] || i.letters AS best, list_concat(w.said, i.new) AS said
+    FROM walk w JOIN (SELECT c, max(k) AS k FROM walk GROUP BY c) USING (c, k) JOIN inserted i ON i.before = w.state
+    WHERE i.state IN (0, 3))
+  GROUP BY c),
+figures AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(illegal) AS illegal
+  FROM judged GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best[:12]::BIGINT AS cost,
+       best[13:] AS audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM named) JOIN ended USING (c) LEFT JOIN figures USING (c)
+"""
+
+ORACLE: dict[str, str] = {
+    "op11_turn_grammar_repair": OP11_SQL,
+    "op5_temperature_mix": OP5_SQL,
+    "op7_ball_tree_search": OP7_SQL,
+}
