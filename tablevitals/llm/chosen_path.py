@@ -3,8 +3,8 @@
 Texts are sets of word n-grams, sketched by minimum hashes. In every run the
 sketches are split again and again on sampled shared coordinates: a path is a
 sequence of chosen coordinates and their values, and texts that share it stay
-together. Small buckets are compared pair by pair; what stays large is compared
-block against block. Runs are repeated until pairs at the threshold are found
+together. Buckets are compared pair by pair; what stays large is compared
+block against block (``blocks.py``). Runs are repeated until pairs at the threshold are found
 with the target recall. Every pair is verified on the full sets.
 
 A pair counts where its smallest shared bucket is, so no pairs have to be
@@ -17,12 +17,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablevitals.llm.blocks import compare, emit_links, emit_members, in_blocks, similar_sets, similar_sketches
 from tablevitals.llm.common import carries_its_code, fresh, map_column, written
 
 carries_its_code(__name__)
@@ -203,136 +205,6 @@ def leaves(sketches: DataFrame, p: JoinParameters) -> DataFrame:
     return written(found.join(single, "path"))
 
 
-def compared(rows: DataFrame, payload: str, judge: Callable, emit: Callable, schema: str) -> DataFrame:
-    """Runs ``judge`` on every task of rows with the same ``path, i, j``.
-
-    Rows are ``path, i, j, block, u, shared, payload``. The pairs of a task are
-    those of one block, or between two; a pair that shares a smaller bucket is
-    left to that. ``judge`` gives the matrix of similar pairs from the payloads.
-    """
-
-    def group(path: int, i: int, j: int, block: list, u: list, shared: list, values: list) -> pa.RecordBatch | None:
-        if len(u) < 2:
-            return None
-        similar = judge(values)
-        np.fill_diagonal(similar, False)
-        if i != j:
-            side = np.array(block)
-            similar &= side[:, None] != side[None, :]
-        if similar.any():
-            number: dict[int, int] = {}
-            at, which = [], []
-            for row, paths in enumerate(shared):
-                for other in paths:
-                    if other < path:
-                        at.append(row)
-                        which.append(number.setdefault(other, len(number)))
-            if at:
-                member = np.zeros((len(u), len(number)), dtype=np.float32)
-                member[at, which] = 1
-                similar &= member @ member.T == 0
-        return emit(path, i, j, block, u, similar) if similar.any() else None
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(4)]
-        now = None
-        for batch in batches:
-            paths, i, j = (batch.column(k).to_numpy() for k in range(3))
-            columns = [batch.column(k) for k in range(3, 7)]
-            if not len(paths):
-                continue
-            change = np.flatnonzero((paths[1:] != paths[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for low, high in zip([0, *change], [*change, len(paths)]):
-                key = (int(paths[low]), int(i[low]), int(j[low]))
-                if key != now:
-                    if now is not None and (result := group(*now, *held)) is not None:
-                        yield result
-                    held, now = [[] for _ in range(4)], key
-                for part, column in zip(held, columns):
-                    part.extend(column.slice(low, high - low).to_pylist())
-        if now is not None and (result := group(*now, *held)) is not None:
-            yield result
-
-    ordered = rows.select("path", "i", "j", "block", "u", "shared", payload).repartition("path", "i", "j")
-    return ordered.sortWithinPartitions("path", "i", "j").mapInArrow(run, schema)
-
-
-def like_sketches(least: int) -> Callable[[list], np.ndarray]:
-    def judge(values: list) -> np.ndarray:
-        sketch = np.frombuffer(b"".join(values), dtype=np.uint32).reshape(len(values), COORDINATES)
-        equal = np.zeros((len(values), len(values)), dtype=np.uint8)
-        for column in sketch.T:
-            equal += column[:, None] == column[None, :]
-        return equal >= least
-
-    return judge
-
-
-def like_sets(similarity: float) -> Callable[[list], np.ndarray]:
-    def judge(values: list) -> np.ndarray:
-        sets = [np.frombuffer(v, dtype=np.uint64) for v in values]
-        size = np.array([len(s) for s in sets], dtype=np.float64)
-        n = len(sets)
-        grams, at = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(n), size.astype(np.int64))
-        times = np.bincount(at, minlength=len(grams))
-        both = np.zeros((n, n))
-        keep = times[at] > 1
-        number = np.cumsum(times > 1) - 1
-        at, owner = number[at[keep]], owner[keep]
-        order = np.argsort(at, kind="stable")
-        at, owner = at[order], owner[order]
-        width = max(64, 4_000_000 // n)
-        for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
-            a, b = np.searchsorted(at, [low, low + width])
-            table = np.zeros((n, min(width, int(at[-1]) + 1 - low)), dtype=np.float32)
-            table[owner[a:b], at[a:b] - low] = 1
-            both += table @ table.T
-        union = size[:, None] + size[None, :] - both
-        return both >= similarity * union - 1e-9
-
-    return judge
-
-
-def emit_members(path: int, i: int, j: int, block: list, u: list, similar: np.ndarray) -> pa.RecordBatch:
-    who = np.flatnonzero(similar.any(axis=1))
-    n = len(who)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, path)),
-            pa.array(np.full(n, i, np.int32)),
-            pa.array(np.full(n, j, np.int32)),
-            pa.array([block[k] for k in who], pa.int32()),
-            pa.array([u[k] for k in who], pa.binary()),
-        ],
-        names=["path", "i", "j", "block", "u"],
-    )
-
-
-def emit_links(path: int, i: int, j: int, block: list, u: list, similar: np.ndarray) -> pa.RecordBatch:
-    links = similar.sum(axis=1)
-    root = np.arange(len(u))
-    for start in range(len(u)):
-        if root[start] == start and links[start]:
-            seen, edge = {start}, [start]
-            while edge:
-                new = np.flatnonzero(similar[edge].any(axis=0))
-                edge = [k for k in new.tolist() if k not in seen]
-                seen.update(edge)
-            members = np.array(sorted(seen))
-            root[members] = min(members, key=lambda k: u[k])
-            links[members] = np.where(links[members] == 0, 0, links[members])
-    who = [k for k in range(len(u)) if links[k]]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([u[k] for k in who], pa.binary()),
-            pa.array([int(links[k]) for k in who], pa.int64()),
-            pa.array([u[root[k]] for k in who], pa.binary()),
-        ],
-        names=["u", "links", "root"],
-    )
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``u, root``: the smallest node of each component of ``edges (a, b)``, by alternating large and small stars."""
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -368,16 +240,10 @@ def text_classes(df: DataFrame, text: str, p: JoinParameters, key: str) -> tuple
     texts = rows.filter("sketch IS NOT NULL").select("u", "sketch").dropDuplicates(["u"])
     texts = written(texts)
     found = leaves(texts, p)
-    shared = found.groupBy("u").agg(F.array_distinct(F.collect_list("path")).alias("shared"))
-    blocks = F.ceil(F.col("size") / F.lit(p.bucket)).cast("int")
-    blocked = found.select("path", "u", blocks.alias("blocks")).distinct()
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64(F.lit(p.seed), "u"), F.col("blocks")).cast("int"))
-    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = blocked.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "u")
-    shared = written(shared)
-    about = tasks.join(shared.join(texts, "u"), "u")
-    schema = "path long, i int, j int, block int, u binary"
-    members = written(compared(about, "sketch", like_sketches(p.least), emit_members, schema))
+    shared = written(found.groupBy("u").agg(F.array_distinct(F.collect_list("path")).alias("shared")))
+    blocked = in_blocks(found.distinct().withColumn("size", F.lit(4 * COORDINATES)))
+    members = compare(blocked, shared.join(texts, "u"), "sketch", similar_sketches(p.least), emit_members, "path long, u binary")
+    members = written(members.distinct())
     wanted = written(members.select("u").distinct())
     # Hashes of 16 bytes: few enough go to all tasks, so that other texts stay where they are; more are joined by shuffle.
     if wanted.count() <= WANTED_BROADCAST:
@@ -388,9 +254,12 @@ def text_classes(df: DataFrame, text: str, p: JoinParameters, key: str) -> tuple
         return lambda values: [[shingles(v).tobytes() for v in values]]
 
     whole = df.select(text_key(text).alias("u"), F.col(text).alias("t")).join(wanted, "u", "left_semi").dropDuplicates(["u"])
-    sets = written(map_column(whole, "t", "grams binary", start_sets).drop("t"))
-    exact = members.join(shared, "u").join(sets, "u")
-    links = written(compared(exact, "grams", like_sets(p.similarity), emit_links, "u binary, links long, root binary"))
+    sets = written(map_column(whole, "t", "grams binary", start_sets).drop("t").withColumn("size", F.octet_length("grams")))
+    blocked = written(in_blocks(members.join(sets.select("u", "size"), "u")))
+    share = Fraction(p.similarity).limit_denominator(10**6)
+    judge = similar_sets(share.numerator, share.denominator)
+    exact = compare(blocked, shared.join(sets.select("u", "grams"), "u"), "grams", judge, emit_links, "u binary, links long, root binary")
+    links = written(exact)
     roots = components(links.select(F.col("u").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("u").agg(F.sum("links").alias("n_links"))
     return rows, counts.join(roots, "u", "left").select("u", F.coalesce("root", "u").alias("root"), "n_links")
