@@ -50,12 +50,7 @@ NUMERIC_COERCION_RATIO = 0.9
 PERIOD_MAX_DISTINCT = 60
 ENTITY_MIN_DISTINCT = 10
 
-# Sizes that pick a physical strategy; results are the same on either side.
-# A group with more rows than this is not handed to one percentile buffer.
-HOT_GROUP_ROWS = 1_000_000
-# The same for a whole table, which is a single group.
-HOT_TABLE_ROWS = 500_000
-# A per-group table is broadcast only when it has at most this many rows.
+# Figures by group are broadcast up to this many, results are the same beyond.
 BROADCAST_MAX_ROWS = 200_000
 
 

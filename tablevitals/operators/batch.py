@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.config import HOT_GROUP_ROWS, PERIOD_MAX_DISTINCT, rule_config
+from tablevitals.config import PERIOD_MAX_DISTINCT, rule_config
 from tablevitals.functions.columns import ROW_INDEX, col, text_columns
 from tablevitals.operators import roles
 from tablevitals.operators.profile import is_measured, stats_table, value_counts
@@ -27,7 +27,6 @@ class Batch:
     row_key: str = ROW_INDEX
     columns: list[str] | None = None
     config: dict | None = None
-    hot_rows: int = HOT_GROUP_ROWS
     group_by: str | None = None
     period_by: str | None = None
     id_columns: list[str] | None = None  # not measures; guessed by name where not given
@@ -118,12 +117,33 @@ class Batch:
         exclude = roles.period_like_columns(self.df, self.columns)
         return roles.guess_entity_column(self.df, self.columns, exclude, self.distinct, self.rows)
 
+    @cached_property
+    def notes(self) -> list[tuple[str, str]]:
+        """``(column, note)`` for what the rules left out: period columns with many values, candidates beyond a caller's limit."""
+        found = []
+        most = self.params("completeness").get("period_max_distinct", PERIOD_MAX_DISTINCT)
+        if self.enabled("completeness") and not self.period_by:
+            found += [(c, period_note(n, most)) for c, n in roles.unjudged_periods(self.df, self.columns, self.distinct, most).items()]
+        limit = self.params("consistency").get("max_common_candidates")
+        if self.enabled("consistency") and limit is not None:
+            frequent = {c: n - rare for c, (n, rare) in self.value_stats.items() if c in self.texts}
+            found += [(c, candidate_note(n, limit)) for c, n in frequent.items() if n > limit]
+        return found
+
     def release(self) -> None:
         for df in self._persisted:
             df.unpersist()
         self._persisted.clear()
 
 
+def period_note(values: int, most: int) -> str:
+    return f"not judged for absent entities: {values} periods, more than {most}"
+
+
+def candidate_note(values: int, limit: int) -> str:
+    return f"{values} frequent values, of which the {limit} most frequent were candidates"
+
+
 def literal_map(values: dict[str, object], key: Column) -> Column:
     """A lookup in a small driver-side dict as a CASE expression."""
     expression = F.lit(None)

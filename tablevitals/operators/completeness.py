@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevitals.config import BROADCAST_MAX_ROWS
@@ -33,8 +33,13 @@ def completeness(batch: Batch) -> DataFrame:
     ]
     long = long_form(counted.filter("n > 0"), cells, [F.col("n")])
     pct = F.col("missing") / F.col("n") * 100
-    flagged = long.withColumn("pct", pct).filter(F.col("pct") > F.lit(threshold))
-    return flagged.select(
+    return missing_issues(long.withColumn("pct", pct), threshold)
+
+
+def missing_issues(counted: DataFrame, threshold: float, *keep: str) -> DataFrame:
+    """Issues of the columns ``name, ord, missing, n, pct`` above the threshold, behind the columns to keep."""
+    return counted.filter(F.col("pct") > F.lit(threshold)).select(
+        *keep,
         *issue_row(
             "completeness",
             row_reference=F.lit("column"),
@@ -47,7 +52,7 @@ def completeness(batch: Batch) -> DataFrame:
             severity=F.when(F.col("pct") > 50, "high").otherwise("medium"),
             metric=F.col("pct"),
             column_ord=F.col("ord"),
-        )
+        ),
     )
 
 
@@ -80,18 +85,22 @@ def group_completeness(batch: Batch, entity: str | None = None, period: str | No
         absent = seen.select("entity", F.explode(F.array_except(expected, "seen")).alias("period"))
     else:
         absent = _absent_by_chunk(pairs, periods, shape["periods"])
+    return absence_issues(absent, F.lit(entity), F.lit(period))
+
+
+def absence_issues(absent: DataFrame, entity_name: Column, period_name: Column, *keep: str) -> DataFrame:
+    """Issues of pairs ``entity, period``, behind the columns to keep."""
+    place = F.concat(period_name, F.lit("="), "period")
     return absent.select(
+        *keep,
         *issue_row(
             "group_completeness",
-            row_reference=F.concat(F.lit(f"{period}="), "period"),
-            column=F.lit(entity),
-            description=F.concat(
-                F.lit("'"), "entity", F.lit(f"' is missing from {period}="), "period",
-                F.lit(" despite reporting in other periods"),
-            ),
+            row_reference=place,
+            column=entity_name,
+            description=F.concat(F.lit("'"), "entity", F.lit("' is missing from "), place, F.lit(" despite reporting in other periods")),
             severity=F.lit("high"),
-        )
-    )
+        ),
+    )
 
 
 def _absent_by_chunk(pairs: DataFrame, periods: DataFrame, count: int) -> DataFrame:

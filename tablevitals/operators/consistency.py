@@ -92,17 +92,14 @@ def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
         return no_issues(spark)
     params = batch.params("consistency")
     threshold = params.get("fuzzy_match_threshold", 85)
-    max_unique = params.get("max_unique_ratio", 0.5)
     min_count = params.get("min_value_count", 2)
-    min_sample = params.get("min_sample_size_for_ratio_filter", 10)
     limit = params.get("max_common_candidates")
     texts = [c for c in (columns if columns is not None else batch.texts) if c in batch.columns]
     texts = [c for c in texts if is_text(df.schema[c].dataType)]
     judged = []
     for name in texts:
         distinct, rare_values = batch.value_stats.get(name, (0, 0))
-        free_text = batch.rows >= min_sample and distinct / batch.rows > max_unique
-        if not free_text and 0 < rare_values < distinct:
+        if judged_by_ratio(batch.rows, distinct, rare_values, params):
             judged.append(name)
     if not judged:
         return no_issues(spark)
@@ -119,9 +116,22 @@ def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
     else:
         cells = [F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in judged]
         rows = long_form(df, cells, [batch.key.alias("key")]).join(matched, ["column", "value"])
-    score_text = fixed_text(F.col("score").cast("double"), 0)
     ordinal = F.array_position(F.array(*[F.lit(c) for c in batch.columns]), F.col("column")) - 1
+    return naming_issues(rows.withColumn("ord", ordinal))
+
+
+def judged_by_ratio(rows: int, distinct: int, rare: int, params: dict) -> bool:
+    """Whether a column has rare and frequent values and isn't free text."""
+    sample = params.get("min_sample_size_for_ratio_filter", 10)
+    free_text = rows >= sample and distinct / rows > params.get("max_unique_ratio", 0.5)
+    return not free_text and 0 < rare < distinct
+
+
+def naming_issues(rows: DataFrame, *keep: str) -> DataFrame:
+    """Issues of values ``key, column, ord, value, match, score``, behind the columns to keep."""
+    score_text = fixed_text(F.col("score").cast("double"), 0)
     return rows.select(
+        *keep,
         *issue_row(
             "consistency",
             row_reference=F.col("key"),
@@ -134,6 +144,6 @@ def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
             severity=F.lit("medium"),
             row_index=F.col("key").cast("string"),
             metric=F.col("score").cast("double"),
-            column_ord=ordinal,
-        )
+            column_ord=F.col("ord"),
+        ),
     )

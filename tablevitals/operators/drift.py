@@ -21,11 +21,16 @@ def schema_drift(batch: Batch, baseline: DataFrame | None) -> DataFrame:
     if not batch.enabled("schema_drift") or baseline is None:
         return no_issues(spark)
     before = baseline.select("column", F.col("ordinal").alias("was_ord"), F.col("dtype").alias("was_dtype"))
-    both = before.join(current_schema(batch.df, batch.columns), "column", "full_outer")
+    return drift_issues(before.join(current_schema(batch.df, batch.columns), "column", "full_outer"))
+
+
+def drift_issues(both: DataFrame, *keep: str) -> DataFrame:
+    """Issues of columns ``column, was_ord, was_dtype, now_ord, now_dtype``, behind the columns to keep."""
     gone, new = F.col("now_dtype").isNull(), F.col("was_dtype").isNull()
     name = F.concat(F.lit("'"), F.col("column"), F.lit("'"))
     changed = both.filter(gone | new | (F.col("now_dtype") != F.col("was_dtype")))
     return changed.select(
+        *keep,
         *issue_row(
             "schema_drift",
             row_reference=F.lit("schema"),
@@ -40,5 +45,5 @@ def schema_drift(batch: Batch, baseline: DataFrame | None) -> DataFrame:
             severity=F.when(gone, "high").when(new, "low").otherwise("medium"),
             # Baseline columns first, in their order, then the new ones.
             column_ord=F.when(new, F.col("now_ord") + 1_000_000).otherwise(F.col("was_ord")),
-        )
+        ),
     )

@@ -48,7 +48,13 @@ def duplicate(batch: Batch) -> DataFrame:
     if not count:
         return no_issues(batch.df.sparkSession)
     found = duplicate_rows(rows, repeated, count <= BROADCAST_MAX_ROWS)
+    return duplicate_issues(found)
+
+
+def duplicate_issues(found: DataFrame, *keep: str) -> DataFrame:
+    """Issues of rows ``key``, behind the columns to keep."""
     return found.select(
+        *keep,
         *issue_row(
             "duplicate",
             row_reference=F.col("key"),
@@ -58,5 +64,5 @@ def duplicate(batch: Batch) -> DataFrame:
             ),
             severity=F.lit("medium"),
             row_index=F.col("key").cast("string"),
-        )
+        ),
     )

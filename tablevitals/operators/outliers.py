@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablevitals.config import BROADCAST_MAX_ROWS
 from tablevitals.functions.columns import as_text, is_missing, measure, numeric_columns
 from tablevitals.functions.pyformat import float_text
 from tablevitals.operators.batch import Batch
 from tablevitals.operators.issues import issue_row, no_issues
-from tablevitals.operators.quantiles import GroupSizes, group_sizes, quantile_table, whole_table
+from tablevitals.operators.quantiles import by_group, from_center, quantiles, value_counts_by_group
 
 # Fixed value: scales a median absolute deviation to a standard deviation.
 MAD_SCALE = 0.6745
@@ -20,9 +21,9 @@ MAD_SCALE = 0.6745
 def outlier(batch: Batch, columns: list[str] | None = None, group_by: str | None = None) -> DataFrame:
     """Values far from their group's middle (or the column's, without a group).
 
-    Quantiles come from aggregations and go back to the rows as literals
-    (no group) or by one join per pass (groups); the table of group figures is
-    broadcast only when the number of groups was counted to be small.
+    Quantiles are exact and come from the counts of all values, for groups of
+    any size on the same path. They go back to the rows as literals (no group)
+    or by one join, broadcast only where the figures were counted to be few.
     """
     df, spark = batch.df, batch.df.sparkSession
     if not batch.enabled("outlier"):
@@ -40,10 +41,14 @@ def outlier(batch: Batch, columns: list[str] | None = None, group_by: str | None
         (as_text(df, group_by) if grouped else F.lit(None).cast("string")).alias("g"),
         *[measure(df, name).alias(i) for i, name in keys.items()],
     )
-    group = F.col("g") if grouped else None
-    sizes = group_sizes(rows, group, batch.hot_rows) if grouped else whole_table(batch.rows, batch.hot_rows)
-    judge = _iqr_bounds if method == "iqr" else _zscore_bounds
-    judged = judge(rows, keys, group, sizes, params, batch.hot_rows, None if grouped else _extent(batch, keys))
+    counts = value_counts_by_group(rows, {i: F.col(i) for i in keys}, F.col("g") if grouped else None)
+    figures = figures_by_group(counts, params, batch.kept)
+    judged = _attach(batch, rows, figures, [c for c in figures.columns if c not in ("g", "c")], len(keys), grouped)
+    out = []
+    for c, i in enumerate(keys):
+        metric, far = judged_value(F.col(i), lambda name, c=c: F.col(f"{name}_{c}"), params)
+        out += [metric.alias(f"metric_{i}"), far.alias(f"far_{i}")]
+    judged = judged.select("key", "g", *keys, *out)
     cells = [
         F.struct(
             F.lit(name).alias("name"),
@@ -54,10 +59,16 @@ def outlier(batch: Batch, columns: list[str] | None = None, group_by: str | None
         )
         for i, name in keys.items()
     ]
-    any_far = F.greatest(F.lit(False), *[F.coalesce(F.col(f"far_{i}"), F.lit(False)) for i in keys])
-    flagged = judged.filter(any_far).select("key", "g", F.inline(F.array(*cells))).filter("far")
-    scope = F.concat(F.lit("'"), "g", F.lit("'")) if grouped else F.lit("the batch")
+    # Not a filter over all columns: its constraints would multiply with every column while the plan is made.
+    flagged = judged.select("key", "g", F.inline(F.filter(F.array(*cells), lambda cell: cell["far"])))
+    return far_issues(flagged, method)
+
+
+def far_issues(flagged: DataFrame, method: str, *keep: str) -> DataFrame:
+    """Issues of values ``key, g, name, ord, value, metric``, behind the columns to keep; ``g`` is null without a group."""
+    scope = F.coalesce(F.concat(F.lit("'"), "g", F.lit("'")), F.lit("the batch"))
     return flagged.select(
+        *keep,
         *issue_row(
             "outlier",
             row_reference=F.col("key"),
@@ -72,75 +83,41 @@ def outlier(batch: Batch, columns: list[str] | None = None, group_by: str | None
             value=F.col("value"),
             metric=F.col("metric"),
             column_ord=F.col("ord"),
-        )
+        ),
     )
 
 
-def _attach(rows: DataFrame, figures: DataFrame, group: Column | None, sizes: GroupSizes) -> DataFrame:
-    """Rows with their group's figures."""
-    if group is None:
-        # One row of figures, a few numbers per column.
-        row = figures.first()
-        types = {f.name: f.dataType for f in figures.schema}
-        return rows.select("*", *[F.lit(row[n]).cast(types[n]).alias(n) for n in figures.columns])
-    return rows.join(F.broadcast(figures) if sizes.broadcastable else figures, "g")
-
-
-def _extent(batch: Batch, keys: dict[str, str]) -> dict | None:
-    """``(rows, low, high)`` per column from the stats pass; None if any end is infinite."""
-    extent = {}
-    for i, name in keys.items():
-        if name not in batch.columns:
-            return None
-        low, high = batch.stat("min", name), batch.stat("max", name)
-        if low is not None and (math.isinf(low) or math.isinf(high)):
-            return None
-        extent[i] = (batch.rows - batch.stat("missing", name), low, high)
-    return extent
-
-
-def _iqr_bounds(rows, keys, group, sizes, params, hot_rows, extent) -> DataFrame:
-    factor, min_size = params.get("iqr_multiplier", 1.5), params.get("min_group_size", 3)
-    table = quantile_table(rows, {i: F.col(i) for i in keys}, [0.25, 0.75], group, sizes, hot_rows, extent)
-    figures = []
-    for i in keys:
-        low, high = F.col(f"q_{i}")[0], F.col(f"q_{i}")[1]
-        enough = F.col(f"n_{i}") >= min_size
-        figures += [
-            F.when(enough, low - factor * (high - low)).alias(f"low_{i}"),
-            F.when(enough, high + factor * (high - low)).alias(f"high_{i}"),
-        ]
-    judged = _attach(rows, table.select(*(["g"] if group is not None else []), *figures), group, sizes)
-    out = []
-    for i in keys:
-        value, low, high = F.col(i), F.col(f"low_{i}"), F.col(f"high_{i}")
-        out.append(((value < low) | (value > high)).alias(f"far_{i}"))
-        out.append(F.when(value < low, low).otherwise(high).alias(f"metric_{i}"))
-    return judged.select("key", "g", *keys, *out)
-
-
-def _zscore_bounds(rows, keys, group, sizes, params, hot_rows, extent) -> DataFrame:
-    limit, min_size = params.get("zscore_threshold", 3.5), params.get("min_group_size", 3)
-    keep_group = ["g"] if group is not None else []
-    table = quantile_table(rows, {i: F.col(i) for i in keys}, [0.5], group, sizes, hot_rows, extent)
-    middle = table.select(
-        *keep_group, *[F.when(F.col(f"n_{i}") >= min_size, F.col(f"q_{i}")[0]).alias(f"med_{i}") for i in keys]
-    )
-    if extent is not None and sizes.hot:
-        row = middle.first()
-        for i, (n, low, high) in extent.items():
-            med = row[f"med_{i}"]
-            extent[i] = (0, None, None) if med is None else (n, 0.0, max(med - low, high - med))
-    centred = _attach(rows, middle, group, sizes)
-    spread = {i: F.abs(F.col(i) - F.col(f"med_{i}")) for i in keys}
-    mads = quantile_table(centred, spread, [0.5], group, sizes, hot_rows, extent)
-    figures = mads.select(*keep_group, *[F.col(f"q_{i}")[0].alias(f"mad_{i}") for i in keys])
-    both = middle.join(F.broadcast(figures) if sizes.broadcastable else figures, "g") if group is not None else figures
-    # The medians are already on the rows without a group; with one, one join brings both.
-    judged = _attach(centred if group is None else rows, both, group, sizes)
-    out = []
-    for i in keys:
-        mad = F.col(f"mad_{i}")
-        score = F.when(mad != 0, F.lit(MAD_SCALE) * (F.col(i) - F.col(f"med_{i}")) / mad)
-        out += [score.alias(f"metric_{i}"), (F.abs(score) > limit).alias(f"far_{i}")]
-    return judged.select("key", "g", *keys, *out)
+def figures_by_group(counts: DataFrame, params: dict, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(g, c)`` and what values are judged by: ``low, high`` or, for z-scores, ``med, mad``; counts are ``(g, c, v, n)``."""
+    enough = F.col("n") >= params.get("min_group_size", 3)
+    if params.get("method", "zscore") == "iqr":
+        factor, low, high = params.get("iqr_multiplier", 1.5), F.col("q")[0], F.col("q")[1]
+        return quantiles(counts, [0.25, 0.75], keep).filter(enough).select(
+            "g", "c", (low - factor * (high - low)).alias("low"), (high + factor * (high - low)).alias("high")
+        )
+    counts = keep(counts)
+    middles = keep(quantiles(counts, [0.5], keep).filter(enough).select("g", "c", F.col("q")[0].alias("center")))
+    few = middles.count() <= BROADCAST_MAX_ROWS
+    spreads = quantiles(from_center(counts, middles, few), [0.5], keep).select("g", "c", F.col("q")[0].alias("mad"))
+    return middles.withColumnRenamed("center", "med").join(F.broadcast(spreads) if few else spreads, ["g", "c"])
+
+
+def judged_value(value: Column, figure: Callable[[str], Column], params: dict) -> tuple[Column, Column]:
+    """Metric of a value, and whether it lies far off; ``figure`` gives the columns of ``figures_by_group``."""
+    if params.get("method", "zscore") == "iqr":
+        low, high = figure("low"), figure("high")
+        return F.when(value < low, low).otherwise(high), (value < low) | (value > high)
+    score = F.when(figure("mad") != 0, F.lit(MAD_SCALE) * (value - figure("med")) / figure("mad"))
+    return score, F.abs(score) > params.get("zscore_threshold", 3.5)
+
+
+def _attach(batch: Batch, rows: DataFrame, figures: DataFrame, names: list[str], columns: int, grouped: bool) -> DataFrame:
+    """Rows with their group's figures, ``<name>_<place of the column>``; without a group these are a few literals."""
+    wide = by_group(figures, names, columns)
+    if grouped:
+        wide = batch.kept(wide)
+        few = wide.count() * len(names) * columns <= BROADCAST_MAX_ROWS
+        return rows.join(F.broadcast(wide) if few else wide, "g")
+    row = wide.first()
+    literal = lambda name: F.lit(None if row is None else row[name]).cast("double").alias(name)
+    return rows.select("*", *[literal(name) for name in wide.columns if name != "g"])

@@ -1,196 +1,179 @@
-"""Exact quantiles of many columns, per group or over the whole table.
-
-Groups up to ``hot_rows`` rows use the built-in exact ``percentile``, whose
-buffer holds a group's distinct values. Larger groups, and the whole table from
-a modest size on, find the values at the wanted ranks by counting values in ever
-smaller intervals. Every pass is a partial aggregation, so one group may hold
-any share of the rows.
+"""Exact quantiles of many columns, per group or over the whole table, on one path for groups of any size.
+
+Values are counted first, so a value that fills much of a column is one row.
+The counts are dealt by ranges of (group, column, value): a large group spreads
+over many tasks, and many small groups share one. A running sum inside a
+partition, plus what earlier partitions hold of the group that it begins with,
+is the rank of every value. Each partition contributes its two ends to that
+prefix sum, which is all that is fetched.
 """
 
 from __future__ import annotations
 
-import math
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
-
-from tablevitals.config import BROADCAST_MAX_ROWS, HOT_GROUP_ROWS, HOT_TABLE_ROWS
-
-# Parts an interval is cut into; a billion different values take about three passes.
-BUCKETS = 4096
-
-
-@dataclass(frozen=True)
-class GroupSizes:
-    """How many groups there are and which are hot (at most total rows / hot_rows)."""
-
-    groups: int
-    hot: list
 
-    @property
-    def broadcastable(self) -> bool:
-        return self.groups <= BROADCAST_MAX_ROWS
+# Executors need no copy of the package: functions of this module travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# The group of a table that is one group.
+WHOLE = ""
 
-def whole_table(rows: int, hot_rows: int = HOT_GROUP_ROWS) -> GroupSizes:
-    """The table as one group; all of it meets in one buffer, so the limit is lower."""
-    return GroupSizes(1, [None] if rows > min(hot_rows, HOT_TABLE_ROWS) else [])
 
+def value_counts_by_group(df: DataFrame, columns: dict[str, Column], group: Column | None = None) -> DataFrame:
+    """``(g, c, v, n)``: how often each value of each column, by its place, occurs in each group; missing ones not."""
+    key = F.lit(WHOLE) if group is None else group.cast("string")
+    cells = [F.struct(F.lit(c).alias("c"), value.cast("double").alias("v")) for c, value in enumerate(columns.values())]
+    long = df.select(key.alias("g"), F.inline(F.array(*cells))).filter("g is not null and v is not null")
+    return long.groupBy("g", "c", "v").agg(F.count(F.lit(1)).alias("n"))
 
-def group_sizes(df: DataFrame, group: Column | None, hot_rows: int = HOT_GROUP_ROWS) -> GroupSizes:
-    """Counts rows per group; one small aggregate row and the hot keys reach the driver."""
-    if group is None:
-        return whole_table(df.count(), hot_rows)
-    sizes = df.filter(group.isNotNull()).groupBy(group.alias("g")).count()
-    hot_key = F.when(F.col("count") > hot_rows, F.col("g"))
-    row = sizes.agg(F.count("*").alias("n"), F.collect_list(hot_key).alias("hot")).first()
-    return GroupSizes(row["n"], row["hot"])
 
+@dataclass(frozen=True)
+class Ends:
+    """What a partition holds of its first and last (group, column), and what others hold of these."""
+
+    first: int
+    last: int
+    before: int = 0
+    after: int = 0
+
+
+def changes(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Places where a new (group, column) begins, the first row not counted."""
+    g, c = table.column("g"), table.column("c")
+    new = pc.or_(pc.not_equal(g.slice(1), g.slice(0, len(g) - 1)), pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)))
+    return np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1
+
+
+def key_of(table: pa.Table | pa.RecordBatch, row: int) -> tuple:
+    return table.column("g")[row].as_py(), table.column("c")[row].as_py()
+
+
+def partition_ends(ordered: DataFrame) -> dict[int, Ends]:
+    """The ends of every partition that has rows: two rows a partition reach the driver."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list = []  # first and last run: key and sum
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = changes(batch)
+            sums = np.add.reduceat(batch.column("n").to_numpy(), np.concatenate([[0], at]).astype(np.int64))
+            own = [(key_of(batch, 0), int(sums[0]))] + ([(key_of(batch, batch.num_rows - 1), int(sums[-1]))] if len(sums) > 1 else [])
+            if runs and runs[-1][0] == own[0][0]:
+                runs[-1] = (own[0][0], runs[-1][1] + own[0][1])
+                own = own[1:]
+            runs = (runs + own)[:1] + (runs + own)[1:][-1:]
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict(
+            {
+                "part": pa.array([part] * len(runs), pa.int32()),
+                "place": pa.array(range(len(runs)), pa.int32()),
+                "g": pa.array([k[0] for k, _ in runs], pa.string()),
+                "c": pa.array([k[1] for k, _ in runs], pa.int32()),
+                "n": pa.array([n for _, n in runs], pa.int64()),
+            }
+        )
 
-def quantile_table(
-    df: DataFrame,
-    columns: dict[str, Column],
-    probs: list[float],
-    group: Column | None = None,
-    sizes: GroupSizes | None = None,
-    hot_rows: int = HOT_GROUP_ROWS,
-    extent: dict | None = None,
-) -> DataFrame:
-    """Per group (``g``, or one row without it) ``n_<column>`` and the array ``q_<column>``.
-
-    Without a group, ``extent`` may give ``(rows, low, high)`` per column.
-    """
-    sizes = sizes or group_sizes(df, group, hot_rows)
-    aggregates = []
-    for name, value in columns.items():
-        aggregates += [
-            F.count(value).alias(f"n_{name}"),
-            F.percentile(value, [float(p) for p in probs]).alias(f"q_{name}"),
-        ]
-    if group is None:
-        if not sizes.hot:
-            return df.agg(*aggregates)
-        return _hot_table(df, columns, probs, None, sizes.hot, extent)
-    keyed = df.filter(group.isNotNull())
-    if not sizes.hot:
-        return keyed.groupBy(group.alias("g")).agg(*aggregates)
-    # Hot keys are at most one per ``hot_rows`` rows of the table.
-    keys = F.broadcast(_key_table(df, group, sizes.hot))
-    cold = keyed.join(keys, group == keys["hot_key"], "left_anti").groupBy(group.alias("g")).agg(*aggregates)
-    hot_rows_only = keyed.join(keys, group == keys["hot_key"], "left_semi")
-    return cold.unionByName(_hot_table(hot_rows_only, columns, probs, group, sizes.hot))
-
-
-def _key_table(df: DataFrame, group: Column, hot: list) -> DataFrame:
-    key_type = df.select(group.alias("g")).schema["g"].dataType
-    return df.sparkSession.createDataFrame([(k,) for k in hot], T.StructType([T.StructField("hot_key", key_type)]))
-
-
-def _hot_table(df, columns, probs, group, hot, extent=None) -> DataFrame:
-    """The same table for the few hot groups, from ``select_ranks`` results."""
-    key = F.lit(None).cast("string") if group is None else group
-    names = list(columns)
-    long = df.select(
-        key.alias("g"),
-        F.inline(F.array(*[F.struct(F.lit(i).alias("c"), columns[n].alias("v")) for i, n in enumerate(names)])),
-    ).filter("v is not null")
-    if extent is not None:
-        extent = {(None, i): extent[n] for i, n in enumerate(names) if extent[n][0]}
-    found = select_ranks(long, probs, extent)
-    key_type = df.select(key.alias("g")).schema["g"].dataType
-    fields = [T.StructField("g", key_type)]
-    for name in names:
-        fields += [T.StructField(f"n_{name}", T.LongType()), T.StructField(f"q_{name}", T.ArrayType(T.DoubleType()))]
-    rows = []
-    for g in hot:
-        row = [g]
-        for i in range(len(names)):
-            row += found.get((g, i), (0, None))
-        rows.append(tuple(row))
-    table = df.sparkSession.createDataFrame(rows, T.StructType(fields))
-    return table.drop("g") if group is None else table
-
-
-def select_ranks(
-    long: DataFrame, probs: list[float], extent: dict | None = None, buckets: int = BUCKETS
-) -> dict:
-    """``{(g, c): (rows, [quantile per prob])}`` of a ``(g, c, v)`` table with few ``(g, c)`` keys.
-
-    Every pass cuts the interval that holds a wanted rank into ``buckets`` equal
-    parts, counts the values per part, and keeps the part with the rank, down to
-    its smallest and largest value; a part with one value is the answer. The
-    counts are partial aggregations of at most ``buckets`` rows per interval.
-    Quantiles interpolate linearly between the two neighbouring ranks.
-    ``extent`` is ``{(g, c): (rows, low, high)}`` where already known.
+    parts: dict[int, list] = {}
+    for r in sorted(ordered.mapInArrow(run, "part int, place int, g string, c int, n long").collect(), key=lambda r: (r["part"], r["place"])):
+        parts.setdefault(r["part"], []).append(((r["g"], r["c"]), r["n"]))
+    around = {part: [0, 0] for part in parts}
+    for side, order in ((0, list(parts)), (1, list(reversed(parts)))):
+        key, total = None, 0
+        for part in order:
+            near, far = (parts[part][0], parts[part][-1]) if side == 0 else (parts[part][-1], parts[part][0])
+            around[part][side] = total if key == near[0] else 0
+            total = far[1] + (around[part][side] if len(parts[part]) == 1 else 0)
+            key = far[0]
+    return {part: Ends(runs[0][1], runs[-1][1], *around[part]) for part, runs in parts.items()}
+
+
+def at_ranks(ordered: DataFrame, ends: dict[int, Ends], probs: list[float]) -> DataFrame:
+    """``(g, c, n, k, x)``: the values at the ranks below (k even) and above (odd) the position of each probability."""
+
+    def decide(table: pa.Table, before: int, after: int) -> Iterator[pa.RecordBatch]:
+        start = np.concatenate([[0], changes(table)]).astype(np.int64)
+        upto = np.cumsum(table.column("n").to_numpy())
+        end = np.append(start[1:], len(upto)) - 1
+        below = np.concatenate([[0], upto[end[:-1]]])
+        size = upto[end] - below
+        total, offset = size.copy(), np.zeros(len(size), np.int64)
+        total[0] += before
+        total[-1] += after
+        offset[0] = before
+        g, c, v = (table.column(name) for name in ("g", "c", "v"))
+        for k in range(2 * len(probs)):
+            position = (total - 1) * probs[k // 2]
+            rank = (np.ceil(position) if k % 2 else np.floor(position)).astype(np.int64) - offset
+            here = np.flatnonzero((rank >= 0) & (rank < size))
+            row = np.searchsorted(upto, below[here] + rank[here], side="right")
+            at = pa.array(start[here])
+            yield pa.RecordBatch.from_arrays(
+                [*(pc.take(x, at).combine_chunks() for x in (g, c)), pa.array(total[here]), pa.array(np.full(len(here), k, np.int32)), pc.take(v, pa.array(row)).combine_chunks()],
+                names=["g", "c", "n", "k", "x"],
+            )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = ends.get(TaskContext.get().partitionId(), Ends(0, 0))
+        open_: list[pa.RecordBatch] = []  # the last (group, column), which may go on
+        firsts = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = changes(batch)
+            if open_ and key_of(open_[0], 0) != key_of(batch, 0):
+                at = np.concatenate([[0], at]).astype(np.int64)
+            if not len(at):
+                open_.append(batch)
+                continue
+            done = [*open_, batch.slice(0, int(at[-1]))]
+            yield from decide(pa.Table.from_batches(done).combine_chunks(), mine.before if firsts else 0, 0)
+            open_, firsts = [batch.slice(int(at[-1]))], False
+        if open_:
+            last = sum(pc.sum(b.column("n")).as_py() for b in open_)
+            if last != mine.last:
+                raise RuntimeError("the partitions are not those whose ends were summed")
+            yield from decide(pa.Table.from_batches(open_).combine_chunks(), mine.before if firsts else 0, mine.after)
+
+    return ordered.mapInArrow(run, "g string, c int, n long, k int, x double")
+
+
+def quantiles(counts: DataFrame, probs: list[float], keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+    """``(g, c, n, q)`` of ``(g, c, v, n)``: number of values and, per probability, the quantile between its two neighbours.
+
+    ``keep`` holds a table until its owner lets it go. Both passes read the
+    kept partitions; the second makes sure that they are the first's.
     """
-    spark = long.sparkSession
-    if extent is None:
-        infinite = F.abs("v") == F.lit(float("inf"))
-        finite = F.when(~infinite, F.col("v"))
-        sizes = long.groupBy("g", "c").agg(F.count("v").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
-        extent = {(r["g"], r["c"]): (r["n"], r["lo"], r["hi"]) for r in sizes.collect()}
-    rows_of = {key: n for key, (n, _, _) in extent.items()}
-    position = {(key, p): (n - 1) * p for key, n in rows_of.items() for p in probs}
-    # Open intervals: (g, c, low, high) -> values below it; wanted ranks by interval.
-    below = {(*key, lo, hi): 0 for key, (_, lo, hi) in extent.items()}
-    ranks = {
-        i: sorted({f(position[i[:2], p]) for p in probs for f in (math.floor, math.ceil)}) for i in below
-    }
-    value_at: dict = {}
-    schema = T.StructType(
-        [T.StructField("ig", long.schema["g"].dataType), T.StructField("ic", T.IntegerType()), T.StructField("i", T.IntegerType())]
-        + [T.StructField(name, T.DoubleType()) for name in ("lo", "hi")]
-        + [T.StructField("ranks", T.ArrayType(T.LongType())), T.StructField("below", T.LongType())]
-    )
-    # Halves keep the width of the widest interval finite.
-    share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    bucket = (
-        F.when(F.col("v") == float("-inf"), -1)
-        .when(F.col("v") == float("inf"), buckets)
-        .when(F.col("hi") > F.col("lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1)))
-        .otherwise(0)
-    )
-    while below:
-        intervals = list(below)
-        table = spark.createDataFrame(
-            [(*i[:2], nth, *i[2:], ranks[i], below[i]) for nth, i in enumerate(intervals)], schema
-        )
-        first_pass = not value_at and all(b == 0 for b in below.values())
-        inside = F.col("v").between(F.col("lo"), F.col("hi"))
-        in_order = Window.partitionBy("i").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        parts = (
-            # One row per open interval: the few keys times the wanted ranks.
-            long.join(F.broadcast(table), long["g"].eqNullSafe(table["ig"]) & (long["c"] == table["ic"]))
-            .filter(F.lit(True) if first_pass else inside)
-            .groupBy("i", bucket.cast("int").alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-            .withColumn("upto", F.sum("n").over(in_order))
-            .join(F.broadcast(table.select("i", "ranks", "below")), "i")
-            .withColumn("last", F.col("below") + F.col("upto") - 1)
-            .withColumn("start", F.col("last") - F.col("n") + 1)
-            .withColumn("held", F.filter("ranks", lambda r: (r >= F.col("start")) & (r <= F.col("last"))))
-            .filter(F.size("held") > 0)
-            .select("i", "least", "most", "start", "held")
-            .collect()
-        )
-        below, ranks, found = {}, {}, intervals
-        for part in parts:
-            g, c = found[part["i"]][:2]
-            if part["least"] == part["most"]:
-                value_at.update({(g, c, rank): part["least"] for rank in part["held"]})
-            else:
-                interval = (g, c, part["least"], part["most"])
-                below[interval], ranks[interval] = part["start"], part["held"]
-    result = {}
-    for key, n in rows_of.items():
-        values = []
-        for p in probs:
-            at = position[key, p]
-            low, high = math.floor(at), math.ceil(at)
-            left, right = value_at[(*key, low)], value_at[(*key, high)]
-            values.append(left if low == high else (high - at) * left + (at - low) * right)
-        result[key] = (n, values)
-    return result
+    place = ["g", "c", "v"]
+    ordered = keep(counts.select("g", "c", "v", "n").repartitionByRange(*place).sortWithinPartitions(*place))
+    found = at_ranks(ordered, partition_ends(ordered), probs)
+    sides = [F.max(F.when(F.col("k") == k, F.col("x"))).alias(f"x{k}") for k in range(2 * len(probs))]
+    result = []
+    for i, p in enumerate(probs):
+        at, left, right = (F.col("n") - 1) * F.lit(float(p)), F.col(f"x{2 * i}"), F.col(f"x{2 * i + 1}")
+        between = (F.ceil(at) - at) * left + (at - F.floor(at)) * right
+        result.append(F.when(F.floor(at) == F.ceil(at), left).otherwise(between))
+    return found.groupBy("g", "c").agg(F.max("n").alias("n"), *sides).select("g", "c", "n", F.array(*result).alias("q"))
+
+
+def from_center(counts: DataFrame, centers: DataFrame, few: bool) -> DataFrame:
+    """``(g, c, v, n)`` with the distances from ``centers (g, c, center)``; groups without a center fall out."""
+    centers = centers.filter("center is not null")
+    joined = counts.join(F.broadcast(centers) if few else centers, ["g", "c"])
+    return joined.select("g", "c", F.abs(F.col("v") - F.col("center")).alias("v"), "n")
+
+
+def by_group(table: DataFrame, figures: list[str], columns: int) -> DataFrame:
+    """``(g, c, ...)`` with one row for each group: every figure as ``<figure>_<c>``."""
+    wide = [F.max(F.when(F.col("c") == c, F.col(f))).alias(f"{f}_{c}") for c in range(columns) for f in figures]
+    return table.groupBy("g").agg(*wide)
+

@@ -42,6 +42,13 @@ def guess_period_column(
     return next((c for c in candidates if distinct.get(c, 0) <= max_distinct), None)
 
 
+def unjudged_periods(
+    df: DataFrame, columns: list[str], distinct: dict[str, int], max_distinct: int = PERIOD_MAX_DISTINCT
+) -> dict[str, int]:
+    """Period-like columns that are passed over for their many values, with the number of these."""
+    return {c: distinct[c] for c in period_like_columns(df, columns) if distinct.get(c, 0) > max_distinct}
+
+
 def guess_entity_column(
     df: DataFrame,
     columns: list[str] | None = None,

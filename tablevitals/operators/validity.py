@@ -20,8 +20,6 @@ def validity(batch: Batch, columns: list[str] | None = None) -> DataFrame:
     if not batch.enabled("validity"):
         return no_issues(spark)
     params = batch.params("validity")
-    threshold = params.get("nonnegative_ratio_threshold", 0.95)
-    min_sample = params.get("min_sample_size_for_ratio", 5)
     judged: dict[str, float] = {}
     for name in columns if columns is not None else numeric_columns(df, batch.columns):
         if name not in batch.columns:
@@ -29,10 +27,9 @@ def validity(batch: Batch, columns: list[str] | None = None) -> DataFrame:
         present = batch.rows - batch.stat("missing", name)
         if not present:
             continue
-        ratio = batch.stat("nonneg", name) / present
-        routinely_negative = present >= min_sample and ratio < threshold
-        if not routinely_negative and batch.stat("min", name) < 0:
-            judged[name] = ratio
+        nonnegative = batch.stat("nonneg", name)
+        if batch.stat("min", name) < 0 and not routinely_negative(present, nonnegative, params):
+            judged[name] = nonnegative / present
     if not judged:
         return no_issues(spark)
     cells = [
@@ -46,7 +43,19 @@ def validity(batch: Batch, columns: list[str] | None = None) -> DataFrame:
     ]
     suspects = df.filter(reduce(lambda a, b: a | b, [col(name) < 0 for name in judged]))
     flagged = suspects.select(batch.key.alias("key"), F.inline(F.array(*cells))).filter("value < 0")
+    return negative_issues(flagged)
+
+
+def routinely_negative(present: int, nonnegative: int, params: dict) -> bool:
+    """Whether a column has so many negative values that they mean nothing."""
+    few = nonnegative / present < params.get("nonnegative_ratio_threshold", 0.95)
+    return few and present >= params.get("min_sample_size_for_ratio", 5)
+
+
+def negative_issues(flagged: DataFrame, *keep: str) -> DataFrame:
+    """Issues of values ``key, name, ord, value, ratio``, behind the columns to keep."""
     return flagged.select(
+        *keep,
         *issue_row(
             "validity",
             row_reference=F.col("key"),
@@ -61,5 +70,5 @@ def validity(batch: Batch, columns: list[str] | None = None) -> DataFrame:
             value=F.col("value"),
             metric=F.col("ratio"),
             column_ord=F.col("ord"),
-        )
+        ),
     )

@@ -73,6 +73,7 @@ class RunResult:
     issues: DataFrame
     profile: DataFrame
     summary: dict
+    notes: list  # (column, note): what the rules left out
 
 
 def new_run_id() -> str:
@@ -127,6 +128,7 @@ def run_batch(
     try:
         issues = run_all_rules(batch, baseline)
         profile = profile_columns(df, batch.columns, batch.distinct, batch.stats_table())
+        notes = batch.notes
         if store is not None:
             store.store_issues(issues, run_id)
             issues = store.stored_issues(run_id)
@@ -150,6 +152,7 @@ def run_batch(
                 lambda: store.store_rows(df, run_id, row_key, batch.columns),
                 lambda: store.store_profile(profile, run),
                 lambda: store.store_lineage(run),
+                lambda: store.store_notes([(run_id, *n) for n in notes]),
             ]
             if keep_values:
                 writes.append(lambda: store.store_values(unique_values(df, batch.columns), run_id))
@@ -163,4 +166,4 @@ def run_batch(
         batch.release()
         if stage and store is not None:
             store.drop_staged(run_id)
-    return RunResult(run_id, run, issues, profile, summary)
+    return RunResult(run_id, run, issues, profile, summary, notes)

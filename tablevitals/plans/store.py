@@ -35,6 +35,7 @@ SCHEMAS = {
         "transformations_applied array<string>, destination_table string"
     ),
     "alerts": "run_id string, message string",
+    "run_notes": "run_id string, column string, note string",
 }
 # The steps every stored batch went through.
 LINEAGE_STEPS = ["load_structured", "profile_dataframe", "run_all_rules", "compute_health_score"]
@@ -174,6 +175,15 @@ class RunStore:
     def alerts(self) -> DataFrame:
         return self._finished("alerts")
 
+    def notes(self) -> DataFrame:
+        """What the rules of a run left out, by column."""
+        return self._finished("run_notes")
+
+    def store_notes(self, notes: list[tuple[str, str, str]]) -> None:
+        """Rows ``(run_id, column, note)``: at most a few for each column."""
+        if notes:
+            self.append("run_notes", self.spark.createDataFrame(notes, SCHEMAS["run_notes"]))
+
     def store_alerts(self, run_ids: list[str]) -> None:
         """Alert rows of these runs, of which at most one batch's are given; a run without need of one has none."""
         if not run_ids:
@@ -200,6 +210,19 @@ class RunStore:
     def store_run(self, run: DataFrame) -> None:
         self.append("quality_runs", run)
 
+    def issues_of(self, run_ids: list[str]) -> DataFrame:
+        """Issues of the runs of one batch, before they are marked finished."""
+        return self._read("quality_issues").filter(F.col("run_id").isin(run_ids))
+
+    def latest_columns(self, datasets: list[str]) -> dict[str, list[tuple[str, int, str]]]:
+        """Name, place and type of the columns in the newest finished profile of each of one batch's datasets."""
+        mine = self.profiles().filter(F.col("dataset_name").isin(list(set(datasets))))
+        newest = mine.groupBy("dataset_name").agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))
+        columns: dict[str, list] = {}
+        for r in mine.join(F.broadcast(newest.select("run_id")), "run_id", "left_semi").select("dataset_name", "column", "ordinal", "dtype").collect():
+            columns.setdefault(r["dataset_name"], []).append((r["column"], r["ordinal"], r["dtype"]))
+        return columns
+
     def stored_issues(self, run_id: str) -> DataFrame:
         """A run's issues before it is marked finished (read back by its own writer)."""
         return self._read("quality_issues", run_id)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ WINDOWS_1252 = {
     byte: bytes([byte]).decode("cp1252") for byte in range(0x80, 0xA0) if byte not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 }
 UNDEFINED_1252 = "[\x81\x8d\x8f\x90\x9d]"
+# A line that begins outside of quotes and ends inside: whole cells, then a quote at the start of a cell that nothing closes.
+WHOLE_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+)?+'
+OPEN_AT_END = rf'\A(?:{WHOLE_CELL},)*+"[^"]*+(?:""[^"]*+)*+\z'
 
 
 @dataclass(frozen=True)
@@ -31,12 +35,15 @@ class FileFormat:
     header: str | None = None  # the first line as it stands
 
 
-def detect_formats(spark: SparkSession, paths: list[str]) -> dict[str, FileFormat]:
+def detect_formats(spark: SparkSession, paths: list[str], encoded: bool = False) -> dict[str, FileFormat]:
     """Encoding and quoting of each file from one scan of its lines.
 
     A file is UTF-8 only if every line is; else Windows-1252 unless a byte has
-    no meaning there. Quoted line breaks show as lines with an odd number of
-    quotes; only such files are read unsplit.
+    no meaning there. While no line ends inside a quoted cell that it opens,
+    every line begins outside of one, so that lines can be told apart wherever
+    a file is split; quotes inside a cell, as in 5" pipe, don't matter. Only
+    files with line breaks in quotes are read unsplit. The keys are paths as they are
+    read, or with ``encoded`` as they stand, URL-encoded, in rows' metadata.
     """
     at_start = F.col("_metadata.file_block_start") == 0
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value", at_start.alias("at_start"))
@@ -44,13 +51,12 @@ def detect_formats(spark: SparkSession, paths: list[str]) -> dict[str, FileForma
     valid = F.is_valid_utf8(value)
     ascii_only = valid & (F.length(value) == F.octet_length(value))
     latin = F.decode(value.cast("binary"), "ISO-8859-1")
-    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
     found = (
         lines.groupBy("path")
         .agg(
             F.bool_and(valid).alias("utf8"),
             F.bool_or(F.when(ascii_only, False).otherwise(latin.rlike(UNDEFINED_1252))).alias("undefined"),
-            F.bool_or(value.contains('"') & (F.pmod(quotes, F.lit(2)) == 1)).alias("open_quote"),
+            F.bool_or(value.contains('"') & value.rlike(OPEN_AT_END)).alias("open_quote"),
             # One task reads a file's first block from front to back.
             F.first(F.when(F.col("at_start"), value), ignorenulls=True).alias("header"),
         )
@@ -59,7 +65,7 @@ def detect_formats(spark: SparkSession, paths: list[str]) -> dict[str, FileForma
     formats = {}
     for r in found:
         encoding = "utf-8" if r["utf8"] else "latin-1" if r["undefined"] else "windows-1252"
-        formats[r["path"]] = FileFormat(encoding, r["open_quote"], r["header"])
+        formats[r["path"] if encoded else unquote(r["path"])] = FileFormat(encoding, r["open_quote"], r["header"])
     return formats
 
 
@@ -80,8 +86,15 @@ def _reader(spark: SparkSession, form: FileFormat):
 
 
 def header_names(spark: SparkSession, path: str, form: FileFormat) -> list[str]:
-    """Standardized names from the header line; a blank header is named by its position."""
-    first = _reader(spark, form).option("header", False).csv(path).first()
+    """Standardized names from the header line; a blank header is named by its position.
+
+    The line is known already; only one with quotes or other bytes than UTF-8 is read from the file.
+    """
+    line = form.header or ""
+    if line.strip() and '"' not in line and form.encoding == "utf-8":
+        first = line.split(",")
+    else:
+        first = _reader(spark, form).option("header", False).csv(path).first()
     if first is None:
         raise ValueError(f"no columns in {path}")
     raw = [v if v and v.strip() else f"unnamed: {i}" for i, v in enumerate(first)]
@@ -134,8 +147,8 @@ def _too_many(line: Column, schema: T.StructType) -> Column:
     return ~F.transform(F.array(marked), shows)[0]
 
 
-def _cells(spark: SparkSession, group: FileGroup) -> DataFrame:
-    """All cells as text under their names, with file and block; a line with more cells than the header is refused."""
+def flagged_cells(spark: SparkSession, group: FileGroup) -> DataFrame:
+    """All cells as text under their names, with file, block and ``_surplus``: whether the line has more cells than the header."""
     names, form = group.names, group.form
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     # The reader fills "line" where the number of cells is not the schema's; fewer are allowed.
@@ -143,22 +156,27 @@ def _cells(spark: SparkSession, group: FileGroup) -> DataFrame:
     reader = _reader(spark, form).schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line")
     reader = reader.option("columnPruning", False)  # cells are counted only where all are read
     raw = reader.option("header", True).option("enforceSchema", True).csv(group.paths)
-    place = F.col("_metadata.file_path")
-    first = F.coalesce(col("c0"), F.lit(""))
-    refused = F.raise_error(F.concat(F.lit("more cells than columns in "), place, F.lit(" after "), first))
-    # A filter holds whatever columns are asked for.
     surplus = F.when(col("line").isNull(), False).otherwise(_too_many(col("line"), schema))
-    raw = raw.filter(F.when(surplus, refused.cast("boolean")).otherwise(True))
     cells = [col(f"c{i}") for i in range(len(names))]
     if form.encoding == "windows-1252":
         cells = [_from_1252(c) for c in cells]
     return raw.select(
         *[c.alias(n) for c, n in zip(cells, names)],
-        place.alias("_path"),
+        F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
+        surplus.alias("_surplus"),
     )
 
 
+def _cells(spark: SparkSession, group: FileGroup) -> DataFrame:
+    """The same, where a line with more cells than the header is refused."""
+    rows = flagged_cells(spark, group)
+    first = F.coalesce(col(group.names[0]), F.lit(""))
+    refused = F.raise_error(F.concat(F.lit("more cells than columns in "), F.col("_path"), F.lit(" after "), first))
+    # A filter holds whatever columns are asked for.
+    return rows.filter(F.when(F.col("_surplus"), refused.cast("boolean")).otherwise(True)).drop("_surplus")
+
+
 def scan_csv(
     spark: SparkSession,
     paths: str | list[str],

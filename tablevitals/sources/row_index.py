@@ -70,10 +70,11 @@ def with_row_index(df: DataFrame, order_by: list[Column | str], partitions: int
     )
 
 
-def with_file_row_index(df: DataFrame, path: str = "_path", block: str = "_block") -> DataFrame:
+def with_file_row_index(df: DataFrame, path: str = "_path", block: str = "_block", per_file: bool = False) -> DataFrame:
     """Adds the row's position to rows read with their file path and block start.
 
-    Files follow each other by path, rows as they stand in their file.
+    Files follow each other by path, rows as they stand in their file. With
+    ``per_file`` positions begin anew in every file, and the path stays.
 
     A task reads a file block from front to back, so a row's place in its block
     is its distance from the block's first row. Block sizes are added up per
@@ -84,7 +85,7 @@ def with_file_row_index(df: DataFrame, path: str = "_path", block: str = "_block
     before = Window.partitionBy(path).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
     files = len(df.inputFiles())
-    if files > 1:
+    if files > 1 and not per_file:
         starts = _after_earlier_files(starts, blocks, path)
     # A task reads one block of a large file or several small files.
     most_blocks = df.rdd.getNumPartitions() + files
@@ -93,7 +94,7 @@ def with_file_row_index(df: DataFrame, path: str = "_path", block: str = "_block
     return (
         numbered.join(starts, [path, block])
         .withColumn(ROW_INDEX, F.col("_start") + F.col("_at") - F.col("_first"))
-        .drop("_at", "_first", "_start", path, block)
+        .drop("_at", "_first", "_start", *([] if per_file else [path]), block)
     )
 
 

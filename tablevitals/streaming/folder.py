@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablevitals.functions.columns import ROW_INDEX
+from tablevitals.plans.grouped import ingest_files
 from tablevitals.plans.pipeline import file_run_id, run_batch
 from tablevitals.plans.store import RunStore
 from tablevitals.sources.csv import load_csv
@@ -70,32 +71,44 @@ def process_file(spark: SparkSession, store: RunStore, file, config: dict | None
     return None
 
 
+def one_by_one(spark: SparkSession, store: RunStore, files: list, config: dict | None, parallel: int) -> list[tuple]:
+    """Each file by jobs of its own; datasets side by side."""
+    by_dataset: dict[str, list] = {}
+    for file in files:
+        by_dataset.setdefault(file["dataset_name"], []).append(file)
+    with ThreadPoolExecutor(parallel) as pool:
+        # Each thread passes the stream's job properties on.
+        one_dataset = lambda group: [process_file(spark, store, file, config) for file in group]
+        results = [row for group in pool.map(inheritable_thread_target(spark)(one_dataset), by_dataset.values()) for row in group]
+    stored = [f for group in by_dataset.values() for f in group]
+    store.store_alerts([file_run_id(f["path"], f["length"], f["modified"]) for f, row in zip(stored, results) if row is None])
+    return [row for row in results if row is not None]
+
+
 def batch_writer(
     store: RunStore, quarantine: str, config: dict | None = None, parallel: int = 4, report_text: bool = True
 ) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function.
 
-    At most ``maxFilesPerTrigger`` names reach the driver. Files of one dataset
-    run one after the other in name order, because each is the next one's
-    baseline; datasets run side by side. The batch's alerts are written once all
-    its runs are.
+    At most ``maxFilesPerTrigger`` names reach the driver. All files of the
+    micro-batch are checked and stored by the same grouped jobs. Should these
+    fail, the files run one by one, so that a file nobody can read is set aside
+    alone; those of one dataset then in name order, because each is the next
+    one's baseline.
     """
 
     def write(files: DataFrame, batch_id: int) -> None:
         spark = files.sparkSession
         local = RunStore(spark, store.root)
         routed = route_files(files, report_text=report_text).orderBy("path").collect()
-        by_dataset: dict[str, list] = {}
-        for file in routed:
-            by_dataset.setdefault(file["dataset_name"], []).append(file)
-        with ThreadPoolExecutor(parallel) as pool:
-            # Each thread passes the stream's job properties on.
-            one_dataset = lambda group: [process_file(spark, local, file, config) for file in group]
-            done = pool.map(inheritable_thread_target(spark)(one_dataset), by_dataset.values())
-            results = [row for group in done for row in group]
-        stored = [f for group in by_dataset.values() for f in group]
-        aside = [row for row in results if row is not None]
-        local.store_alerts([file_run_id(f["path"], f["length"], f["modified"]) for f, row in zip(stored, results) if row is None])
+        run_of = lambda f: file_run_id(f["path"], f["length"], f["modified"])
+        aside = [(run_of(f), f["path"], f["reason"]) for f in routed if f["route"] == "quarantine"]
+        files = [f for f in routed if f["route"] != "quarantine"]
+        try:
+            aside += ingest_files(spark, local, files, [run_of(f) for f in files], config) if files else []
+        except Exception:
+            log.exception("the files of batch %s are processed one by one", batch_id)
+            aside += one_by_one(spark, local, files, config, parallel)
         if aside:
             rows = spark.createDataFrame(aside, QUARANTINE_SCHEMA)
             (

@@ -12,7 +12,7 @@ from tablevitals.operators.batch import Batch
 from tablevitals.operators.consistency import consistency
 from tablevitals.operators.validity import validity
 from tablevitals.sources import tables
-from tablevitals.sources.csv import detect_formats, load_csv, scan_csv
+from tablevitals.sources.csv import OPEN_AT_END, detect_formats, load_csv, scan_csv
 from tablevitals.sources.files import route_files
 from tablevitals.sources.reports import REPORT_COLUMNS, drop_confidence, extract_report_rows
 from tablevitals.sources.row_index import with_row_index
@@ -216,3 +216,37 @@ def test_report_text(spark):
     long_line = report(spark, "word " * 40000 + "Goa 5 6")
     assert long_line.first()["energy_availability_mu"] == 6.0
     assert not math.isnan(long_line.first()["energy_requirement_mu"])
+
+
+def test_stray_quotes_leave_a_file_split(spark, tmp_path):
+    """An inch mark inside a cell is no quoting: the file is read by many tasks, its rows in order."""
+    path = tmp_path / "pipes.csv"
+    lines = [f'{i},"a ""{i}""",{"5" + chr(34) + " pipe" if i % 1000 == 7 else "plain"},{i % 7}' for i in range(40_000)]
+    path.write_text("n,name,kind,w\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        (form,) = detect_formats(spark, [str(path)]).values()
+        assert not form.multi_line
+        df = load_csv(spark, str(path))
+        assert df.rdd.getNumPartitions() > 5
+        rows = df.orderBy("_row_index").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["_row_index"], r["n"]) for r in rows] == [(i, float(i)) for i in range(40_000)]
+    assert rows[7]["kind"] == '5" pipe' and rows[8]["kind"] == "plain" and rows[8]["name"] == 'a "8"'
+
+
+def test_lines_that_end_in_quotes(spark):
+    lines = {
+        'a,b': False, '"a",b': False, '"a': True, 'x,"a': True, 'x,"a"': False, 'x,"a""': True, 'x,"a"""': False, '': False, '"': True,
+        '""': False, '5" x,"abc': True, '5" x,"abc"': False, 'x, "a': False, 'x,,"': True, '"a"b,"c': True, '"a,b",c"d': False, 'a""b"': False,
+    }
+    df = spark.createDataFrame([(line,) for line in lines], "value string")
+    assert {r["value"]: r["open"] for r in df.select("value", F.col("value").rlike(OPEN_AT_END).alias("open")).collect()} == lines
+
+
+def test_file_names_with_spaces(spark, tmp_path):
+    path = tmp_path / "two words 100%.csv"
+    path.write_text('a,b\n1,"x\ny"\n')
+    assert [r["b"] for r in load_csv(spark, str(path)).collect()] == ["x\ny"]

@@ -3,7 +3,6 @@
 import random
 import time
 
-import pytest
 
 from tablevitals.operators.batch import Batch
 from tablevitals.operators.completeness import completeness, group_completeness
@@ -94,23 +93,21 @@ def test_validity(spark):
     assert validity(few).count() == 2  # too few values to call negatives routine
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
-def test_outlier(spark, hot_rows):
-    """The same findings whether or not groups are treated as hot."""
+def test_outlier(spark):
     grouped = [("Bihar", 2980.0), ("Bihar", 3010.0), ("Bihar", 999999.0), (None, 5e9), ("Goa", 412.0), ("Goa", 999999.0)]
-    found = outlier(batch(spark, "state string, v double", grouped, hot_rows=hot_rows), ["v"], "state").collect()
+    found = outlier(batch(spark, "state string, v double", grouped), ["v"], "state").collect()
     assert [r["row_reference"] for r in found] == ["2"]
     assert found[0]["description"] == (
         "Value 999999.0 in v is a statistical outlier (zscore) relative to 'Bihar''s own history — "
         "possible decimal/unit error"
     )
-    price = batch(spark, "price double", [(v,) for v in (10.0, 11.0, 9.0, 10.0, 12.0, 5000.0)], hot_rows=hot_rows)
+    price = batch(spark, "price double", [(v,) for v in (10.0, 11.0, 9.0, 10.0, 12.0, 5000.0)])
     assert flagged(outlier(price)) == [5]
     assert flagged(outlier(price, None, "no_such_column")) == [5]
     sizes = [("big", 1e6), ("big", 1.01e6), ("big", 0.99e6), ("small", 10.0), ("small", 11.0), ("small", 9.0)]
-    assert outlier(batch(spark, "e string, v double", sizes, hot_rows=hot_rows), ["v"], "e").count() == 0
+    assert outlier(batch(spark, "e string, v double", sizes), ["v"], "e").count() == 0
     iqr = {"outlier": {"method": "iqr"}}
-    assert flagged(outlier(batch(spark, "p double", [(float(v),) for v in (1, 2, 3, 4, 100)], config=iqr, hot_rows=hot_rows))) == [4]
+    assert flagged(outlier(batch(spark, "p double", [(float(v),) for v in (1, 2, 3, 4, 100)], config=iqr))) == [4]
 
 
 def test_consistency(spark):

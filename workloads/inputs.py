@@ -51,10 +51,34 @@ def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 INTAKE_COLUMNS = ["feed", "batch_week", "lang", "n_chars", "margin", "quality", "toxic"]
 
 
+FEED_FILES = 3
+
+
+def write_feed_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The feed as CSV files, dealt by ``doc_id``, with five weeks; the column ``shard`` tells them apart."""
+    shard = F.pmod(F.col("doc_id"), F.lit(FEED_FILES))
+    week = F.concat(F.lit("W"), (F.col("n_chars") % 5).cast("string"))
+    feed = intake(spark, sf_dir).withColumn("batch_week", week).select(*INTAKE_COLUMNS, shard.alias("shard"))
+    for k in range(FEED_FILES):
+        feed.filter(F.col("shard") == k).coalesce(1).write.mode("append").option("header", True).csv(folder)
+
+
 def dated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("event_date", F.col("ts").cast("date"))
 
 
+def uneven_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in two groups, one of which holds about four fifths of the rows."""
+    kind = F.when(F.col("event_type") == "purchase", F.col("event_type")).otherwise("other")
+    return table(spark, sf_dir, "events").select("event_id", "value", kind.alias("kind"))
+
+
+def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with twenty measures, each the value times a factor that changes with the user."""
+    measures = [(F.col("value") * (F.col("user_id") % (i + 2) + 1)).alias(f"w{i}") for i in range(20)]
+    return table(spark, sf_dir, "events").select("event_id", *measures)
+
+
 def maker_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with a maker; every part of size 7 spells its maker in a way of its own."""
     part = table(spark, sf_dir, "part")

@@ -20,6 +20,8 @@ VIEWS = {
         'W' || (n_chars % 13)::VARCHAR AS batch_week, lang, n_chars, n_chars - 300.0::DOUBLE AS margin, quality, toxic
         FROM labeled""",
     "dated_events": "SELECT *, ts::DATE AS event_date FROM events",
+    "uneven_events": "SELECT event_id, value, CASE event_type WHEN 'purchase' THEN event_type ELSE 'other' END AS kind FROM events",
+    "wide_events": "SELECT event_id, " + ", ".join(f"value * (user_id % {i + 2} + 1) AS w{i}" for i in range(20)) + " FROM events",
     "maker_parts": """SELECT p_partkey, p_type,
         CASE WHEN p_size = 7 THEN 'Maker_' || p_partkey::VARCHAR || '_' || p_brand
              ELSE 'Maker_of_' || p_brand END AS maker FROM part""",
@@ -231,6 +233,45 @@ ALL_RULES = " UNION ALL ".join(
     ]
 )
 
+FEED_COLUMNS = [*INTAKE_COLUMNS, "shard"]
+FEED_NUMBERS = ["n_chars", "margin", "quality", "toxic", "shard"]
+
+
+def feed_run(k: int) -> str:
+    """Figures of the file with the rows of one shard."""
+    source = f"feed_{k}"
+    few = f"(SELECT count(DISTINCT feed) < 10 OR count(DISTINCT feed) = count(*) FROM {source})"
+    by_entity = lambda found, otherwise: f"SELECT * FROM ({found}) WHERE NOT {few} UNION ALL SELECT * FROM ({otherwise}) WHERE {few}"
+    absent, far = group_completeness(source, "feed", "batch_week"), outlier(source, "doc_id", FEED_NUMBERS, "feed")
+    issues = " UNION ALL ".join(
+        [
+            completeness(source, FEED_COLUMNS),
+            f"SELECT * FROM ({absent}) WHERE NOT {few}",
+            duplicate(source, "doc_id", FEED_COLUMNS),
+            validity(source, "doc_id", FEED_NUMBERS),
+            by_entity(far, outlier(source, "doc_id", FEED_NUMBERS)),
+            consistency(source, "doc_id", ["feed", "batch_week", "lang"]),
+        ]
+    )
+    weights = {"completeness": 4, "duplicate": 3, "validity": 10, "outlier": 6, "consistency": 5, "schema_drift": 15}
+    score = " - ".join(f"{w} * count_if(issue_type = '{t}')" for t, w in weights.items())
+    return f"""SELECT {k}::BIGINT AS shard, n AS rows_processed, n AS rows_stored, longest, least,
+        greatest(0, 100 - {score})::INTEGER AS health_score, count(DISTINCT row_reference) AS rows_flagged,
+        {", ".join(f"count_if(issue_type = '{t}') AS {t}" for t in weights)},
+        greatest(0, 100 - {score}) < 70 OR count_if(severity = 'high') > 0 AS alerted
+        FROM (SELECT count(*) AS n, max(n_chars)::DOUBLE AS longest, min(margin) AS least FROM {source}) LEFT JOIN ({issues}) ON true
+        GROUP BY ALL"""
+
+
+FEED_RUNS = (
+    f"WITH labeled AS ({VIEWS['labeled']}), intake AS ({VIEWS['intake']}), "
+    + ", ".join(
+        f"feed_{k} AS (SELECT * REPLACE ('W' || (n_chars % 5)::VARCHAR AS batch_week), {k} AS shard FROM intake WHERE doc_id % 3 = {k})"
+        for k in range(3)
+    )
+    + " " + " UNION ALL ".join(feed_run(k) for k in range(3))
+)
+
 
 # Profile
 
@@ -405,8 +446,15 @@ ORACLE: dict[str, str] = {
              WHEN suffix = '.xlsx' THEN 'workbook: export it to CSV' ELSE 'unsupported file type' END AS reason
         FROM names""",
     ),
-    "ingest_folder_stream": """SELECT 3 AS runs, count(*) AS rows_processed, count(*) AS rows_stored,
-        max(c_acctbal) AS highest, min(c_acctbal) AS lowest FROM customer""",
+    "ingest_folder_stream": FEED_RUNS,
+    "unjudged_columns": using(
+        "client_orders",
+        select="""SELECT 'orders' AS source, 'o_orderdate' AS "column",
+        'not judged for absent entities: ' || count(DISTINCT o_orderdate) || ' periods, more than 60' AS note
+        FROM orders HAVING count(DISTINCT o_orderdate) > 60
+        UNION ALL SELECT 'clients', 'client', count(*) || ' frequent values, of which the 20 most frequent were candidates'
+        FROM (SELECT client FROM client_orders GROUP BY client HAVING count(*) >= 2) HAVING count(*) > 20""",
+    ),
     "period_like_columns": using("shipments", select=distinct_of("shipments", ["ship_date", "order_date", "order_year"])),
     "guess_period_column": using("shipments", select=distinct_of("shipments", ["order_year"])),
     "id_like_numeric_columns": using("shipments", select=distinct_of("shipments", ["customer_id", "part_id"])),
@@ -444,7 +492,8 @@ ORACLE: dict[str, str] = {
     "outlier_grouped": outlier("events", "event_id", ["value"], "event_type"),
     "outlier_iqr": outlier("events", "event_id", ["value"], None, "iqr"),
     "outlier_iqr_grouped": outlier("documents", "doc_id", ["n_chars"], "source", "iqr"),
-    "outlier_hot_groups": outlier("events", "event_id", ["value"], "event_type"),
+    "outlier_hot_groups": using("uneven_events", select=outlier("uneven_events", "event_id", ["value"], "kind")),
+    "outlier_wide": using("wide_events", select=outlier("wide_events", "event_id", [f"w{i}" for i in range(20)])),
     "consistency_rule": using("maker_parts", select=consistency("maker_parts", "p_partkey", ["maker"])),
     "consistency_many_candidates": using("client_orders", select=consistency("client_orders", "o_orderkey", ["client"])),
     "fuzzy_wratio": f"""WITH pairs AS (SELECT 'brand' AS pair, p_brand AS a, 'Brand#' || p_size::VARCHAR AS b FROM part

@@ -147,27 +147,34 @@ def route_dropped_files(spark, sf_dir):
 
 @query
 def ingest_folder_stream(spark, sf_dir):
-    """Customers as arriving CSV files, through the stream into a run store."""
+    """A feed as arriving CSV files through the stream into a run store: figures, issues by type and alert of every run."""
     root = inputs.work_folder(spark)
-    customers = inputs.table(spark, sf_dir, "customer")
-    customers.repartition(3).write.option("header", True).csv(f"{root}/in")
+    inputs.write_feed_files(spark, sf_dir, f"{root}/in")
     run_store = store.RunStore(spark, f"{root}/store")
     ingest_folder(spark, f"{root}/in", run_store, f"{root}/stream").awaitTermination()
-    balance = F.get_json_object("data", "$.c_acctbal").cast("double")
+    number = lambda name: F.get_json_object("data", f"$.{name}").cast("double")
     stored = run_store.rows().groupBy("run_id").agg(
-        F.count("*").alias("stored"), F.max(balance).alias("high"), F.min(balance).alias("low")
-    )
-    return (
-        run_store.runs()
-        .join(stored, "run_id")
-        .agg(
-            F.count("*").alias("runs"),
-            F.sum("rows_processed").alias("rows_processed"),
-            F.sum("stored").alias("rows_stored"),
-            F.max("high").alias("highest"),
-            F.min("low").alias("lowest"),
-        )
-    )
+        F.max(number("shard")).cast("bigint").alias("shard"), F.count("*").alias("rows_stored"),
+        F.max(number("n_chars")).alias("longest"), F.min(number("margin")).alias("least"),
+    )
+    kinds = ("completeness", "duplicate", "validity", "outlier", "consistency", "schema_drift")
+    counts = run_store.issues().groupBy("run_id").agg(*[F.count_if(F.col("issue_type") == k).alias(k) for k in kinds])
+    alerts_of = run_store.alerts().select("run_id", F.lit(True).alias("alerted"))
+    runs = run_store.runs().join(stored, "run_id").join(counts, "run_id", "left").join(alerts_of, "run_id", "left")
+    return runs.select(
+        "shard", "rows_processed", "rows_stored", "longest", "least", "health_score", "rows_flagged",
+        *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds], F.coalesce("alerted", F.lit(False)).alias("alerted"),
+    )
+
+
+@query
+def unjudged_columns(spark, sf_dir):
+    """What the rules leave out: a period column of many days, and frequent names beyond a limit."""
+    limited = {"consistency": {"max_common_candidates": 20}}
+    dated = Batch(inputs.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderkey")
+    named = Batch(inputs.client_orders(spark, sf_dir), "o_orderkey", config=limited)
+    notes = [("orders", *n) for n in dated.notes] + [("clients", *n) for n in named.notes]
+    return spark.createDataFrame(notes, "source string, column string, note string")
 
 
 # Roles and profile
@@ -308,9 +315,14 @@ def outlier_iqr_grouped(spark, sf_dir):
 
 @query
 def outlier_hot_groups(spark, sf_dir):
-    """Groups treated as too large for one buffer: the rank-selection path."""
-    batch = Batch(inputs.table(spark, sf_dir, "events"), "event_id", hot_rows=100)
-    return findings(outlier(batch, ["value"], "event_type"))
+    """A group with most of the rows, over several partitions of the counted values."""
+    return findings(outlier(Batch(inputs.uneven_events(spark, sf_dir), "event_id"), ["value"], "kind"))
+
+
+@query
+def outlier_wide(spark, sf_dir):
+    """Twenty columns at once."""
+    return findings(outlier(Batch(inputs.wide_events(spark, sf_dir), "event_id"), [f"w{i}" for i in range(20)]))
 
 
 @query
