@@ -468,8 +468,7 @@ def ingest_files(spark: SparkSession, store: RunStore, files: list, run_ids: lis
         if not good:
             return aside
         batch.select_runs(good)
-        for run in good:
-            store.clear(run)
+        store.begin(list(good))
         batch.count_values()
         store.append("quality_issues", all_issues(batch, baselines(batch, store)))
         issues = store.issues_of(list(good))

@@ -118,7 +118,7 @@ def run_batch(
     if not re.fullmatch(r"[\w-]+", run_id):
         raise ValueError(f"run id {run_id!r} is not a plain name")
     if store is not None:
-        store.clear(run_id)
+        store.begin([run_id])
         df = store.stage(df, run_id) if stage else df
     if baseline is None and store is not None:
         baseline = latest_profile(store.profiles(), dataset_name)

@@ -1,18 +1,24 @@
-"""The run store: parquet tables under one folder, partitioned by run.
+"""The run store: parquet tables under one folder, partitioned by run and attempt.
 
-``quality_runs`` is written last and marks a run as finished; readers of the
-other tables only see rows of finished runs. Writing a run again clears it
-first, so a repeated attempt leaves no rows twice and none of the earlier ones.
+Every attempt at a run writes files of its own. ``quality_runs``, written last,
+makes the attempt the run's visible one; readers of all tables see the rows of
+visible attempts only. So a reader sees a run as it was or as it is, never a
+mixture, while the run is written again, and the files of the attempt before
+stay until the next begins.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablevitals.functions.columns import ROW_INDEX, col
 from tablevitals.operators.alerts import alert_batch
+from tablevitals.operators.batch import literal_map
 from tablevitals.operators.issues import ISSUE_SCHEMA
 
 RUN_SCHEMA = (
@@ -103,6 +109,7 @@ class RunStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.attempts: dict[str, str] = {}  # the runs that this store object writes
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -125,37 +132,59 @@ class RunStore:
         system, path = self._file_system(self.path(f"staging/{run_id}"))
         system.delete(path, True)
 
-    def clear(self, run_id: str) -> None:
-        """Takes back an earlier attempt at a run: its mark first, so that nobody reads a mixture, then its rows."""
-        for table in ["quality_runs", *[t for t in SCHEMAS if t != "quality_runs"]]:
-            system, path = self._file_system(self.path(f"{table}/run_id={run_id}"))
-            system.delete(path, True)
+    def begin(self, run_ids: list[str]) -> None:
+        """New attempts at these runs; what earlier attempts left goes, but for the visible ones, which may be being read."""
+        name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        for run_id in run_ids:
+            left = {table: self._attempts_of(table, run_id) for table in SCHEMAS}
+            visible = max(left["quality_runs"], default=None)
+            for table, attempts in left.items():
+                for attempt in attempts - {visible}:
+                    system, path = self._file_system(self.path(f"{table}/run_id={run_id}/attempt={attempt}"))
+                    system.delete(path, True)
+            self.attempts[run_id] = name
+
+    def _attempts_of(self, table: str, run_id: str) -> set[str]:
+        system, path = self._file_system(self.path(f"{table}/run_id={run_id}"))
+        folders = [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+        return {f.removeprefix("attempt=") for f in folders if f.startswith("attempt=")}
+
+    def _attempt(self) -> Column:
+        """The attempt that rows with a ``run_id`` belong to when this object writes them."""
+        return F.coalesce(literal_map(self.attempts, F.col("run_id")).cast("string"), F.lit("0"))
 
     def append(self, table: str, rows: DataFrame) -> None:
-        """Writes the runs in ``rows``, replacing partitions of the same runs."""
+        """Writes the runs in ``rows``, replacing what the same attempts wrote to the table."""
         schema = T.StructType.fromDDL(SCHEMAS[table])
         typed = rows.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+        typed = typed.withColumn("attempt", self._attempt())
         (
             typed.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id")
+            .partitionBy("run_id", "attempt")
             .parquet(self.path(table))
         )
 
     def _read(self, table: str, run_id: str | None = None) -> DataFrame:
-        """The table, or one run's partition without listing the others."""
-        schema = T.StructType.fromDDL(SCHEMAS[table])
+        """All attempts' rows, with ``attempt``, of the table or, without listing the others, of one run."""
+        schema = T.StructType.fromDDL(SCHEMAS[table]).add("attempt", "string")
         part = f"{table}/run_id={run_id}" if run_id is not None else table
         if not self._exists(part):
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema).option("basePath", self.path(table))
         return reader.parquet(self.path(part)).select(*schema.names)
 
-    def runs(self) -> DataFrame:
-        return self._read("quality_runs")
-
     def _finished(self, table: str) -> DataFrame:
-        return self._read(table).join(self.runs().select("run_id"), "run_id", "left_semi")
+        visible = self._read("quality_runs").groupBy("run_id").agg(F.max("attempt").alias("attempt"))
+        return self._read(table).join(visible, ["run_id", "attempt"], "left_semi").drop("attempt")
+
+    def _mine(self, table: str, run_ids: list[str]) -> DataFrame:
+        """What this object's attempts at runs wrote, visible or not; only these runs' partitions are read."""
+        rows = self._read(table).filter(F.col("run_id").isin(run_ids) & (F.col("attempt") == self._attempt()))
+        return rows.drop("attempt")
+
+    def runs(self) -> DataFrame:
+        return self._finished("quality_runs")
 
     def issues(self) -> DataFrame:
         return self._finished("quality_issues")
@@ -188,9 +217,7 @@ class RunStore:
         """Alert rows of these runs, of which at most one batch's are given; a run without need of one has none."""
         if not run_ids:
             return
-        among = F.col("run_id").isin(run_ids)  # reads these runs' partitions only
-        runs, issues = self._read("quality_runs").filter(among), self._read("quality_issues").filter(among)
-        self.append("alerts", alert_batch(runs, issues))
+        self.append("alerts", alert_batch(self._mine("quality_runs", run_ids), self._mine("quality_issues", run_ids)))
 
     def store_rows(self, df: DataFrame, run_id: str, row_key: str = ROW_INDEX, columns=None) -> None:
         self.append("dataset_rows", rows_table(df, run_id, row_key, columns))
@@ -212,7 +239,7 @@ class RunStore:
 
     def issues_of(self, run_ids: list[str]) -> DataFrame:
         """Issues of the runs of one batch, before they are marked finished."""
-        return self._read("quality_issues").filter(F.col("run_id").isin(run_ids))
+        return self._mine("quality_issues", run_ids)
 
     def latest_columns(self, datasets: list[str]) -> dict[str, list[tuple[str, int, str]]]:
         """Name, place and type of the columns in the newest finished profile of each of one batch's datasets."""
@@ -225,4 +252,4 @@ class RunStore:
 
     def stored_issues(self, run_id: str) -> DataFrame:
         """A run's issues before it is marked finished (read back by its own writer)."""
-        return self._read("quality_issues", run_id)
+        return self._read("quality_issues", run_id).filter(F.col("attempt") == self._attempt()).drop("attempt")

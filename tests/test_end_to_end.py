@@ -92,3 +92,36 @@ def test_given_roles(spark):
     df = spark.createDataFrame([(i, float(i) if i < 29 else 1e9, float(i)) for i in range(30)], "_row_index bigint, orderkey double, v double")
     assert run_batch(spark, df, dataset_name="d").issues.filter("issue_type = 'outlier'").count() == 1
     assert run_batch(spark, df, dataset_name="d", id_columns=["orderkey"]).issues.filter("issue_type = 'outlier'").count() == 0
+
+
+def test_readers_while_a_run_is_written_again(spark, tmp_path, monkeypatch):
+    """Until the mark is written readers see the old attempt, whole; what they began to read stays readable."""
+    root = str(tmp_path / "store")
+    store = RunStore(spark, root)
+    df = spark.createDataFrame([(i, "x", -5.0 if i == 3 else 10.0 + i) for i in range(20)], "_row_index long, s string, v double")
+    first = run_batch(spark, df, dataset_name="d", store=store, run_id="r")
+    began, found = store.issues(), store.issues().count()
+    assert found == first.summary["total_issues"] > 0
+    seen = []
+    plain = RunStore.store_run
+
+    def look(self, run):
+        other = RunStore(spark, root)
+        seen.append((other.runs().first()["rows_processed"], other.rows().count(), other.issues().count(), began.count()))
+        plain(self, run)
+
+    monkeypatch.setattr(RunStore, "store_run", look)
+    second = run_batch(spark, df.filter("v > 0").limit(10), dataset_name="d", store=RunStore(spark, root), run_id="r")
+    assert seen == [(20, 20, found, found)] and began.count() == found
+    assert store.runs().first()["rows_processed"] == store.rows().count() == 10
+    assert store.issues().count() == second.summary["total_issues"] == 0
+    # An attempt that fails before its mark changes nothing and is removed by the next.
+    monkeypatch.setattr(RunStore, "store_run", lambda self, run: (_ for _ in ()).throw(OSError("lost")))
+    try:
+        run_batch(spark, df, dataset_name="d", store=RunStore(spark, root), run_id="r")
+    except OSError:
+        pass
+    assert store.rows().count() == 10
+    monkeypatch.setattr(RunStore, "store_run", plain)
+    run_batch(spark, df, dataset_name="d", store=RunStore(spark, root), run_id="r")
+    assert store.rows().count() == 20 and len(store._attempts_of("dataset_rows", "r")) == 2
