@@ -1,4 +1,8 @@
-"""A corpus pipeline: each stage works on all rows its predecessor kept, written as Parquet in between."""
+"""A corpus pipeline: each stage works on all rows its predecessor kept, written as Parquet in between.
+
+All stages but the last return the columns of ``documents``, and any others, with their names. An empty
+table gives an empty one. What a stage does with null and empty texts and repeated rows is said at each.
+"""
 
 from __future__ import annotations
 
@@ -17,28 +21,40 @@ from tablevitals.llm.toxicity import score_toxicity, train_toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the trees, learned from this input's labelled rows, don't call toxic."""
+    """Rows that the trees, learned from this input's labelled rows, don't call toxic.
+
+    Null and empty texts are scored like any other and stay, as far as seen; repeated rows go or stay together.
+    """
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each class of near copies."""
+    """The row with the smallest doc_id of each class of near copies.
+
+    Rows with null texts all stay; of equal texts, empty ones too, and of repeated rows one stays.
+    """
     return one_of_each_class(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, personal data replaced by its kind; ``n_chars`` follows the text."""
+    """All rows, personal data replaced by its kind; ``n_chars`` follows the text and is null for a null one.
+
+    Null and empty texts stay as they are, repeated rows are rewritten alike.
+    """
     return redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: every row at least once, rows of small sources again, in no case over twice."""
+    """Sources at their target weights: every row at least once, rows of small sources again, in no case over twice.
+
+    Null and empty texts count as one token, a null source is a source; repeated rows are drawn each on its own.
+    """
     return temperature_mix(docs, **MIX).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of identifiers and decoded text of every row."""
+    """Token count and digests of identifiers and decoded text of every row; null and empty texts have no tokens."""
     return encode_and_decode(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
