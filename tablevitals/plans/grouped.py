@@ -19,8 +19,11 @@ from datetime import datetime, timedelta, timezone
 from functools import reduce
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tablevitals.config import BROADCAST_MAX_ROWS, ENTITY_MIN_DISTINCT, NUMERIC_COERCION_RATIO, PERIOD_MAX_DISTINCT, rule_config
@@ -89,8 +92,16 @@ def plain_path(path: str) -> str:
     return unquote(path).split(":", 1)[-1].lstrip("/")
 
 
+def small_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
+    """A table of a row for each file or column, made as a local relation: no job reads it."""
+    schema = StructType.fromDDL(ddl)
+    fields = to_arrow_schema(schema)
+    columns = [pa.array(values, f.type) for values, f in zip(zip(*rows) if rows else [[]] * len(fields), fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), schema)
+
+
 def _by_path(spark: SparkSession, values: dict[str, str], name: str) -> DataFrame:
-    return spark.createDataFrame(list(values.items()), f"_path string, {name} string")
+    return small_table(spark, list(values.items()), f"_path string, {name} string")
 
 
 def file_rows(spark: SparkSession, files: list, run_ids: list[str]) -> tuple[DataFrame | None, dict[str, FileRun]]:
@@ -202,7 +213,7 @@ class GroupedBatch:
     def marked(self, table: dict[str, list]) -> DataFrame:
         """``run_id`` and one list for each run, as a table of a row for each file."""
         rows = [(run, marks) for run, marks in table.items()]
-        return F.broadcast(self.spark.createDataFrame(rows, "run_id string, marks array<string>"))
+        return F.broadcast(small_table(self.spark, rows, "run_id string, marks array<string>"))
 
     def cells_of(self, test: Callable[[FileRun, dict], object]) -> DataFrame:
         """``run_id, row, ord, mark, text`` of the columns for which ``test`` gives a mark."""
@@ -212,7 +223,7 @@ class GroupedBatch:
             if any(m is not None for m in given.values()):
                 marks[run.run_id] = [None if given.get(i) is None else str(given[i]) for i in range(len(run.names))]
         if not marks:
-            return self.spark.createDataFrame([], "run_id string, row bigint, ord int, mark string, text string")
+            return small_table(self.spark, [], "run_id string, row bigint, ord int, mark string, text string")
         both = self.rows.join(self.marked(marks), "run_id")
         return both.select("run_id", "row", F.posexplode(F.arrays_zip("marks", "cells")).alias("ord", "cell")).select(
             "run_id", "row", "ord", F.col("cell.marks").alias("mark"), F.col("cell.cells").alias("text")
@@ -220,7 +231,7 @@ class GroupedBatch:
 
     def stats_table(self) -> DataFrame:
         fields = [part.split()[0] for part in STATS_SCHEMA.split(", ")]
-        return self.spark.createDataFrame([tuple(s[f] for f in fields) for run in self.runs.values() for s in run.stats], STATS_SCHEMA)
+        return small_table(self.spark, [tuple(s[f] for f in fields) for run in self.runs.values() for s in run.stats], STATS_SCHEMA)
 
     def count_values(self) -> None:
         """Counts the values of all text and period columns; what decides roles and rules reaches the driver by column."""
@@ -265,7 +276,7 @@ def group_completeness(batch: GroupedBatch) -> DataFrame:
     """Each run's periods are one list of at most ``period_max_distinct``; each entity's are taken from it."""
     both = {r.run_id: [r.names[r.entity], r.names[r.period], str(r.entity), str(r.period), r.stats[r.period]["dtype"]] for r in batch.runs.values() if r.entity is not None and r.period is not None}
     if not both:
-        return absence_issues(batch.spark.createDataFrame([], "run_id string, entity string, period string"), F.lit(""), F.lit(""), "run_id")
+        return absence_issues(small_table(batch.spark, [], "run_id string, entity string, period string"), F.lit(""), F.lit(""), "run_id")
     rows = batch.rows.join(batch.marked(both), "run_id")
     pick = lambda k: F.get("cells", F.get("marks", F.lit(k)).cast("int"))
     period = cell_text(pick(3), F.get("marks", F.lit(4)))
@@ -304,7 +315,7 @@ def validity(batch: GroupedBatch) -> DataFrame:
 
 
 def _named(batch: GroupedBatch, cells: DataFrame) -> DataFrame:
-    names = batch.spark.createDataFrame([(r.run_id, r.names) for r in batch.runs.values()], "run_id string, names array<string>")
+    names = small_table(batch.spark, [(r.run_id, r.names) for r in batch.runs.values()], "run_id string, names array<string>")
     return cells.join(F.broadcast(names), "run_id").withColumn("name", F.get("names", "ord")).drop("names")
 
 
@@ -322,7 +333,7 @@ def outlier(batch: GroupedBatch) -> DataFrame:
     for r in batch.runs.values():
         e = entity(r)
         roles.append((r.run_id, [numeric(s) for s in r.stats], e, None if e is None else r.stats[e]["dtype"]))
-    table = batch.spark.createDataFrame(roles, "run_id string, wanted array<string>, entity int, kind string")
+    table = small_table(batch.spark, roles, "run_id string, wanted array<string>, entity int, kind string")
     rows = batch.rows.join(F.broadcast(table), "run_id")  # one row a file
     group = cell_text(F.get("cells", "entity"), F.col("kind"))
     rows = rows.withColumn("g", F.when(F.col("entity").isNotNull(), group)).filter("entity is null or g is not null")
@@ -349,7 +360,7 @@ def consistency(batch: GroupedBatch) -> DataFrame:
     }
     if not judged:
         return naming_issues(
-            batch.spark.createDataFrame([], "run_id string, key bigint, column string, ord int, value string, match string, score double"), "run_id"
+            small_table(batch.spark, [], "run_id string, key bigint, column string, ord int, value string, match string, score double"), "run_id"
         )
     least, limit, threshold = params.get("min_value_count", 2), params.get("max_common_candidates"), params.get("fuzzy_match_threshold", 85)
     place = F.concat("run_id", F.lit("/"), "ord")
@@ -371,8 +382,8 @@ def schema_drift(batch: GroupedBatch, before: dict[str, list[tuple[str, int, str
     """``before``: the baseline's (name, place, type) of each run that has one."""
     was = [(run, *c) for run, columns in before.items() for c in columns]
     now = [(run, s["name"], s["ord"], s["dtype"]) for run in before for s in batch.runs[run].stats]
-    left = batch.spark.createDataFrame(was, "run_id string, column string, was_ord int, was_dtype string")
-    right = batch.spark.createDataFrame(now, "run_id string, column string, now_ord int, now_dtype string")
+    left = small_table(batch.spark, was, "run_id string, column string, was_ord int, was_dtype string")
+    right = small_table(batch.spark, now, "run_id string, column string, now_ord int, now_dtype string")
     return drift_issues(left.join(right, ["run_id", "column"], "full_outer"), "run_id")
 
 
@@ -411,7 +422,7 @@ def rows_as_json(batch: GroupedBatch) -> DataFrame:
 
 def profiles(batch: GroupedBatch, runs: DataFrame) -> DataFrame:
     unique = [(r.run_id, s["ord"], s["distinct"]) for r in batch.runs.values() for s in r.stats if s["dtype"] == "string"]
-    unique = batch.spark.createDataFrame(unique, "run_id string, ord int, unique_count bigint")
+    unique = small_table(batch.spark, unique, "run_id string, ord int, unique_count bigint")
     stats = batch.stats_table().join(F.broadcast(unique), ["run_id", "ord"], "left").join(F.broadcast(runs), "run_id")
     rounded = {c: round_half_even(F.col(c), 2) for c in ("mean", "std")}
     pct = F.when(F.col("n") > 0, round_half_even(F.col("missing") / F.col("n") * 100, 2)).otherwise(0.0)
