@@ -285,7 +285,12 @@ def find_personal_data(df: DataFrame, text: str = "text", least: float = 0.8) ->
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """Counts and digests of ``found``: base counts, a SHA-256 of the base spans, and all spans as text."""
+    """Counts and digests of ``found``: base counts, a SHA-256 of the base spans, and all spans as text.
+
+    Rows without spans have zeros, the hash of nothing and an empty text.
+    Repeated rows give repeated rows, an empty table none; columns with the new
+    names are replaced.
+    """
 
     def joined(spans: list[dict]) -> str:
         return ",".join([f"{s['kind']}:{s['begin']}:{s['end']}" for s in spans])
@@ -305,6 +310,8 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
 
     Overlapping spans become one mark, of the kind that begins first. The model
     comes from one pass that keeps counts only; texts are rewritten in a second.
+    Empty texts stay empty. Repeated rows give repeated rows, an empty table
+    none; columns may have any names.
     """
     (spans,) = fresh(df, "candidate_spans")
     found = with_candidates(df.select(text), text, spans).select(spans)

@@ -396,3 +396,142 @@ def test_large_group_of_near_copies(spark):
     _, label = plain(0.85)
     reached = {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()}
     assert [reached[i] for i in range(len(rows))] == label.tolist()
+
+
+# ---- edges of earlier operators
+
+
+def test_code_travels_without_the_package(tmp_path):
+    """Functions of all operators load where the package can't be imported, and so does what the language model sends."""
+    import importlib
+    import pickle
+    import subprocess
+    import sys
+    import types
+    from pathlib import Path
+
+    from pyspark import cloudpickle
+
+    from tablevitals import llm
+    from tablevitals.llm.gru_lm import GruParameters, LanguageModel
+
+    model = LanguageModel(GruParameters(), np.zeros(3), ["a"], np.ones(1, np.int64), np.zeros(2, np.int32), 0, np.ones(3), 5, 2, 1, 1)
+    assert b"tablevitals" not in pickle.dumps(model.sent())
+    functions = []
+    for file in Path(llm.__file__).parent.glob("[a-z]*.py"):
+        if file.stem not in ("queries", "mixing"):  # of these nothing runs in tasks
+            module = importlib.import_module(f"tablevitals.llm.{file.stem}")
+            functions += [f for f in vars(module).values() if isinstance(f, (types.FunctionType, type)) and f.__module__ == module.__name__]
+    assert len(functions) > 100
+    path = tmp_path / "functions"
+    path.write_bytes(b"".join(len(b).to_bytes(8) + b for b in map(cloudpickle.dumps, functions)))
+    code = f"""
+import pickle, sys
+sys.modules["tablevitals"] = None
+data, at = open({str(path)!r}, "rb").read(), 0
+while at < len(data):
+    n = int.from_bytes(data[at : at + 8])
+    pickle.loads(data[at + 8 : at + 8 + n])
+    at += 8 + n
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, timeout=120)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_language_model_beats_its_unigram(spark, sf):
+    scores = QUERIES["op9_gru_log_likelihood"](spark, f"/root/testdata/{sf}")
+    for r in scores.groupBy("held_out").agg(*[(F.sum(c) / F.sum("n_tokens")).alias(c) for c in ("base_score", "score")]).collect():
+        assert r["score"] > r["base_score"] + 0.03, r
+
+
+def test_quality_with_clashing_names(spark):
+    from tablevitals.llm.quality_mcd import quality_rules
+
+    rng = random.Random(21)
+    texts = [(i, " ".join(f"word{rng.randrange(200)}" for _ in range(40)), "en", "s") for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    names = "group x start key pool count small judged centre inverse scale middle spread bound w d2 distance".split()
+    clashing = df.withColumns({n: F.lit(f"{n} of the table") for n in names})
+    got = {r["doc_id"]: r for r in quality_rules(clashing).collect()}
+    assert {i: r["kept"] for i, r in got.items()} == {r["doc_id"]: r["kept"] for r in quality_rules(df).collect()}
+    assert {r["group"] for r in got.values()} == {"group of the table"} and {r["x"] for r in got.values()} == {"x of the table"}
+
+
+def test_search_with_large_components(spark):
+    from tablevitals.llm.balltree import BallTree, top_inner_products
+
+    schema = "vec_id long, embedding array<double>"
+    rng = np.random.default_rng(22)
+    for size in (2.0**24, 3e7 * 2.0**0):  # products on either side of 2**62
+        rows = [(i, (rng.uniform(-size / 4, size / 4, 4)).tolist()) for i in range(60)]
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_inner_products(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0).collect()}
+        v = {i: [math.floor(256 * c) for c in x] for i, x in rows}
+        for q in (0, 50):
+            best = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)[:5]
+            assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    large = [(int(rng.integers(2**31, 2**33)), int(rng.integers(-(2**33), 2**33))) for _ in range(40)]
+    v = np.array(large, dtype=np.int64)
+    tree = BallTree(v, np.arange(40), leaf=4)
+    with pytest.raises(OverflowError, match="no 64-bit number"):
+        tree.search(v[:2], np.arange(2), 3, np.full(2, -np.inf))
+    with pytest.raises(Exception, match="no 64-bit number after scaling"):
+        top_inner_products(spark.createDataFrame([(50, [1e300, 1.0]), (1, [1.0, 2.0])], schema), F.col("vec_id") % 50 == 0).collect()
+
+
+# ---- the pipeline as a whole
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_documents():
+    rng = random.Random(23)
+    rows = [(i, " ".join(f"word{rng.randrange(400)}" for _ in range(rng.randrange(20, 60))), "en" if i % 3 else None, f"s{i % 3}") for i in range(120)]
+    near = rows[5][1].split()
+    near[30 % len(near)] = "changed"
+    rows += [(200, " ".join(near * 4), "en", "s0"), (201, " ".join(near * 4), "en", "s1"), (201, " ".join(near * 4), "en", "s1")]
+    rows += [(202, " ".join((near * 4)[:-1]), "en", "s1"), (203, "mail a.b@c.example.com or 10.0.0.1 now", "en", None)]
+    rows += [(204, None, "en", "s1"), (205, "", "en", "s1"), (206, "", None, "s1"), (None, "of nobody", "en", "s2"), (207, " ".join(f"long{k}" for k in range(30_000)), "en", "s2")]
+    return [(*r, len(r[1] or "")) for r in rows]
+
+
+@pytest.mark.parametrize("extra", [(), ("score", "predicted", "group", "u", "path", "key", "pass_no")])
+def test_pipeline_on_odd_documents(spark, folder, extra):
+    """Every stage keeps the columns and what it should keep; the whole run equals the stages one after another."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from tablevitals.llm.queries import tokenizer_path
+
+    rows = odd_documents()
+    docs = spark.createDataFrame(rows, DOCUMENT).withColumns({n: F.lit(f"{n} of the table") for n in extra}).repartition(3)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 0) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        path = f"{folder}/{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        kept.append(docs)
+    everything = Counter(r[0] for r in rows)
+    assert ids(kept[0]) == everything  # nothing toxic is known
+    assert ids(kept[1]) == Counter(i for i in everything if i not in (201, 202, 206))
+    texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept[2].collect()}
+    assert ids(kept[2]) == ids(kept[1]) and texts[203][0] == "mail <EMAIL> or <IP> now" and texts[204] == (None, None) and texts[205] == ("", 0)
+    assert all(texts[r[0]] == (r[1], r[4]) for r in rows if r[0] in texts and r[0] not in (203, 204))
+    mixed = ids(kept[3])
+    assert set(mixed) == set(ids(kept[2])) and max(mixed.values()) <= 2
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = Counter((i, len(library.encode(texts[i][0] or "", add_special_tokens=False).ids)) for i in mixed.elements())
+    got = corpus_pipeline.run(spark, folder)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == want
+
+
+def test_pipeline_on_empty_tables(spark, folder):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCUMENT).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
