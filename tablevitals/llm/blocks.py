@@ -2,8 +2,8 @@
 
 A bucket's texts are packed into rows of one block each, a bounded number of
 texts and bytes. A bucket of one block is one row and one task. In a larger one
-every block meets every other once, as packed rows: with blocks of 4096 texts a
-bucket of G texts makes (G / 4096)^2 / 2 pairs of rows, so neither rows nor joins
+every block meets every other once, as packed rows: with blocks of 2048 texts a
+bucket of G texts makes (G / 2048)^2 / 2 pairs of rows, so neither rows nor joins
 grow with the pairs of texts, and no text is left out however large its bucket.
 """
 
@@ -20,8 +20,8 @@ from tablevitals.llm.common import carries_its_code
 
 carries_its_code(__name__)
 
-BLOCK_TEXTS = 4096
-BLOCK_BYTES = 16 << 20
+BLOCK_TEXTS = 2048
+BLOCK_BYTES = 8 << 20
 # Cells of the tables that a task multiplies at a time.
 TABLE_CELLS = 4_000_000
 # Rows of a matrix of pairs that are looked at a time.
@@ -71,10 +71,13 @@ def compare(found: DataFrame, about: DataFrame, payload: str, judge: Callable, e
         for keep, side in zip(at, sides):
             marks.append([(row, number.setdefault(p, len(number))) for row, k in enumerate(keep.tolist()) for p in side[1][k] if p < path])
         if all(marks):
-            tables = [np.zeros((len(keep), len(number)), dtype=np.float32) for keep in at]
-            for table, cells in zip(tables, marks):
-                table[tuple(np.array(cells).T)] = 1
-            similar &= tables[0] @ tables[1].T == 0
+            marks = [np.array(cells) for cells in marks]
+            for low in range(0, len(number), SLICE):
+                tables = [np.zeros((len(keep), SLICE), dtype=np.float32) for keep in at]
+                for table, cells in zip(tables, marks):
+                    part = cells[(cells[:, 1] >= low) & (cells[:, 1] < low + SLICE)]
+                    table[part[:, 0], part[:, 1] - low] = 1
+                similar &= tables[0] @ tables[1].T == 0
         keys = [[side[0][k] for k in keep.tolist()] for keep, side in zip(at, sides)]
         return emit(path, *keys, similar, right is None) if similar.any() else None
 

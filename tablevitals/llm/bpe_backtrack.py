@@ -208,11 +208,15 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text") -> DataF
             [[int(i) for piece in encode(t) for i in piece[1].split(" ")] if t else [] for t in texts]
         ]
 
-    return map_column(df, text, "ids array<int>", start).drop(text)
+    return map_column(df, text, "ids array<int>", start, keeps=True).drop(text)
 
 
 def decode_documents(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
-    """``df`` with the decoded ``text`` of every list of identifiers in place of the list; null for null."""
+    """``df`` with the decoded ``text`` of every list of identifiers in place of the list; null for null.
+
+    Repeated rows give repeated rows, an empty table none; a column called
+    ``text`` is replaced.
+    """
 
     def start() -> Callable[[list], list]:
         bpe = BacktrackingBpe(tokenizer)
@@ -225,8 +229,9 @@ def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text") -> Data
     """``df`` without its text, with ``n_tokens`` and digests of the identifiers and of the decoded text.
 
     Both directions in one pass over each whole text: every piece is encoded,
-    and what is decoded comes from its identifiers. Null counts as empty. New
-    columns replace those of the same name.
+    and what is decoded comes from its identifiers. Null counts as empty. Repeated
+    rows give repeated rows, an empty table none. New columns replace those of
+    the same name.
     """
 
     def start() -> Callable[[list], list]:
@@ -246,4 +251,4 @@ def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text") -> Data
 
         return compute
 
-    return map_column(df, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", start).drop(text)
+    return map_column(df, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", start, keeps=True).drop(text)

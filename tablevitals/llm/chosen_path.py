@@ -274,7 +274,8 @@ def jaccard_join(df: DataFrame, parameters: JoinParameters = JoinParameters(), t
     same text. Texts without words are linked to none but share a class with
     equal texts; a null text is a class of its own with its key. Texts of fewer
     words than the n-gram are one gram. A null key is never the class's
-    unless all are null. Repeated rows stay; an empty table gives no rows.
+    unless all are null. Repeated rows stay; an empty table gives no rows. Other
+    columns take no part and are not returned, whatever their names.
     """
     rows, linked = text_classes(df, text, parameters, key)
     (name,) = [key]
@@ -293,6 +294,8 @@ def jaccard_join(df: DataFrame, parameters: JoinParameters = JoinParameters(), t
 def one_of_each_class(df: DataFrame, parameters: JoinParameters = JoinParameters(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` with the smallest key of each class; of several such rows one, of null texts all.
 
+    Rows with empty texts, or texts without words, form a class for each text.
+    An empty table gives no rows; all columns are returned, whatever their names.
     The chosen (key, text) pairs are found on keys and hashes alone; texts are
     read once more for the result, and shuffled only where a chosen pair repeats.
     """

@@ -72,14 +72,22 @@ def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
     return held.value
 
 
+def release_kept() -> None:
+    """Frees what an earlier operator's tasks left with this worker."""
+    held = sys.modules.get("_kept_by_worker")
+    if held is not None:
+        held.key = held.value = None
+
+
 def map_column(
-    df: DataFrame, column: str, schema: str, start: Callable[[], Callable[[list], list]], rows: int = 2_000
+    df: DataFrame, column: str, schema: str, start: Callable[[], Callable[[list], list]], rows: int = 2_000, keeps: bool = False
 ) -> DataFrame:
     """``df`` with columns computed in Python from one column, at most ``rows`` rows at a time.
 
     ``start`` runs once per task and returns a function from a list of values
     (None for null) to one list or array for each column of ``schema``. A new
-    column replaces one of the same name.
+    column replaces one of the same name. ``keeps`` says that ``start`` keeps
+    something with the worker; other operators' tasks free it.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -90,6 +98,8 @@ def map_column(
     added = to_arrow_schema(new)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release_kept()
         compute = start()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
