@@ -214,7 +214,8 @@ def quality_rules(df: DataFrame, parameters: McdParameters = McdParameters(), te
     groups = pooled.join(by_language, "pool", "left").select("key", group.alias("group"), "count")
     sizes = groups.groupBy("group").agg((F.sum("count") >= p.smallest_group).alias("judged"))
     groups = written(groups.join(sizes, "group").filter("judged").select("key", "group"))
-    member = ok.join(groups, ok[key] == groups["key"]).select("group", F.col(vector).alias("x"))
+    # Of the table's own columns none takes part, so that none can share a name with these.
+    member = ok.select(F.col(key).alias("key"), F.col(vector).alias("x")).join(groups, "key").select("group", "x")
     found = written(groups.join(estimate(member, p), "group").withColumnsRenamed({"centre": "mcd_centre"}))
     centre, inverse, scale, name = fresh(rows, "mcd_c", "mcd_i", "mcd_s", "mcd_key")
     found = found.select(
