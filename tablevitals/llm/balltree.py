@@ -20,8 +20,8 @@ from tablevitals.llm.common import carries_its_code, written
 carries_its_code(__name__)
 
 LEAF = 128
-# Up to this sum of products, double arithmetic on whole numbers is exact.
-EXACT = 2.0**53
+# Up to these sums of products, double and 64-bit arithmetic on whole numbers are exact; Python's integers are beyond.
+EXACT, EXACT_64 = 2.0**53, 2.0**62
 
 
 class BallTree:
@@ -70,14 +70,14 @@ class BallTree:
         dtype = np.float64
         top = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * queries.shape[1]
         if top >= EXACT:
-            dtype = np.int64
+            dtype = np.int64 if top < EXACT_64 else object
         q, v = queries.astype(dtype), self.vectors.astype(dtype)
         bounds = queries.astype(np.float64) @ self.centres.T + length[:, None] * self.radii
         bounds += 1e-9 * (np.abs(bounds) + length[:, None] * (self.radii + 1))  # rounding must not cut a true neighbour
         kth = bound.astype(np.float64)
-        if dtype is np.int64:  # beyond 2**53 a bound is rounded; it must not be too high
+        if dtype is not np.float64:  # beyond 2**53 a bound is rounded; it must not be too high
             kth = np.nextafter(kth, -np.inf)
-        floor = -np.inf if dtype is np.float64 else np.iinfo(np.int64).min
+        floor = {np.float64: -np.inf, np.int64: np.iinfo(np.int64).min}.get(dtype, -(1 << 200))
         scores = np.full((n, k), floor, dtype=dtype)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         stack: list[tuple[int, np.ndarray]] = [(0, np.arange(n))]
@@ -101,9 +101,10 @@ class BallTree:
             at, column = np.nonzero(good)
             if not len(at):
                 continue
-            found.append((who[at], ids[column], product[at, column].astype(np.int64)))
+            found.append((who[at], ids[column], product[at, column].astype(object if dtype is object else np.int64)))
             candidates = np.concatenate([scores[who], np.where(good, product, floor)], axis=1)
-            scores[who] = np.partition(candidates, candidates.shape[1] - k, axis=1)[:, -k:]
+            ordered = np.sort(candidates, axis=1) if dtype is object else np.partition(candidates, candidates.shape[1] - k, axis=1)
+            scores[who] = ordered[:, -k:]
             full = scores[who].min(axis=1)
             known = full > floor
             reached = full[known].astype(np.float64)
@@ -113,11 +114,16 @@ class BallTree:
         place, ids, score = (np.concatenate(x) for x in zip(*found))
         keep = score >= kth[place]
         place, ids, score = place[keep], ids[keep], score[keep]
-        order = np.lexsort((ids, -score, place))
+        order = np.lexsort((ids, -score, place)) if dtype is not object else np.array(
+            sorted(range(len(place)), key=lambda i: (place[i], -score[i], ids[i])), dtype=np.int64
+        )
         place, ids, score = place[order], ids[order], score[order]
         start = np.searchsorted(place, place, side="left")
         keep = np.arange(len(place)) - start < k
-        return place[keep], ids[keep], score[keep]
+        score = score[keep]
+        if dtype is object and any(abs(s) >= 1 << 63 for s in score):
+            raise OverflowError("a best inner product is no 64-bit number")
+        return place[keep], ids[keep], score.astype(np.int64)
 
 
 def whole_numbers(vector: Column, scale: int = 256) -> Column:
@@ -125,7 +131,13 @@ def whole_numbers(vector: Column, scale: int = 256) -> Column:
     usable = vector.isNotNull() & (F.size(vector) > 0) & F.forall(
         vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
     )
-    return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * float(scale)).cast("long")))
+
+    def whole(x: Column) -> Column:
+        scaled = F.floor(x.cast("double") * float(scale))
+        large = F.raise_error(F.lit("a vector has a component that is no 64-bit number after scaling")).cast("long")
+        return F.when(F.abs(x.cast("double") * float(scale)) < 2.0**63, scaled.cast("long")).otherwise(large)
+
+    return F.when(usable, F.transform(vector, whole))
 
 
 def _searched(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -167,7 +179,9 @@ def top_inner_products(df: DataFrame, is_query: Column, k: int = 5, vec_id: str
     Candidates fall into shards of about ``shard_rows``, queries into blocks of
     about ``query_rows``; a task holds one of each. All queries meet all
     candidates in this way, which is the stated query set against all rows.
-    Products must stay below 2**63.
+    Inner products are exact: beyond 2**53 in 64-bit, beyond 2**62 in Python's
+    integers. A component, or one of a query's best products, that has no place
+    in 64 bits is an error.
     """
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.expr("true").alias("t"), is_query.alias("q"),
                      whole_numbers(F.col(vector)).alias("v"))
