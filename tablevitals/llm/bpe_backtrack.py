@@ -28,9 +28,9 @@ carries_its_code(__name__)
 # Fixed value: how the word-end vocabulary cuts normalised text into pieces; what lies between is dropped.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 WORD_END = "</w>"
-REMEMBERED_WORDS = 120_000  # twice: those met lately, and those of the turn before
+REMEMBERED_WORDS = 80_000  # twice: those met lately, and those of the turn before
 REMEMBERED_CHARS = 64
-REMEMBERED_PAIRS = 200_000
+REMEMBERED_PAIRS = 100_000
 
 
 class BacktrackingBpe:
