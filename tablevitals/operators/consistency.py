@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,11 @@ from tablevitals.operators.profile import value_counts
 FREQUENT_PER_BLOCK = 512
 RARE_PER_LIST = 512
 LISTS_PER_PART = 32
+MOST_TASKS = 10_000  # beyond it tasks grow; the driver holds figures of every task
+
+# Lengths at which a value one letter apart outscores all others: from 11 on it has over 95, and without it only
+# two letters or more could be apart, or words rearranged, which gives 95 at most. Longer values only cost more keys.
+ONE_LETTER_APART = (11, 64)
 
 
 def most_frequent(frequent: DataFrame, limit: int) -> DataFrame:
@@ -30,11 +37,59 @@ def most_frequent(frequent: DataFrame, limit: int) -> DataFrame:
     return frequent.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
 
 
-def best_matches(rare: DataFrame, frequent: DataFrame, threshold: float, sizes: dict[str, tuple[int, int]]) -> DataFrame:
+def one_letter_apart(rare: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``rare`` rows with a frequent value that has one letter more or less: the best such value and its score.
+
+    Values meet by the hash of what is left without one of their letters, so the work is linear in their letters.
+    """
+    shortest, longest = ONE_LETTER_APART
+    size = F.char_length("value")
+    whole = F.xxhash64("value")
+    without = F.transform(
+        F.sequence(F.lit(1), size), lambda i: F.xxhash64(F.concat(F.substr("value", F.lit(1), i - 1), F.substr("value", i + 1)))
+    )
+    left = rare.select("column", "value", "first_row").filter(size.between(shortest, longest))
+    right = frequent.select("column", "value", "value_count").filter(size.between(shortest - 1, longest + 1))
+    other = lambda key: right.withColumn("key", key).withColumnsRenamed({"value": "match", "value_count": "n"})
+    # One key a letter: the size that the optimizer guesses is too small for a broadcast.
+    longer = left.withColumn("key", whole).join(other(F.explode(F.array_distinct(without))).hint("merge"), ["column", "key"])
+    shorter = left.withColumn("key", F.explode(F.array_distinct(without))).join(other(whole).hint("merge"), ["column", "key"])
+    lengths = [F.char_length("value"), F.char_length("match")]
+    score = (F.lit(200.0) * F.least(*lengths) / (lengths[0] + lengths[1])).cast("float")
+    pairs = longer.unionByName(shorter).filter((lengths[0] != lengths[1]) & (F.levenshtein("value", "match", 1) == 1))
+    best = F.min(F.struct((-score).alias("score"), (-F.col("n")).alias("order"), "match"))
+    return (
+        pairs.groupBy("column", "value", "first_row")
+        .agg(best.alias("best"))
+        .select("column", "value", "first_row", "best.match", (-F.col("best.score")).alias("score"))
+    )
+
+
+def best_matches(
+    rare: DataFrame, frequent: DataFrame, threshold: float, sizes: dict[str, tuple[int, int]], kept: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """``rare`` rows with their best frequent value at or above the threshold: score, then count, then value decide.
 
-    ``sizes`` holds the number of frequent and rare values per column. Both
-    sides are dealt by hash into lists of bounded length, and every list of rare
+    ``sizes`` holds the number of frequent and rare values per column, ``kept``
+    keeps a table that is read several times. Where a frequent value is one
+    letter apart and no other can score as high, it is found by keys; all other
+    rare values are compared with every frequent one.
+    """
+    near = kept(one_letter_apart(rare, frequent))
+    settled = {r["column"]: r["count"] for r in near.groupBy("column").count().collect()}
+    left = {c: (n, m - settled.get(c, 0)) for c, (n, m) in sizes.items() if m > settled.get(c, 0)}
+    found = near.filter(F.col("score") >= threshold)
+    if not left:
+        return found
+    rest = rare.join(near.select("column", "value"), ["column", "value"], "left_anti") if settled else rare
+    of_columns = frequent.filter(F.col("column").isin(list(left)))
+    return found.unionByName(compared_with_all(rest.filter(F.col("column").isin(list(left))), of_columns, threshold, left))
+
+
+def compared_with_all(rare: DataFrame, frequent: DataFrame, threshold: float, sizes: dict[str, tuple[int, int]]) -> DataFrame:
+    """Best matches by comparing every rare with every frequent value of its column.
+
+    Both sides are dealt by hash into lists of bounded length, and every list of rare
     values meets every list of frequent ones of its column. Lists are sent once
     per block of the other side, so that no column meets in one task, and
     candidates that cannot win are ruled out inside a list by an upper bound.
@@ -56,7 +111,8 @@ def best_matches(rare: DataFrame, frequent: DataFrame, threshold: float, sizes:
     )
     match = best_match_udf(threshold)
     scored = (
-        rare_lists.join(candidates, ["column", "block", "part"])
+        # Copies of lists: the optimizer guesses their size before they are copied, and would broadcast them.
+        rare_lists.join(candidates.hint("merge"), ["column", "block", "part"])
         # Scoring is CPU work on few bytes, so it gets its own even spread.
         .repartition(_tasks(rare.sparkSession, sizes), "column", "block", "list")
         .withColumn("m", match(F.col("rare.value"), F.col("candidates.value")))
@@ -75,7 +131,7 @@ def best_matches(rare: DataFrame, frequent: DataFrame, threshold: float, sizes:
 def _tasks(spark: SparkSession, sizes: dict[str, tuple[int, int]]) -> int:
     """One task per ``LISTS_PER_PART`` pairs of lists, at least one per core."""
     pairs = sum(-(-a // FREQUENT_PER_BLOCK) * -(-b // RARE_PER_LIST) for a, b in sizes.values())
-    return min(max(spark.sparkContext.defaultParallelism, pairs // LISTS_PER_PART), 100_000)
+    return min(max(spark.sparkContext.defaultParallelism, pairs // LISTS_PER_PART), MOST_TASKS)
 
 
 def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
@@ -110,7 +166,7 @@ def consistency(batch: Batch, columns: list[str] | None = None) -> DataFrame:
     if limit is not None:
         frequent = most_frequent(frequent, limit)
         sizes = {c: (min(n, limit), m) for c, (n, m) in sizes.items()}
-    matched = best_matches(rare, frequent, threshold, sizes)
+    matched = best_matches(rare, frequent, threshold, sizes, batch.kept)
     if min_count <= 2:
         rows = matched.withColumn("key", F.col("first_row"))  # a rare value has one row
     else:

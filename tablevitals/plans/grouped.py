@@ -369,7 +369,7 @@ def consistency(batch: GroupedBatch) -> DataFrame:
     if limit is not None:
         frequent = most_frequent(frequent, limit)
         judged = {k: (min(n, limit), m) for k, (n, m) in judged.items()}
-    found = best_matches(rare.select("column", "value", "first_row"), frequent.select("column", "value", "value_count"), threshold, judged)
+    found = best_matches(rare.select("column", "value", "first_row"), frequent.select("column", "value", "value_count"), threshold, judged, batch.kept)
     found = found.withColumn("run_id", F.substring_index("column", "/", 1)).withColumn("ord", F.substring_index("column", "/", -1).cast("int"))
     if least > 2:
         cells = batch.cells_of(lambda r, s: f"{r.run_id}/{s['ord']}" in judged or None)

@@ -3,10 +3,11 @@
 import random
 import time
 
+import numpy as np
 
 from tablevitals.operators.batch import Batch
 from tablevitals.operators.completeness import completeness, group_completeness
-from tablevitals.operators.consistency import consistency
+from tablevitals.operators.consistency import best_matches, consistency
 from tablevitals.operators.drift import schema_drift
 from tablevitals.operators.duplicates import duplicate
 from tablevitals.operators.outliers import outlier
@@ -179,3 +180,39 @@ def test_plan_shapes(spark):
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Expand "):
         assert unwanted not in plan
     table.release()
+
+
+def test_consistency_one_letter_apart(spark):
+    """Lengths on both sides of the limits, ties by score, count and value, against all pairs."""
+    from tablevitals.functions.fuzzy import wratio
+
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n)).strip() or "a"
+    frequent = {text(n): rng.randrange(2, 4) for n in [*range(1, 16), 30, 62, 63, 64, 65, 66, 80] for _ in range(3)}
+    rare = {text(n) for n in (3, 11, 12, 40) for _ in range(4)}
+    for value in list(frequent):
+        at = rng.randrange(len(value) + 1)
+        rare |= {value[:at] + "x" + value[at:], value[:at] + value[at + 1 :], value[:at] + "x" + value[at + 1 :]}
+        frequent[value[:at] + "y" + value[at:]] = 3
+    rare -= {v for v in rare if v in frequent or not v.strip()}
+    rows = [(v,) for v, n in frequent.items() for _ in range(n)] + [(v,) for v in sorted(rare)]
+    found = consistency(batch(spark, "s string", rows, config={"consistency": {"max_unique_ratio": 1.0}})).collect()
+    got = {rows[int(r["row_reference"])][0]: (r["metric"], r["description"]) for r in found}
+    for value in rare:
+        score, _, match = min((-float(np.float32(wratio(value, f))), -n, f) for f, n in frequent.items())
+        if -score < 60:
+            assert value not in got
+        else:
+            assert got[value][0] == -score and f"value '{match}' (" in got[value][1], value
+    assert len(got) > 100
+
+
+def test_copied_lists_are_not_broadcast(spark):
+    """The optimizer guesses the size of lists before they are copied for each block of the other side."""
+    frequent = spark.createDataFrame([("s", f"name {i}", 2) for i in range(3)], "column string, value string, value_count bigint")
+    rare = spark.createDataFrame([("s", "name x", 7)], "column string, value string, first_row bigint")
+    found = best_matches(rare, frequent, 60, {"s": (3, 1)}, lambda df: df)
+    assert [(r["value"], r["first_row"], r["match"]) for r in found.collect()] == [("name x", 7, "name 0")]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [column" in plan and "ArrowEvalPython" in plan
+    assert not any("Join [column" in line and "block" in line and "Broadcast" in line for line in plan.splitlines())
