@@ -221,7 +221,14 @@ def printable_report(run: DataFrame, deductions: DataFrame, issues: DataFrame) -
 
 
 def write_csv(report: DataFrame, path: str) -> None:
-    """CSV export with a header; ``FileNotFoundError`` stands for "nothing to export"."""
-    if report.isEmpty():
-        raise FileNotFoundError("nothing to export")
-    report.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """CSV export with a header; ``FileNotFoundError`` stands for "nothing to export".
+
+    The report is kept while it is looked at and written, so that its joins and its sort run once.
+    """
+    kept = report.persist()
+    try:
+        if kept.isEmpty():
+            raise FileNotFoundError("nothing to export")
+        kept.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    finally:
+        kept.unpersist()

@@ -77,6 +77,19 @@ def test_reports(spark, tables, tmp_path):
         reports.write_csv(reports.run_history(runs, "nope"), str(tmp_path / "x"))
 
 
+def test_export_computes_its_report_once(spark, tmp_path):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        rows.add(1)
+        return value
+
+    report = spark.range(0, 100, 1, 4).select(F.udf(counted, "long")("id").alias("id"))
+    reports.write_csv(report, str(tmp_path / "x"))
+    assert rows.value == 100 and not report.storageLevel.useMemory
+    assert [r["id"] for r in spark.read.option("header", True).schema("id long").csv(str(tmp_path / "x")).orderBy("id").collect()] == list(range(100))
+
+
 def test_store(spark, tmp_path):
     store = RunStore(spark, str(tmp_path / "store"))
     assert store.runs().count() == 0 and store.issues().count() == 0
