@@ -157,9 +157,12 @@ def lowered(text: str) -> str:
     return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
 
 
-def text_encoder(path: str) -> tuple[BacktrackingBpe, Callable[[str], list[tuple[int, str, str]]]]:
-    """The encoder, and a function from text to (count, identifiers as text, decoded text) of each piece."""
-    bpe = BacktrackingBpe(path)
+def text_encoder(path: str, known_bpe: BacktrackingBpe | None = None) -> tuple[BacktrackingBpe, Callable[[str], list[tuple[int, str, str]]]]:
+    """The encoder, and a function from text to (count, identifiers as text, decoded text) of each piece.
+
+    The function remembers words, the encoder does not: a worker that waits holds the encoder only.
+    """
+    bpe = known_bpe or BacktrackingBpe(path)
     words = regex.compile(WORDS).findall
     special = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")") if bpe.special else None
     names = list(map(str, range(len(bpe.offsets))))
@@ -203,12 +206,12 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text") -> DataF
     """
 
     def start() -> Callable[[list], list]:
-        _, encode = kept_by_worker(("backtracking", tokenizer), lambda: text_encoder(tokenizer))
+        _, encode = text_encoder(tokenizer, kept_by_worker(("backtracking", tokenizer), lambda: BacktrackingBpe(tokenizer)))
         return lambda texts: [
             [[int(i) for piece in encode(t) for i in piece[1].split(" ")] if t else [] for t in texts]
         ]
 
-    return map_column(df, text, "ids array<int>", start, keeps=True).drop(text)
+    return map_column(df, text, "ids array<int>", start, keeps=True, drops=True).drop(text)
 
 
 def decode_documents(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
@@ -235,7 +238,7 @@ def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text") -> Data
     """
 
     def start() -> Callable[[list], list]:
-        _, encode = kept_by_worker(("backtracking", tokenizer), lambda: text_encoder(tokenizer))
+        _, encode = text_encoder(tokenizer, kept_by_worker(("backtracking", tokenizer), lambda: BacktrackingBpe(tokenizer)))
 
         def digest(texts: list[str]) -> str:
             return hashlib.sha256(" ".join(texts).encode()).hexdigest()
@@ -251,4 +254,4 @@ def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text") -> Data
 
         return compute
 
-    return map_column(df, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", start, keeps=True).drop(text)
+    return map_column(df, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", start, keeps=True, drops=True).drop(text)

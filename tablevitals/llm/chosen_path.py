@@ -254,7 +254,7 @@ def text_classes(df: DataFrame, text: str, p: JoinParameters, key: str) -> tuple
         return lambda values: [[shingles(v).tobytes() for v in values]]
 
     whole = df.select(text_key(text).alias("u"), F.col(text).alias("t")).join(wanted, "u", "left_semi").dropDuplicates(["u"])
-    sets = written(map_column(whole, "t", "grams binary", start_sets).drop("t").withColumn("size", F.octet_length("grams")))
+    sets = written(map_column(whole, "t", "grams binary", start_sets, drops=True).drop("t").withColumn("size", F.octet_length("grams")))
     blocked = written(in_blocks(members.join(sets.select("u", "size"), "u")))
     share = Fraction(p.similarity).limit_denominator(10**6)
     judge = similar_sets(share.numerator, share.denominator)

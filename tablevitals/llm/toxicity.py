@@ -37,6 +37,8 @@ PLAIN_LETTER = str.maketrans({"@": "a", "$": "s", "!": "i", "*": "", "0": "o", "
 PREFIX_LENGTHS = (4, 5, 6)
 NEAR_CHARS = 40
 FEATURES = 13
+# Terms that a task counts before it passes them on.
+TERMS_AT_ONCE = 100_000
 
 
 class Lexicon:
@@ -138,24 +140,27 @@ def term_counts(df: DataFrame, text: str, label: str) -> DataFrame:
         return [[smallest(t or "") for t in texts]]
 
     (key,) = fresh(df, "signature")
-    signed = map_column(df.select(text, label).withColumn("original", F.col(text)), text, f"{key} long", lambda: signature)
+    signed = map_column(df.select(F.col(text).alias("original"), label), "original", f"{key} long", lambda: signature)
     single = signed.select("original", label, key).dropDuplicates([key, label])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
+
+        def passed_on() -> pa.RecordBatch:
+            terms = list(counts[0].keys() | counts[1].keys())
+            columns = [pa.array(terms, pa.string()), *(pa.array([counts[k][t] for t in terms], pa.int64()) for k in (1, 0))]
+            counts[0].clear()
+            counts[1].clear()
+            return pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "other"])
+
         for batch in batches:
             for content, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = set(WORD.findall((content or "").lower()))
                 counts[toxic].update(found)
                 counts[toxic].update({f"{w[:k]}*" for w in found for k in PREFIX_LENGTHS if len(w) >= k})
-        terms = list(counts[0] | counts[1])
-        yield pa.RecordBatch.from_pydict(
-            {
-                "term": pa.array(terms, pa.string()),
-                "toxic": pa.array([counts[1][t] for t in terms], pa.int64()),
-                "other": pa.array([counts[0][t] for t in terms], pa.int64()),
-            }
-        )
+                if len(counts[0]) + len(counts[1]) > TERMS_AT_ONCE:
+                    yield passed_on()
+        yield passed_on()
 
     partial = single.select("original", label).mapInArrow(run, "term string, toxic long, other long")
     return partial.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -336,7 +341,6 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", thre
     any other. Repeated rows give repeated rows, an empty table none; columns
     with the new names are replaced.
     """
-    (read,) = fresh(df, "text_read")
 
     def start() -> Callable[[list], list]:
         lexicon = Lexicon(model.weights)
@@ -348,4 +352,4 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", thre
 
         return compute
 
-    return map_column(df.withColumn(read, F.col(text)), read, "score double, predicted int", start).drop(read)
+    return map_column(df, text, "score double, predicted int", start)

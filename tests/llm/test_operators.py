@@ -268,6 +268,35 @@ def test_language_model(docs, none, corpus):
     assert score_documents(none).count() == 0
 
 
+def test_columns_travel_once(spark):
+    """The column read goes to a task once, and not back where it isn't wanted; words remembered end with their task."""
+    from tablevitals.llm import common
+
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    start = lambda: lambda texts: [[len(t or "") for t in texts]]
+    size = common.map_column(df, "text", "size long", start)
+    assert [tuple(r) for r in size.collect()] == [(1, "a b", 3), (2, None, 0)]
+    assert "value_read" not in size._jdf.queryExecution().analyzed().toString()
+    dropped = common.map_column(df, "text", "size long", start, drops=True)
+    assert dropped.columns == ["doc_id", "size"] and [tuple(r) for r in dropped.collect()] == [(1, 3), (2, 0)]
+    assert [tuple(r) for r in common.map_column(df, "text", "text long", start).collect()] == [(1, 3), (2, 0)]
+    bpe = BacktrackingBpe(tokenizer_path("word_bpe_49k.json"))
+    held = set(vars(bpe))
+    assert text_encoder("", bpe)[1]("some words") == text_encoder("", bpe)[1]("some words") and set(vars(bpe)) == held
+
+
+def test_training_is_the_same_for_any_size(docs):
+    """A corpus called larger is trained on as often."""
+    p = GruParameters(head=50, vocabulary=20, lanes=8, window=5)
+    train = docs.filter("doc_id < 60").coalesce(1).withColumn("part", F.col("doc_id") % p.rounds)
+    vectors = []
+    for times in (1, 10**6):
+        model = gru_lm.model_from_counts(gru_lm.counted_words(train, "text"), p)
+        model.train_tokens *= times
+        vectors.append(gru_lm.train_network(train, "text", "part", model))
+    assert np.array_equal(*vectors)
+
+
 def test_network_gradient_and_windows():
     p = GruParameters(hidden=3, vocabulary=12, classes=4, window=4)
     counts = np.arange(12, 0, -1).astype(float)
