@@ -285,6 +285,54 @@ def test_columns_travel_once(spark):
     assert text_encoder("", bpe)[1]("some words") == text_encoder("", bpe)[1]("some words") and set(vars(bpe)) == held
 
 
+def test_scoring_holds_little_beside_its_texts(spark, monkeypatch):
+    """Texts don't travel back from scoring, rows go back in small pieces, and rare words are no Python objects meanwhile."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    sent = []
+    df = spark.createDataFrame([(i, f"a b c{i}") for i in range(20)], "doc_id long, text string")
+    kind = type(df)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, *a, g=kind.mapInArrow, **b: (sent.append((f, self.columns, schema)), g(self, f, schema, *a, **b))[1])
+    score_documents(df, parameters=GruParameters(head=5, vocabulary=5, lanes=64, window=8))
+    run, columns, schema = next(x for x in sent if "rest" in getattr(x[2], "simpleString", str)())
+    assert "text" not in schema.names
+    rare = [" ".join(f"w{i}x{j}" for j in range(100)) for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([{"doc_id": pa.array(range(3000)), "text": pa.array(rare)}.get(c, pa.array([False] * 3000)) for c in columns], names=columns)
+    rare.clear()
+    tracemalloc.start()
+    rows, ids, rest = [], [], []
+    for out in run(iter([batch])):
+        rows.append(out.num_rows)
+        ids += out.column(out.schema.get_field_index("doc_id")).to_pylist()
+        rest.append(out.column(out.num_columns - 1).field("rest").flatten().field("n").to_numpy().sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == list(range(3000)) and max(rows) <= 1000 and sum(rest) == 300_000
+    assert peak < 10 * batch.nbytes, (peak, batch.nbytes)
+
+
+def test_pieces_of_a_batch_score_alike(docs, monkeypatch):
+    """Pieces and the groups held at a time may end anywhere in a batch."""
+    import pyarrow as pa
+
+    texts = [r["text"] for r in docs.select("text").collect()]
+    p = GruParameters(head=50, vocabulary=20, lanes=8, window=5)
+    model = gru_lm.model_from_counts(gru_lm.counted_words(docs, "text"), p)
+    found = []
+    for held, rows, tokens in ((8_000_000, 1_000, 500_000), (40, 3, 10)):
+        for name, value in (("HELD_TOKENS", held), ("PIECE_ROWS", rows), ("PIECE_TOKENS", tokens)):
+            monkeypatch.setattr(gru_lm, name, value)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["i", "text"])
+        found.append([(r["i"], r["x"]) for out in gru_lm.scored_batches([batch], model, "x") for r in out.to_pylist()])
+        assert [d.tolist() for part in gru_lm.documents_of(batch.column(1), model.symbols()) for d in part] == [
+            [int(model.symbol_of[i]) for i in model.places()(gru_lm.words_of(t))] + [model.end] for t in texts
+        ]
+    for (i, a), (j, b) in zip(*found, strict=True):
+        assert i == j and math.isclose(a.pop("network"), b.pop("network"), rel_tol=1e-4) and a == b
+
+
 def test_training_is_the_same_for_any_size(docs):
     """A corpus called larger is trained on as often."""
     p = GruParameters(head=50, vocabulary=20, lanes=8, window=5)
