@@ -333,6 +333,71 @@ def test_pieces_of_a_batch_score_alike(docs, monkeypatch):
         assert i == j and math.isclose(a.pop("network"), b.pop("network"), rel_tol=1e-4) and a == b
 
 
+def test_windows_with_few_documents_go_on(monkeypatch):
+    """A score doesn't depend on how far a window goes, and a step's gradients are those of a window's."""
+    rng = np.random.default_rng(11)
+    documents = [rng.integers(0, 30, n).astype(np.int32) for n in (90, 40, 3)]
+    p, counts = GruParameters(hidden=3, vocabulary=30, classes=4), np.arange(30, 0, -1).astype(float)
+    scores, vectors = [], []
+    for least in (1, 25, 10_000):
+        monkeypatch.setattr(gru_lm, "SCORED_TOKENS", least)
+        monkeypatch.setattr(gru_lm, "TRAINED_TOKENS", least)
+        monkeypatch.setattr(gru_lm, "SOFTMAX_CELLS", 7 * least)  # pieces of a softmax may end anywhere
+        scores.append(gru_lm.run_group(gru_lm.Network(p, counts), documents, 0, 4))
+    assert np.allclose(scores[0], scores[1], atol=1e-4) and np.allclose(scores[0], scores[2], atol=1e-4)
+    for held in (gru_lm.ADAM_CELLS, 50):
+        monkeypatch.setattr(gru_lm, "ADAM_CELLS", held)
+        network, grads = gru_lm.Network(p, counts), []
+        start, update = network.vector.copy(), gru_lm.Adam(network, 0.01)
+        monkeypatch.setattr(gru_lm, "STEP_TOKENS", 1)
+        gru_lm.run_group(gru_lm.Network(p, counts), documents, 0, 4, lambda g, n: grads.append(np.concatenate([x.ravel() for x in g]) / n))
+        gru_lm.run_group(network, documents, 0, 4, update)
+        vectors.append(network.vector)
+        assert update.t == len(grads) == 1
+        # The first step of Adam goes by the sign of each gradient.
+        moved = np.abs(grads[0]) > 1e-4
+        assert np.allclose((network.vector - start)[moved], -0.01 * np.sign(grads[0][moved]), atol=1e-4)
+    assert np.array_equal(*vectors)
+
+
+def test_every_word_is_predicted_in_context(spark):
+    """Documents of words in "a" and of words in "z", none of them frequent: the words read tell which ones come."""
+    rng = random.Random(9)
+    texts = [(i, " ".join(f"{'az'[i % 2]}{rng.randrange(300)}" for _ in range(20))) for i in range(4000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    for head in (10, 1000):  # words of the table of frequent ones, and words outside it
+        rows = score_documents(df, parameters=GruParameters(head=head, vocabulary=4, lanes=64, window=8)).filter("held_out").collect()
+        assert sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows) > 0.15, head
+
+
+def test_symbols_grow_with_the_words(spark):
+    """Words alone and runs of others hold all words together, each of them one of the other."""
+    rng = random.Random(10)
+    for n, head in ((100, 100), (2500, 400), (2500, 5000)):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 14))) + str(i) for i in range(n)]
+        counts = Counter(w for i, w in enumerate(words) for _ in range(1 + n // (1 + i)))
+        df = spark.createDataFrame([(w, c) for w, c in counts.items()] + [("\n", 50)], "word string, n long")
+        model = gru_lm.model_from_counts(df, GruParameters(head=head, vocabulary=5))
+        root, runs = math.isqrt(n + 1), model.runs()
+        assert root / 2 <= len(runs) <= root + 1 and len(model.symbol_counts) == root + 1 + len(runs)
+        symbol = dict(zip(words, model.symbols()([w.encode() for w in words]).tolist()))
+        assert [symbol[w] for w in words] == model.symbol_of[model.places()([w.encode() for w in words])].tolist()
+        for s, held in enumerate(model.symbol_counts):
+            mine = [w for w in words if symbol[w] == s]
+            assert held == (50 if s == model.end else sum(counts[w] for w in mine)) and (s >= runs[0] or len(mine) == (s != model.end))
+            if s >= runs[0]:
+                assert (model.other_tokens[s - runs[0]], model.other_distinct[s - runs[0]]) == (held, len(mine))
+        # Neighbours in the alphabet share a run, and all probabilities together are 1 but for words never seen.
+        others = sorted((w for w in words if symbol[w] >= runs[0]), key=str.encode)
+        assert [symbol[w] for w in others] == sorted(symbol[w] for w in others)
+        hidden = np.full((8, len(model.symbol_counts)), 0.5, np.float32)
+        logs, _ = model.network().log_probability(hidden, np.arange(len(model.symbol_counts)))
+        by_network, _ = model.parts_of_mixture(logs, np.arange(len(model.symbol_counts)))
+        unseen = by_network[runs] * 0.5
+        whole = sum(by_network[symbol[w]] * (1 if symbol[w] < runs[0] else counts[w] + 0.5) for w in words) + by_network[model.end] + unseen.sum()
+        assert math.isclose(whole, 1, rel_tol=1e-4)
+
+
 def test_training_is_the_same_for_any_size(docs):
     """A corpus called larger is trained on as often."""
     p = GruParameters(head=50, vocabulary=20, lanes=8, window=5)
